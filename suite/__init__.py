@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["durations", "traces", "states"]
+MODULES = ["durations", "traces", "states", "usage"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}

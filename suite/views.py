@@ -117,6 +117,32 @@ SELECT {_uid("task", "l_orderkey", 9)} AS uid, CAST(l_suppkey % 8 AS INT) AS nod
        CAST((l_partkey + l_linenumber) % 8 AS INT) AS core,
        min(epoch_us(l_shipdate)/1e6) AS t0, max(epoch_us(l_shipdate)/1e6) + 3600 AS t1
 FROM lineitem GROUP BY 1, 2, 3""",
+    # nodes of a pilot, the last one taken by a sub-agent
+    "nodes_v": f"""
+SELECT {_uid("pilot", "n_nationkey", 4)} AS pid, k AS node_index, (k * 5 + 2) % 8 AS pos,
+       (k * 5 + 2) % 8 = 7 AS agent
+FROM nation CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7)) AS n(k)""",
+    # cores and gpus taken by tasks of pilots
+    "placed_v": f"""
+SELECT DISTINCT {_ORDER_TASK} AS uid, {_ORDER_PILOT} AS pid, CAST(l_suppkey % 8 AS INT) AS node_index,
+       rtype, CASE rtype WHEN 'cpu' THEN CAST((l_partkey + l_linenumber) % 8 AS INT) ELSE 0 END AS core
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+CROSS JOIN (VALUES ('cpu'), ('gpu')) AS r(rtype)
+WHERE rtype = 'cpu' OR o_orderkey % 4 = 1""",
+    # events of those tasks and pilots, some missing
+    "usage_trace_v": f"""
+SELECT epoch_us(o_orderdate)/1e6 + k * 20 + o_custkey % 17 AS time, event, {_ORDER_TASK} AS uid, state,
+       '' AS msg
+FROM orders CROSS JOIN (VALUES (0, 'schedule_ok', ''), (1, 'state', 'AGENT_EXECUTING'),
+  (2, 'task_run_start', ''), (3, 'launch_start', ''), (4, 'exec_start', ''), (5, 'exec_stop', ''),
+  (6, 'launch_stop', ''), (7, 'task_run_stop', ''), (8, 'unschedule_stop', '')) AS m(k, event, state)
+WHERE (o_orderkey + k) % 13 <> 0
+UNION ALL
+SELECT 100000000.0 * k + n_nationkey, event, {_uid("pilot", "n_nationkey", 4)}, state, msg
+FROM nation CROSS JOIN (VALUES (1, 'bootstrap_0_start', '', ''), (2, 'bootstrap_0_ok', '', ''),
+  (3, 'state', 'PMGR_ACTIVE', ''), (4, 'sub_agent_start', '', ''), (16, 'sub_agent_stop', '', ''),
+  (17, 'cmd', '', 'cancel_pilot : x'), (18, 'bootstrap_0_stop', '', '')) AS m(k, event, state, msg)
+WHERE NOT (k = 18 AND n_nationkey % 5 = 0) AND NOT (k = 1 AND n_nationkey % 7 = 1)""",
     # staging directives
     "directives_v": """
 SELECT page_id, CASE page_id % 3 WHEN 0 THEN url
@@ -180,7 +206,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def view(spark: SparkSession, sf: str, name: str) -> DataFrame:
     text = re.sub(r"epoch_us\(([^)]*)\)", r"unix_micros(CAST(\1 AS TIMESTAMP))", VIEWS[name])
-    used = {t: table(spark, sf, t) for t in TABLES if re.search(rf"\bFROM {t}\b", text)}
+    used = {t: table(spark, sf, t) for t in TABLES if re.search(rf"\b(FROM|JOIN) {t}\b", text)}
     for t in used:
-        text = re.sub(rf"\bFROM {t}\b", f"FROM {{{t}}}", text)
+        text = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", text)
     return spark.sql(text, **used)

@@ -67,15 +67,17 @@ def _with_carry(df: DataFrame, totals: DataFrame, keys: list[str], carry: dict)
 
 def running(df: DataFrame, keys: list[str], order: list[str],
             sums: dict[str, Column] = {}, maxs: dict[str, Column] = {},
-            lags: dict[str, Column] = {}, number: str | None = None) -> DataFrame:
-    """Add running sums, running maxima (both with the row itself), the value of
-    the row before, and the row number, per key in the given order.
+            lags: dict[str, Column] = {}, past_maxs: dict[str, Column] = {},
+            number: str | None = None) -> DataFrame:
+    """Add running sums and maxima (with the row itself), the value of the row
+    before, the maximum of all rows before, and the row number, per key in the
+    given order.
 
     The order must be unique within a key; column names must be new.
     """
     if not keys:
         raise ValueError("running needs a key; see global_index")
-    inputs = {**sums, **maxs, **lags}
+    inputs = {**sums, **maxs, **past_maxs, **lags}
     large = has_large_group(df, keys)
     if large:
         df = df.withColumns({f"_in_{n}": c for n, c in inputs.items()})
@@ -89,6 +91,8 @@ def running(df: DataFrame, keys: list[str], order: list[str],
     upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     new = {n: F.sum(col[n]).over(upto) for n in sums}
     new.update({n: F.max(col[n]).over(upto) for n in maxs})
+    new.update({n: F.max(col[n]).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+                for n in past_maxs})
     new.update({n: F.lag(col[n]).over(ordered) for n in lags})
     if number or (large and lags):
         new[number or "_pos"] = F.row_number().over(ordered)
@@ -100,13 +104,13 @@ def running(df: DataFrame, keys: list[str], order: list[str],
     totals = df.groupBy(*group).agg(
         F.count(F.lit(1)).alias("_rows"),
         *[F.sum(col[n]).alias(f"_t_{n}") for n in sums],
-        *[F.max(col[n]).alias(f"_t_{n}") for n in maxs],
+        *[F.max(col[n]).alias(f"_t_{n}") for n in (*maxs, *past_maxs)],
         *[F.max_by(col[n], last).alias(f"_t_{n}") for n in lags])
     past = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     carry = {"_c_rows": lambda w: F.sum("_rows").over(past(w))}
     for n in sums:
         carry[f"_c_{n}"] = lambda w, n=n: F.sum(f"_t_{n}").over(past(w))
-    for n in maxs:
+    for n in (*maxs, *past_maxs):
         carry[f"_c_{n}"] = lambda w, n=n: F.max(f"_t_{n}").over(past(w))
     for n in lags:
         carry[f"_c_{n}"] = lambda w, n=n: F.lag(f"_t_{n}").over(w)
@@ -118,7 +122,7 @@ def running(df: DataFrame, keys: list[str], order: list[str],
         # a sum of nulls stays null, as in a plain window
         fixed[n] = F.when(F.col(n).isNull(), F.col(f"_c_{n}")) \
                     .otherwise(F.col(n) + F.coalesce(F.col(f"_c_{n}"), F.lit(0)))
-    for n in maxs:
+    for n in (*maxs, *past_maxs):
         fixed[n] = F.greatest(n, f"_c_{n}")
     for n in lags:
         fixed[n] = F.when(F.col(pos) == 1, F.col(f"_c_{n}")).otherwise(F.col(n))
