@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["durations", "traces", "states", "usage"]
+MODULES = ["durations", "traces", "states", "usage", "workload", "functions"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}

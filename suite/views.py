@@ -195,7 +195,9 @@ def sql(body: str, *names: str) -> str:
     head = ",\n".join(f"{n} AS ({VIEWS[n].strip()})" for n in used)
     if not head:
         return text
-    if text[:5].upper() == "WITH ":
+    if text.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head},\n{text[15:]}"
+    if text.startswith("WITH "):
         return f"WITH {head},\n{text[5:]}"
     return f"WITH {head}\n{text}"
 

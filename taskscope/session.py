@@ -26,7 +26,8 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g")
     builder = (SparkSession.builder.master(f"local[{cores}]")
                .config("spark.sql.shuffle.partitions", str(partitions))
                .config("spark.driver.memory", memory)
-               .config("spark.ui.enabled", "false"))
+               .config("spark.ui.enabled", "false")
+               .config("spark.ui.showConsoleProgress", "false"))
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
