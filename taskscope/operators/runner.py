@@ -43,20 +43,37 @@ def as_text(value) -> str | None:
 
 
 def failure(err: str | None, exc: BaseException, out: str | None = None) -> dict:
-    trace = "".join(traceback.format_exception(exc))
+    # frames only: rendering source lines costs more than most calls
+    frames = [f"{f.f_code.co_filename}:{line} in {f.f_code.co_name}"
+              for f, line in traceback.walk_tb(exc.__traceback__)]
+    trace = "\n".join([*frames, repr(exc)])
     return {"out": out, "err": err, "ret": 1, "val": None, "exc": repr(exc), "detail": trace}
 
 
 @contextlib.contextmanager
 def environment(extra: dict | None):
-    """Set variables for one row and restore all of them after it."""
+    """Set variables for one row; afterwards all are as before, also those the
+    row itself has changed."""
     saved = dict(os.environ)
-    os.environ.update({k: str(v) for k, v in (extra or {}).items()})
+    if extra:
+        os.environ.update({k: str(v) for k, v in extra.items()})
     try:
         yield
     finally:
-        os.environ.clear()
-        os.environ.update(saved)
+        if os.environ != saved:
+            os.environ.clear()
+            os.environ.update(saved)
+
+
+_loop = None
+
+
+def awaited(coroutine):
+    """Run a coroutine in the event loop of this Python worker."""
+    global _loop
+    if _loop is None or _loop.is_closed():
+        _loop = asyncio.new_event_loop()
+    return _loop.run_until_complete(coroutine)
 
 
 def capture(call: Callable, env: dict | None = None, label: str = "call") -> dict:
@@ -67,7 +84,7 @@ def capture(call: Callable, env: dict | None = None, label: str = "call") -> dic
             with contextlib.redirect_stdout(out), contextlib.redirect_stderr(err):
                 value = call()
                 if inspect.iscoroutine(value):
-                    value = asyncio.run(value)
+                    value = awaited(value)
         except (Exception, SystemExit) as e:
             return failure(f"{err.getvalue()}\n{label} failed: {e}", e, out.getvalue())
     return {"out": out.getvalue(), "err": err.getvalue(), "ret": 0, "val": as_text(value),
@@ -169,7 +186,11 @@ def _plain(value, kind: T.DataType):
 
 def run_rows(df: DataFrame, make: Callable[[], Callable[[dict], dict]], keep=("uid",),
              barrier: bool = False) -> DataFrame:
-    """Apply `make()(row)` to each row; `make` is called once per partition."""
+    """Apply `make()(row)` to each row; `make` is called once per partition.
+
+    Rows run where they are read.  Spread few but long rows with `repartition`
+    before.
+    """
     keep = list(keep)
     layout = T.StructType([df.schema[c] for c in keep] + RESULT.fields)
     kinds = {f.name: f.dataType for f in df.schema.fields}
