@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["durations", "traces", "states", "usage", "workload", "functions", "documents"]
+MODULES = ["durations", "traces", "states", "usage", "workload", "functions", "documents", "streams"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}

@@ -164,7 +164,7 @@ def rejected(updates: DataFrame, model: str = "task", keys=("uid",)) -> DataFram
 def announced(changes: DataFrame, keys=("uid",)) -> DataFrame:
     """One row per announced state; a corrected final is announced once."""
     to_tell = F.when(F.size("passed") > 0, F.col("passed")).otherwise(F.array("state"))
-    return changes.select(*keys, "seq", F.posexplode(to_tell).alias("step", "announced"))
+    return changes.select(*keys, "seq", "state", F.posexplode(to_tell).alias("step", "announced"))
 
 
 def check_transitions(updates: DataFrame, model: str = "task", keys=("uid",)) -> DataFrame:
