@@ -31,7 +31,7 @@ class Progress(StatefulProcessor):
         self.handle = handle
         self.current = handle.getValueState("current", "top int, last string, settled boolean")
 
-    def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         # a pilot may go back and forth between finals, a task may not: its
         # first row per state is enough, whatever the number of rows
         seen = []
@@ -64,10 +64,10 @@ class Progress(StatefulProcessor):
         if out:
             self.current.update((top, last, settled))
             if self.forget_ms is not None and top == len(self.known):
-                self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.forget_ms)
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.forget_ms)
         yield pd.DataFrame(out, columns=["uid", "seq", "state", "step", "announced"])
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.current.clear()
         return iter(())
 
@@ -97,7 +97,7 @@ class Timeouts(StatefulProcessor):
         # deadline and timer in ms, 0 for none; started and ended once seen
         self.watch = handle.getValueState("watch", "deadline long, started boolean, ended boolean, run long")
 
-    def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         deadline, started, ended, run = self.watch.get() if self.watch.exists() else (0, False, False, 0)
         first = {}
         for frame in rows:
@@ -122,9 +122,9 @@ class Timeouts(StatefulProcessor):
         self.watch.update((deadline, started, ended, run))
         return iter(())
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         deadline = self.watch.get()[0] if self.watch.exists() else 0
-        at = expired.getExpiryTimeInMs()
+        at = expiredTimerInfo.getExpiryTimeInMs()
         if deadline == at:
             self.watch.clear()
             yield pd.DataFrame({"uid": [key[0]], "event": ["task_timeout"], "deadline": [at / 1e3]})
@@ -161,7 +161,7 @@ class Heartbeats(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", "ms long")
 
-    def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         old = self.last.get()[0] if self.last.exists() else None
         new = max([int(frame["ms"].max()) for frame in rows] + ([] if old is None else [old]))
         if new != old:
@@ -171,7 +171,7 @@ class Heartbeats(StatefulProcessor):
             self.last.update((new,))
         return iter(())
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         last = self.last.get()[0]
         self.last.clear()
         yield pd.DataFrame({"uid": [key[0]], "rank": [key[1]], "last": [last / 1e3]})
@@ -199,7 +199,7 @@ class FirstInfo(StatefulProcessor):
         self.handle = handle
         self.status = handle.getValueState("status", "deadline long, done boolean")
 
-    def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         deadline, done = self.status.get() if self.status.exists() else (0, False)
         began, best = None, None
         for frame in rows:
@@ -222,7 +222,7 @@ class FirstInfo(StatefulProcessor):
         if best is not None:
             yield pd.DataFrame({"uid": [key[0]], "info": [best[1]], "error": [None]})
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.status.update((0, True))
         yield pd.DataFrame({"uid": [key[0]], "info": [None], "error": ["startup timeout"]})
 
