@@ -153,9 +153,8 @@ SELECT event, comp, count(*) AS n, max(time) AS last FROM closed GROUP BY 1, 2""
 
 
 def whole(s, p):
-    path = files(s, p, raw(s, p))
-    plain = t.read_trace(s, path, "*.txt")
-    return c.repair(plain).groupBy("event", "comp", "state").agg(
+    events, _, _ = c.session_trace(s, files(s, p, raw(s, p)), "*.txt")
+    return events.groupBy("event", "comp", "state").agg(
         F.count(F.lit(1)).alias("n"), F.min("time").alias("first"))
 
 

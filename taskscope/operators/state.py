@@ -47,21 +47,18 @@ def collapse(df: DataFrame, model: str = "task", keys=("uid",)) -> DataFrame:
         F.max_by(seen, _collapse_rank(seen, model)).alias("state"))
 
 
-def _first_seen(updates: DataFrame, keys: list[str]) -> DataFrame:
+def _first_seen(updates: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
     """First update per key and state: the only ones that can move a key on.
 
-    This bounds the work per key by the number of states, however many updates
-    a key has; the rows are combined map-side.
+    One aggregation with a minimum per state: combined map-side, one shuffle,
+    and at most one row per state and key afterwards, however many updates a
+    key has.  The rows stay where the key is, for the window that follows.
     """
-    return updates.groupBy(*keys, "state").agg(F.min("seq").alias("seq"))
-
-
-def _accepted_finals(firsts: DataFrame, keys: list[str], model: str) -> DataFrame:
-    """(keys, c, f, state): when a key was cancelled and when it settled for good."""
-    final = firsts.filter(F.col("state").isin(schema.FINAL))
-    when = lambda s: F.min(F.when(F.col("state") == s, F.col("seq")))
-    return final.groupBy(*keys).agg(
-        when("CANCELED").alias("_c"), when("DONE").alias("_d"), when("FAILED").alias("_f"))
+    at = [F.min(F.when(F.col("state") == s, F.col("seq"))).alias(f"_s{i}") for i, s in enumerate(names)]
+    seen = F.filter(F.array(*[F.struct(F.lit(s).alias("state"), F.col(f"_s{i}").alias("seq"))
+                              for i, s in enumerate(names)]), lambda r: r.seq.isNotNull())
+    return (updates.filter(F.col("state").isin(names)).groupBy(*keys).agg(*at)
+            .select(*keys, F.explode(seen).alias("r")).select(*keys, "r.state", "r.seq"))
 
 
 def progress(updates: DataFrame, model: str = "task", replay_final: bool = True,
@@ -78,8 +75,7 @@ def progress(updates: DataFrame, model: str = "task", replay_final: bool = True,
     keys = list(keys)
     if model == "pilot":
         return _progress_pilot(updates, replay_final, keys)
-    known = updates.filter(value_of(F.col("state"), model) >= 0)
-    firsts = (_first_seen(known, keys)
+    firsts = (_first_seen(updates, keys, list(schema.state_values(model)))
               .withColumn("value", value_of(F.col("state"), model)))
     # at most one row per state and key from here on
     before = (Window.partitionBy(*keys).orderBy("seq")
@@ -115,16 +111,13 @@ def _progress_pilot(updates: DataFrame, replay_final: bool, keys: list[str]) ->
     order with `running`, which splits large keys.
     """
     model = "pilot"
-    known = (updates.filter(value_of(F.col("state"), model) >= 0)
-             .select(*keys, "seq", "state"))
     top = len(schema.states(model))
-    plain = known.filter(~is_final(F.col("state")))
-    final = known.filter(is_final(F.col("state")))
+    final = updates.filter(is_final(F.col("state"))).select(*keys, "seq", "state")
     ends = final.groupBy(*keys).agg(
         F.min("seq").alias("_end"),
         F.min(F.when(F.col("state") == "DONE", F.col("seq"))).alias("_done"))
 
-    firsts = (_first_seen(plain, keys).join(ends, keys, "left")
+    firsts = (_first_seen(updates, keys, schema.states(model)).join(ends, keys, "left")
               .filter(F.col("_end").isNull() | (F.col("seq") < F.col("_end")))
               .withColumn("value", value_of(F.col("state"), model)))
     before = (Window.partitionBy(*keys).orderBy("seq")

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from taskscope.operators.durations import durations
 from taskscope.operators.ordered import running
 from taskscope.plans.presets import PILOT_AGENT, PILOT_CONSUME, PILOT_PROVIDE
-from taskscope.plans.spec import expand_match, expand_spec, matches, spec_events
+from taskscope.plans.spec import expand_match, expand_spec, matches
+from taskscope.session import cut
 
 BOX = ["rtype", "metric", "uid", "pid", "t0", "t1", "r0", "r1"]
 PER_NODE = {"cpu": "cores_per_node", "gpu": "gpus_per_node"}
@@ -155,19 +156,21 @@ def warm_drain_idle(pilots: DataFrame, nodes: DataFrame, slots: DataFrame, event
     use = (resource_index(slots, pilots, nodes, rtype).join(used_at, "uid")
            .groupBy("pid", "idx").agg(F.min("u0").alias("t_min"), F.max("u1").alias("t_max")))
     every = expand_ranges(node_ranges(pilots, nodes, rtype).filter("not agent"), ["pid"])
-    bounds = every.join(use, ["pid", "idx"], "left")
-    life = pilot_life(events)
+    # one row per resource, read three times below
+    bounds = cut(every.join(use, ["pid", "idx"], "left"))
+    taken = bounds.filter("t_min is not null")
 
     def part(metric, rows, bound):
         keys = ["pid"] + ([bound] if bound else [])
-        ranges = cluster_ranges(rows, keys).join(life, "pid")
-        t0 = F.col("t_max") if metric == "drain" else F.col("p_min")
-        t1 = F.col("t_min") if metric == "warm" else F.col("p_max")
-        return _boxes(ranges.withColumns({"t0": t0, "t1": t1}), rtype, F.lit(metric))
-
-    taken = bounds.filter("t_min is not null")
-    return (part("warm", taken, "t_min").unionByName(part("drain", taken, "t_max"))
-            .unionByName(part("idle", bounds.filter("t_min is null"), None)))
+        at = F.col(bound) if bound else F.lit(None).cast("double")
+        return cluster_ranges(rows, keys).select("pid", F.lit(metric).alias("metric"), at.alias("at"), "r0", "r1")
+
+    parts = (part("warm", taken, "t_min").unionByName(part("drain", taken, "t_max"))
+             .unionByName(part("idle", bounds.filter("t_min is null"), None)))
+    timed = parts.join(pilot_life(events), "pid").withColumns({
+        "t0": F.when(F.col("metric") == "drain", F.col("at")).otherwise(F.col("p_min")),
+        "t1": F.when(F.col("metric") == "warm", F.col("at")).otherwise(F.col("p_max"))})
+    return _boxes(timed, rtype, F.col("metric"))
 
 
 def consumed(pilots: DataFrame, nodes: DataFrame, slots: DataFrame, events: DataFrame,

@@ -62,3 +62,14 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint: rows and partitions are fixed."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it from there.
+
+    For results that several later steps read: they get a columnar scan with
+    pushed filters instead of computing the input again.
+    """
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
