@@ -71,21 +71,24 @@ def clean(events: DataFrame) -> DataFrame:
     are combined map-side.
     """
     keys = session_keys(events, "uid")
-    named = events.withColumns({
-        "event": canonical_event(F.col("event")),
-        "etype": uid_type(F.col("uid")),
-    })
-    is_state = (F.col("event") == "state") & (F.coalesce("state", F.lit("")) != "")
-    rest = [c for c in named.columns if c not in (*keys, "state")]
+    # tests on the columns as they are, so they reach a Parquet scan
+    is_state = F.col("event").isin("state", "advance") & F.coalesce(F.col("state") != "", F.lit(False))
+
+    def named(df):
+        return df.withColumns({"event": canonical_event(F.col("event")), "etype": uid_type(F.col("uid"))})
+
+    plain = named(events.filter(~F.coalesce(is_state, F.lit(False))))
+    marks = named(events.filter(is_state))
+    rest = [c for c in marks.columns if c not in (*keys, "state")]
     # the other fields break ties, so the choice does not depend on task order
     row = F.struct("time", *[c for c in rest if c != "time"])
-    firsts = (named.filter(is_state).groupBy(*keys, "state").agg(F.min(row).alias("_row"))
+    firsts = (marks.groupBy(*keys, "state").agg(F.min(row).alias("_row"))
               .select(*keys, "state", "_row.*"))
     # a uid has at most one row per state here
     other = F.max(F.col("state").isin("DONE", "FAILED")).over(Window.partitionBy(*keys))
     states = (firsts.withColumn("_other", other)
               .filter((F.col("state") != "CANCELED") | ~F.col("_other")).drop("_other"))
-    return named.filter(~is_state).unionByName(states).select(named.columns)
+    return plain.unionByName(states)
 
 
 def hostmap(events: DataFrame) -> DataFrame:

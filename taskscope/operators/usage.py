@@ -30,24 +30,27 @@ BLOCK = 4096
 def cluster_ranges(df: DataFrame, keys: list[str], idx: str = "idx") -> DataFrame:
     """Maximal runs (keys, r0, r1) of the distinct integers of each key.
 
-    Runs are found in blocks of consecutive numbers first, so a key with many
-    numbers is spread over tasks; then pieces that touch at a block's edge are
-    joined.  Only such pieces, at most two per block, are looked at again.
+    The numbers of a block are collected into one sorted array of at most BLOCK
+    entries, without repeats before the shuffle, and cut where a number is
+    missing.  A key with many numbers is so spread over tasks.  Then pieces that
+    touch a block's edge, at most two per block, are joined over blocks.
     """
-    distinct = df.select(*keys, F.col(idx).cast("long").alias("_i")).distinct()
-    blocked = distinct.withColumn("_b", F.floor(F.col("_i") / BLOCK))
-    at = Window.partitionBy(*keys, "_b").orderBy("_i")
-    pieces = (blocked.withColumn("_g", F.col("_i") - F.row_number().over(at))
-              .groupBy(*keys, "_b", "_g").agg(F.min("_i").alias("r0"), F.max("_i").alias("r1")))
+    numbers = df.select(*keys, F.col(idx).cast("long").alias("_i"))
+    blocks = numbers.groupBy(*keys, F.floor(F.col("_i") / BLOCK).alias("_b")).agg(
+        F.sort_array(F.collect_set("_i")).alias("_a"))
+    at = lambda i: F.get("_a", i)
+    starts = F.filter("_a", lambda x, i: (i == 0) | (at(i - 1) != x - 1))
+    ends = F.filter("_a", lambda x, i: (i == F.size("_a") - 1) | (at(i + 1) != x + 1))
+    pieces = (blocks.select(*keys, F.explode(F.arrays_zip(starts.alias("r0"), ends.alias("r1"))).alias("p"))
+              .select(*keys, "p.r0", "p.r1"))
     edge = (F.pmod("r0", F.lit(BLOCK)) == 0) | (F.pmod("r1", F.lit(BLOCK)) == BLOCK - 1)
-    inner = pieces.filter(~edge).select(*keys, "r0", "r1")
     over = Window.partitionBy(*keys).orderBy("r0")
-    outer = pieces.filter(edge)
-    outer = outer.withColumn("_new", F.coalesce(F.lag("r1").over(over) + 1 != F.col("r0"), F.lit(True)))
+    outer = pieces.filter(edge).withColumn(
+        "_new", F.coalesce(F.lag("r1").over(over) + 1 != F.col("r0"), F.lit(True)))
     outer = outer.withColumn("_run", F.sum(F.col("_new").cast("int")).over(
         over.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     joined = outer.groupBy(*keys, "_run").agg(F.min("r0").alias("r0"), F.max("r1").alias("r1"))
-    return inner.unionByName(joined.select(*keys, "r0", "r1"))
+    return pieces.filter(~edge).unionByName(joined.select(*keys, "r0", "r1"))
 
 
 def expand_ranges(df: DataFrame, keys: list[str], r0: str = "r0", r1: str = "r1") -> DataFrame:
