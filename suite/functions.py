@@ -126,7 +126,8 @@ def price_mode():
 
 
 add("X8_run_tasks",
-    lambda s, p: runner.run_tasks(mixed(s, p), {"later": later}, price_mode()).select("uid", "ret", "val", "err", "target_state"),
+    lambda s, p: runner.run_tasks(mixed(s, p), {"later": later}, price_mode(), spread=s.sparkContext.defaultParallelism)
+    .select("uid", "ret", "val", "err", "target_state"),
     """WITH o AS (SELECT *, o_orderkey % 5 AS k FROM orders)
 SELECT concat('task.', CAST(o_orderkey AS VARCHAR(20))) AS uid, CASE WHEN k IN (0, 2) THEN 0 ELSE 1 END AS ret,
   CASE k WHEN 0 THEN CAST(o_orderkey * o_custkey AS VARCHAR(20))

@@ -296,15 +296,19 @@ def dispatch(row: dict, functions: dict, modes: Modes, allow_code: bool) -> dict
 
 
 def run_tasks(df: DataFrame, functions: dict[str, Callable] | None = None, modes: Modes | None = None,
-              allow_code: bool = False, before=None, after=None, keep=("uid",)) -> DataFrame:
+              allow_code: bool = False, before=None, after=None, keep=("uid",),
+              spread: int | None = None) -> DataFrame:
     """Run a table of mixed modes.
 
     Columns as in a task description; `args` and `kwargs` are JSON.  `before`
     may filter, change or add rows, `after` sees the results with their target
-    state; both take and return a DataFrame.
+    state; both take and return a DataFrame.  `spread` deals the rows out evenly
+    over that many partitions, for rows that run long.
     """
     functions, modes = dict(functions or {}), modes or Modes()
     work = before(df) if before else df
+    if spread:
+        work = work.repartition(spread)
 
     def make():
         return lambda row: limited(lambda: dispatch(row, functions, modes, allow_code), row.get("timeout"))

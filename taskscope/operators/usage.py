@@ -18,7 +18,7 @@ from taskscope.operators.durations import durations
 from taskscope.operators.ordered import running
 from taskscope.plans.presets import PILOT_AGENT, PILOT_CONSUME, PILOT_PROVIDE
 from taskscope.plans.spec import expand_match, expand_spec, matches
-from taskscope.session import cut
+from taskscope.session import cut, staged
 
 BOX = ["rtype", "metric", "uid", "pid", "t0", "t1", "r0", "r1"]
 PER_NODE = {"cpu": "cores_per_node", "gpu": "gpus_per_node"}
@@ -195,7 +195,7 @@ def overlaps(boxes: DataFrame) -> DataFrame:
             .withColumn("r", F.explode(F.sequence("r0", "r1")))
             .select("rtype", "pid", "r", "t0", "t1", "metric", "uid"))
     # boxes with the same start follow each other by end, metric and uid
-    prior = running(rows, ["rtype", "pid", "r"], ["t0", "t1", "metric", "uid"],
+    prior = running(staged(rows, "boxes"), ["rtype", "pid", "r"], ["t0", "t1", "metric", "uid"],
                     past_maxs={"before": F.col("t1")})
     return prior.filter(F.col("t0") < F.col("before"))
 
@@ -222,21 +222,31 @@ def usage_timeline(events: DataFrame, tasks: DataFrame, rows: list[tuple]) -> Da
     `taskscope.plans.spec`, `tasks` has uid, pilot and amount.  Changes at the
     same time are summed first; long pilots are split by `running`.
     """
-    moves = F.array(*[
-        F.when(matches([expand_match(_short(r))]),
-               F.array(F.struct(F.lit(r[3]).alias("metric"), F.lit(-1).alias("sign")),
-                       F.struct(F.lit(r[4]).alias("metric"), F.lit(1).alias("sign"))))
-        for r in rows])
-    names = sorted({r[0] for r in rows})
-    hits = events.filter(F.col("event").isin(names)).select(
-        "uid", "time", F.explode(F.flatten(F.filter(moves, lambda m: m.isNotNull()))).alias("m"))
-    changes = (hits.join(tasks.filter("pilot is not null").select("uid", "pilot", "amount"), "uid")
-               .groupBy(F.col("pilot").alias("pid"), F.col("m.metric").alias("metric"), "time")
-               .agg(F.sum(F.col("m.sign") * F.col("amount")).alias("change")))
-    return running(changes, ["pid", "metric"], ["time"],
+    hits = events.filter(F.col("event").isin(sorted({r[0] for r in rows})))
+    changes = hits.withColumn("m", _move(rows)).filter("m is not null")
+    changes = changes.join(tasks.filter("pilot is not null").select("uid", "pilot", "amount"), "uid").select(
+        F.col("pilot").alias("pid"), "time", F.explode(F.array(
+            F.struct(F.col("m.source").alias("metric"), (-F.col("amount")).alias("change")),
+            F.struct(F.col("m.target").alias("metric"), F.col("amount").alias("change")))).alias("c"))
+    summed = changes.groupBy("pid", "c.metric", "time").agg(F.sum("c.change").alias("change"))
+    return running(staged(summed, "changes"), ["pid", "metric"], ["time"],
                    sums={"amount": F.col("change")}).select("pid", "metric", "time", "amount")
 
 
+def _move(rows: list[tuple]) -> Column:
+    """Struct(source, target) of the transition an event makes; null for none."""
+    move = None
+    boundaries = [expand_match(_short(r)) for r in rows]
+    for i, (m, row) in enumerate(zip(boundaries, rows)):
+        for other in boundaries[:i]:
+            clash = all(a is None or b is None or a == b for a, b in zip(m, other))
+            if clash:
+                raise ValueError(f"an event may match two transitions: {other} and {m}")
+        pair = F.struct(F.lit(row[3]).alias("source"), F.lit(row[4]).alias("target"))
+        move = F.when(matches([m]), pair) if move is None else move.when(matches([m]), pair)
+    return move
+
+
 def _short(row) -> dict:
     return {k: v for k, v in zip(("EVENT", "STATE", "MSG"), row[:3]) if v is not None}
 
@@ -262,7 +272,7 @@ def occupancy_audit(uses: DataFrame, resources: DataFrame) -> DataFrame:
         F.struct(F.col("t0").alias("time"), F.col("amount").alias("change")),
         F.struct(F.col("t1").alias("time"), (-F.col("amount")).alias("change")))).alias("c")) \
         .groupBy(*where, "c.time").agg(F.sum("c.change").alias("change"))
-    level = running(changes, where, ["time"], sums={"level": F.col("change")})
+    level = running(staged(changes, "changes"), where, ["time"], sums={"level": F.col("change")})
     known = level.join(resources.select(*where, "capacity").withColumn("_known", F.lit(True)), where, "left")
     reason = (F.when(F.col("_known").isNull(), F.lit("unknown"))
               .when(F.col("capacity").isNull(), F.lit("down"))

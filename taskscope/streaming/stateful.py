@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -31,23 +30,23 @@ class Progress(StatefulProcessor):
         self.handle = handle
         self.current = handle.getValueState("current", "top int, last string, settled boolean")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         # a pilot may go back and forth between finals, a task may not: its
         # first row per state is enough, whatever the number of rows
         seen = []
         firsts: dict[str, int] = {}
-        for frame in rows:
-            for seq, state in zip(frame["seq"], frame["state"]):
-                if state not in self.values:
-                    continue
-                if self.settling == ["DONE"] and state in schema.FINAL:
-                    seen.append((int(seq), state))
-                elif state not in firsts or seq < firsts[state]:
-                    firsts[state] = int(seq)
+        for row in rows:
+            seq, state = row.seq, row.state
+            if state not in self.values:
+                continue
+            if self.settling == ["DONE"] and state in schema.FINAL:
+                seen.append((seq, state))
+            elif state not in firsts or seq < firsts[state]:
+                firsts[state] = seq
         seen += [(seq, state) for state, seq in firsts.items()]
 
-        top, last, settled = self.current.get() if self.current.exists() else (-1, None, False)
-        out = []
+        top, last, settled = self.current.get() or (-1, None, False)
+        changed = False
         for seq, state in sorted(seen):
             value = self.values[state]
             if value > top:
@@ -59,15 +58,15 @@ class Progress(StatefulProcessor):
                 told = [state]
             else:
                 continue
-            top, last, settled = value, state, settled or state in self.settling
-            out += [(key[0], seq, state, step, name) for step, name in enumerate(told)]
-        if out:
+            top, last, settled, changed = value, state, settled or state in self.settling, True
+            for step, name in enumerate(told):
+                yield Row(uid=key[0], seq=seq, state=state, step=step, announced=name)
+        if changed:
             self.current.update((top, last, settled))
             if self.forget_ms is not None and top == len(self.known):
                 self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.forget_ms)
-        yield pd.DataFrame(out, columns=["uid", "seq", "state", "step", "announced"])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.current.clear()
         return iter(())
 
@@ -84,7 +83,7 @@ def progress_stream(updates: DataFrame, model: str = "task", replay_final: bool
     rows = updates.select("uid", "state", "seq")
     if model == "task":
         rows = first_per_batch(rows, ["uid", "state"], "seq")
-    return rows.groupBy("uid").transformWithStateInPandas(
+    return rows.groupBy("uid").transformWithState(
         Progress(model, replay_final, forget_ms), CHANGE, "append",
         "processingTime" if forget_ms is not None else "none")
 
@@ -97,13 +96,12 @@ class Timeouts(StatefulProcessor):
         # deadline and timer in ms, 0 for none; started and ended once seen
         self.watch = handle.getValueState("watch", "deadline long, started boolean, ended boolean, run long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        deadline, started, ended, run = self.watch.get() if self.watch.exists() else (0, False, False, 0)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        deadline, started, ended, run = self.watch.get() or (0, False, False, 0)
         first = {}
-        for frame in rows:
-            for kind, at, startup, limit in zip(frame["kind"], frame["ms"], frame["startup_ms"], frame["run_ms"]):
-                if kind not in first or at < first[kind][0]:
-                    first[kind] = (int(at), int(startup), int(limit))
+        for row in rows:
+            if row.kind not in first or row.ms < first[row.kind][0]:
+                first[row.kind] = (row.ms, row.startup_ms, row.run_ms)
         old = deadline
         if "submit" in first:
             at, startup, run = first["submit"]
@@ -122,12 +120,12 @@ class Timeouts(StatefulProcessor):
         self.watch.update((deadline, started, ended, run))
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        deadline = self.watch.get()[0] if self.watch.exists() else 0
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        deadline = (self.watch.get() or (0,))[0]
         at = expiredTimerInfo.getExpiryTimeInMs()
         if deadline == at:
             self.watch.clear()
-            yield pd.DataFrame({"uid": [key[0]], "event": ["task_timeout"], "deadline": [at / 1e3]})
+            yield Row(uid=key[0], event="task_timeout", deadline=at / 1e3)
 
     def close(self) -> None:
         pass
@@ -148,7 +146,7 @@ def timeout_stream(updates: DataFrame, delay: str = "0 seconds") -> DataFrame:
     rows = updates.select("uid", "kind", _ms(F.col("time")).alias("ms"), _ms(F.col("startup_timeout")).alias("startup_ms"),
                           _ms(F.col("timeout")).alias("run_ms"), F.timestamp_seconds("time").alias("ts"))
     return (rows.withWatermark("ts", delay).groupBy("uid")
-            .transformWithStateInPandas(Timeouts(), "uid string, event string, deadline double", "append", "eventTime"))
+            .transformWithState(Timeouts(), "uid string, event string, deadline double", "append", "eventTime"))
 
 
 class Heartbeats(StatefulProcessor):
@@ -161,9 +159,10 @@ class Heartbeats(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", "ms long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        old = self.last.get()[0] if self.last.exists() else None
-        new = max([int(frame["ms"].max()) for frame in rows] + ([] if old is None else [old]))
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        old = (self.last.get() or (None,))[0]
+        new = max(row.ms for row in rows)
+        new = new if old is None else max(new, old)
         if new != old:
             if old is not None:
                 self.handle.deleteTimer(old + self.timeout_ms)
@@ -171,10 +170,10 @@ class Heartbeats(StatefulProcessor):
             self.last.update((new,))
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         last = self.last.get()[0]
         self.last.clear()
-        yield pd.DataFrame({"uid": [key[0]], "rank": [key[1]], "last": [last / 1e3]})
+        yield Row(uid=key[0], rank=key[1], last=last / 1e3)
 
     def close(self) -> None:
         pass
@@ -185,7 +184,7 @@ def lost_worker_stream(heartbeats: DataFrame, timeout: float, delay: str = "0 se
     rows = heartbeats.select("uid", F.col("rank").cast("long").alias("rank"), _ms(F.col("hb")).alias("ms"),
                              F.timestamp_seconds("hb").alias("ts"))
     return (rows.withWatermark("ts", delay).groupBy("uid", "rank")
-            .transformWithStateInPandas(Heartbeats(round(timeout * 1000)), "uid string, rank long, last double",
+            .transformWithState(Heartbeats(round(timeout * 1000)), "uid string, rank long, last double",
                                         "append", "eventTime"))
 
 
@@ -199,17 +198,13 @@ class FirstInfo(StatefulProcessor):
         self.handle = handle
         self.status = handle.getValueState("status", "deadline long, done boolean")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        deadline, done = self.status.get() if self.status.exists() else (0, False)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        deadline, done = self.status.get() or (0, False)
         began, best = None, None
-        for frame in rows:
-            least = int(frame["ms"].min())
-            began = least if began is None else min(began, least)
-            found = frame[frame["info"].notna()]
-            if not done and len(found):
-                row = found.loc[found["pos"].idxmin()]
-                if best is None or row["pos"] < best[0]:
-                    best = (row["pos"], row["info"])
+        for row in rows:
+            began = row.ms if began is None else min(began, row.ms)
+            if row.info is not None and not done and (best is None or row.pos < best[0]):
+                best = (row.pos, row.info)
         if best is not None:
             done = True
             if deadline:
@@ -220,11 +215,11 @@ class FirstInfo(StatefulProcessor):
             self.handle.registerTimer(deadline)
         self.status.update((deadline, done))
         if best is not None:
-            yield pd.DataFrame({"uid": [key[0]], "info": [best[1]], "error": [None]})
+            yield Row(uid=key[0], info=best[1], error=None)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.status.update((0, True))
-        yield pd.DataFrame({"uid": [key[0]], "info": [None], "error": ["startup timeout"]})
+        yield Row(uid=key[0], info=None, error="startup timeout")
 
     def close(self) -> None:
         pass
@@ -239,7 +234,7 @@ def info_stream(lines: DataFrame, pattern: str, timeout: float = 0.0, delay: str
         # lines without a match matter for the time limit only
         rows = rows.filter("info is not null")
     return (rows.withWatermark("ts", delay).groupBy("uid")
-            .transformWithStateInPandas(FirstInfo(round(timeout * 1000)), "uid string, info string, error string",
+            .transformWithState(FirstInfo(round(timeout * 1000)), "uid string, info string, error string",
                                         "append", "eventTime"))
 
 
