@@ -177,3 +177,44 @@ def read_environment():
 add("X10_environment",
     lambda s, p: runner.run_func(with_environment(s, p), read_environment).select("uid", "val"),
     """SELECT concat_ws('.', 'task', conv_id, turn) AS uid, concat('"', CAST(turn AS VARCHAR(20)), '"') AS val FROM conversations""")
+
+
+# ---- one query per way to run ----------------------------------------------
+add("X7_register_mode",
+    lambda s, p: runner.run_tasks(mixed(s, p).filter("mode = 'price'"), modes=price_mode()).select("uid", "ret", "val"),
+    """SELECT concat('task.', CAST(o_orderkey AS VARCHAR(20))) AS uid, 0 AS ret,
+  CAST(CAST(trunc(o_totalprice * 100) AS BIGINT) // 7 AS VARCHAR(20)) AS val FROM orders WHERE o_orderkey % 5 = 2""")
+add("X12_async_function",
+    lambda s, p: runner.run_func(table(s, p, "customer"), later, ["c_custkey", "c_nationkey"], keep=["c_custkey"])
+    .select("c_custkey", "val"),
+    "SELECT c_custkey, CAST(c_custkey * c_nationkey AS VARCHAR(20)) AS val FROM customer")
+
+
+@runner.task_fn
+def scaled(factor, offset=0):
+    return factor * 10 + offset
+
+
+# the arguments are bound: rows may not bring their own
+add("X11_bound_function",
+    lambda s, p: runner.run_tasks(table(s, p, "customer").select(
+        F.concat(F.lit("task."), F.col("c_custkey").cast("string")).alias("uid"), F.lit("task.function").alias("mode"),
+        F.lit("scaled").alias("function"), F.when(F.col("c_custkey") % 4 == 0, "[1]").otherwise("").alias("args")),
+        {"scaled": scaled(4, offset=2)}).select("uid", "ret", "val", "exc"),
+    """SELECT concat('task.', CAST(c_custkey AS VARCHAR(20))) AS uid, CASE WHEN c_custkey % 4 = 0 THEN 1 ELSE 0 END AS ret,
+  CASE WHEN c_custkey % 4 <> 0 THEN '42' END AS val,
+  CASE WHEN c_custkey % 4 = 0 THEN 'ValueError(''a function with bound arguments takes no others'')' END AS exc FROM customer""")
+add("X15_after_hook",
+    lambda s, p: runner.run_tasks(mixed(s, p).filter("mode IN ('price', 'task.method')"), modes=price_mode(), after=lambda r:
+                                  r.groupBy("target_state").agg(F.count(F.lit(1)).alias("n"))),
+    """SELECT CASE o_orderkey % 5 WHEN 1 THEN 'FAILED' ELSE 'DONE' END AS target_state, count(*) AS n
+FROM orders WHERE o_orderkey % 5 IN (1, 2) GROUP BY 1""")
+add("X18_failures",
+    lambda s, p: runner.run_func(items(s, p), measure, ["text", "turn"]).filter("ret <> 0").select(
+        "uid", "exc", F.col("detail").contains("in measure").alias("traced")),
+    """SELECT concat_ws('.', 'task', conv_id, turn) AS uid, 'ValueError(''no third turn'')' AS exc, true AS traced
+FROM conversations WHERE turn = 3""")
+add("F11_tool_name",
+    lambda s, p: table(s, p, "part").groupBy(tx.tool_name(F.concat(
+        F.lit("STATE Part "), (F.col("p_partkey") % 9).cast("string"))).alias("event")).agg(F.count(F.lit(1)).alias("n")),
+    "SELECT concat('part_', CAST(p_partkey % 9 AS VARCHAR(20))) AS event, count(*) AS n FROM part GROUP BY 1")

@@ -34,9 +34,13 @@ def in_runs(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
     The checkpoint fixes which row is in which run, also after a lost executor.
     """
-    ranged = (df.repartitionByRange(*keys, *order)
-              .sortWithinPartitions(*keys, *order))
-    return cut(ranged).withColumn(RUN, F.spark_partition_id())
+    return _in_ranges(df, [*keys, *order]).withColumn(RUN, F.spark_partition_id())
+
+
+def _in_ranges(df: DataFrame, columns: list[str]) -> DataFrame:
+    # a given number of ranges is not coalesced, so a large key stays split
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(df.repartitionByRange(parts, *columns).sortWithinPartitions(*columns))
 
 
 def _spanning(totals: DataFrame, keys: list[str]) -> DataFrame:
@@ -138,8 +142,7 @@ def global_index(df: DataFrame, order: list[str], name: str = "idx") -> DataFram
     Ranges are sorted in parallel; a row's number is its position in its range
     plus the number of rows in earlier ranges (one small row per range).
     """
-    ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order))
-    placed = ranged.withColumns({
+    placed = _in_ranges(df, order).withColumns({
         RUN: F.spark_partition_id(),
         "_id": F.monotonically_increasing_id(),
     })
