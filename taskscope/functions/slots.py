@@ -13,7 +13,7 @@ def _occupations(column: Column, kind: T.DataType) -> Column:
     """Indexes, (index, occupation) pairs or structs to occupation structs."""
     item = kind.elementType
     if isinstance(item, T.StructType):
-        index = lambda r: r.index.cast("int")
+        index = lambda r: r["index"].cast("int")
         share = lambda r: r.occupation.cast("double")
     elif isinstance(item, T.ArrayType):
         index = lambda r: r[0].cast("int")
@@ -42,7 +42,7 @@ def slots_to_new(df: DataFrame, column: str = "slots") -> DataFrame:
 
 def slots_to_old(df: DataFrame, column: str = "slots") -> DataFrame:
     """Slots with one list per index, as old readers expect; no version."""
-    only_index = lambda c: F.transform(c, lambda r: F.array(r.index))
+    only_index = lambda c: F.transform(c, lambda r: F.array(r["index"]))
     return df.withColumn(column, F.transform(column, lambda s: F.struct(
         only_index(s.cores).alias("cores"), only_index(s.gpus).alias("gpus"),
         F.coalesce(s.lfs, F.lit(0)).alias("lfs"), F.coalesce(s.mem, F.lit(0)).alias("mem"),

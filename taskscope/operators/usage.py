@@ -71,7 +71,7 @@ def nodes_of(pilots: DataFrame) -> DataFrame:
     """Node table from pilot documents: workload nodes first, then agent nodes."""
     agents = F.coalesce(F.map_values("resource_details.agent_nodes"), F.array())
     listed = lambda nodes, agent: F.transform(
-        nodes, lambda n: F.struct(n.index.alias("node_index"), n.name.alias("name"), F.lit(agent).alias("agent")))
+        nodes, lambda n: F.struct(n["index"].alias("node_index"), n["name"].alias("name"), F.lit(agent).alias("agent")))
     both = F.concat(listed(F.col("resource_details.node_list"), False), listed(agents, True))
     return pilots.select(F.col("uid").alias("pid"), F.posexplode(both).alias("pos", "n")) \
                  .select("pid", "pos", "n.*")

@@ -79,6 +79,8 @@ def progress_stream(updates: DataFrame, model: str = "task", replay_final: bool
     """Each transition of each uid once: (uid, seq, state, step, announced).
 
     With `forget_ms` the state of a uid goes that long after a final state.
+    That needs timers on the clock, for which Spark goes on making batches: such
+    a stream runs until it is stopped, also with `availableNow`.
     """
     rows = updates.select("uid", "state", "seq")
     if model == "task":

@@ -54,6 +54,8 @@ def test_subscriber_per_row(spark, tmp_path):
     assert sorted(os.listdir(place)) == ["a.1", "a.3"] and query.exception() is None
 
 
+#: rows at the epoch itself would be late from the start
+T0 = 1000.0
 LIMITS = "uid string, kind string, time double, startup_timeout double, timeout double"
 
 
@@ -62,35 +64,59 @@ def test_time_limits(spark):
               ("d", "submit", 0.0, 0.0, 20.0)],
              [("b", "started", 5.0, None, 50.0), ("d", "ended", 19.0, None, None)],
              [("c", "other", 40.0, None, None)], [("c", "other", 100.0, None, None)], [("c", "other", 101.0, None, None)]]
+    steps = [[(u, k, T0 + t, a, b) for u, k, t, a, b in rows] for rows in steps]
     got = msg.run_to_end(st.timeout_stream(stream(spark, steps, LIMITS)), fresh_path(spark, "t5"))
-    want = [("a", "task_timeout", 10.0), ("b", "task_timeout", 55.0)]
+    want = [("a", "task_timeout", T0 + 10), ("b", "task_timeout", T0 + 55)]
     assert tuples(got) == want
     every = spark.createDataFrame([r for s in steps for r in s], LIMITS)
-    assert tuples(st.timeouts(every, 101.0)) == want
+    assert tuples(st.timeouts(every, T0 + 101)) == want
 
 
 def test_lost_workers(spark):
     steps = [[("w1", 0, 0.0), ("w1", 1, 0.0), ("w2", 0, 0.0)], [("w1", 0, 50.0), ("w2", 0, 50.0)], [("w1", 0, 120.0), ("w2", 0, 121.0)],
              [("w1", 0, 122.0)]]
+    steps = [[(u, r, T0 + t) for u, r, t in rows] for rows in steps]
     layout = "uid string, rank int, hb double"
     got = msg.run_to_end(st.lost_worker_stream(stream(spark, steps, layout), 100.0), fresh_path(spark, "t4"))
-    assert tuples(got) == [("w1", 1, 0.0)]
+    assert tuples(got) == [("w1", 1, T0)]
     every = spark.createDataFrame([r for s in steps for r in s], layout)
-    assert tuples(st.lost_workers(every, 122.0, 100.0)) == [("w1", 1, 0.0)]
+    assert tuples(st.lost_workers(every, T0 + 122, 100.0)) == [("w1", 1, T0)]
 
 
 def test_info_or_time_limit(spark):
     steps = [[("a", 0, 0.0, "starting"), ("b", 0, 0.0, "starting")], [("a", 2, 3.0, "url: y"), ("a", 1, 3.0, "url: x")],
              [("c", 0, 90.0, "z")], [("c", 1, 91.0, "url: z")], [("a", 3, 92.0, "url: late"), ("b", 1, 92.0, "url: late")]]
+    steps = [[(u, n, T0 + t, v) for u, n, t, v in rows] for rows in steps]
     lines = stream(spark, steps, "uid string, pos int, time double, value string")
     got = msg.run_to_end(st.info_stream(lines, r"url: (\S+)", timeout=20.0), fresh_path(spark, "t13"))
     assert tuples(got) == [("a", "x", None), ("b", None, "startup timeout"), ("c", "z", None)]
 
 
 def test_forgotten_state_is_removed(spark):
-    steps = [[("u", 1, "DONE")]]
-    got = msg.run_to_end(st.progress_stream(stream(spark, steps, "uid string, seq long, state string"), forget_ms=1), fresh_path(spark, "f"))
-    assert got.filter("announced = 'DONE'").count() == 1
+    import time
+    layout = "uid string, seq long, state string"
+    path = fresh_path(spark, "steps")
+    add = lambda rows: spark.createDataFrame(rows, layout).coalesce(1).write.mode("append").parquet(path)
+    add([("u", 1, "DONE")])
+    msg.use_state_store(spark)
+    source = spark.readStream.schema(layout).parquet(path)
+    # timers on the clock keep a stream busy, so it is stopped from here
+    query = (st.progress_stream(source, forget_ms=1).writeStream.format("memory").queryName("forgotten")
+             .option("checkpointLocation", fresh_path(spark, "c")).trigger(processingTime="500 milliseconds").start())
+
+    def wait_for(n):
+        end = time.time() + 40
+        while spark.table("forgotten").filter("announced = 'DONE'").count() < n and time.time() < end:
+            time.sleep(0.5)
+        return spark.table("forgotten").filter("announced = 'DONE'").count()
+
+    try:
+        assert wait_for(1) == 1
+        time.sleep(3)
+        add([("u", 2, "DONE")])  # the uid is new again
+        assert wait_for(2) == 2
+    finally:
+        query.stop()
 
 
 def test_bags_wait_for_all_members(spark):
