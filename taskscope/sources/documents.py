@@ -56,9 +56,10 @@ def read_session(spark: SparkSession, path: str, sid: str) -> dict[str, DataFram
 
 
 def write_session(tables: dict[str, DataFrame], path: str, fmt: str = "parquet") -> None:
-    """One folder per table, and in it one per session."""
+    """One folder per table, and in it one per session; other sessions stay."""
     for name, df in tables.items():
-        writer = df.write.mode("overwrite").format(fmt)
+        writer = (df.write.mode("overwrite").format(fmt)
+                  .option("partitionOverwriteMode", "dynamic"))
         if "sid" in df.columns:
             writer = writer.partitionBy("sid")
         writer.save(f"{path}/{name}")

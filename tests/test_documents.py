@@ -63,6 +63,13 @@ def test_cache_is_used_and_renewed(spark, folder, tmp_path_factory):
     assert len(built) == 2 and got["task"].count() == 3
 
 
+def test_writing_a_session_keeps_the_others(spark, tmp_path):
+    for sid, n in (("s0", 2), ("s1", 3), ("s0", 1)):
+        d.write_session({"task": spark.range(n).withColumn("sid", F.lit(sid))}, str(tmp_path))
+    got = d.read_tables(spark, str(tmp_path), ["task"])["task"]
+    assert {r.sid: r["count"] for r in got.groupBy("sid").count().collect()} == {"s0": 1, "s1": 3}
+
+
 def test_inventory(spark, folder):
     tables = d.read_session(spark, folder, "s0")
     assert d.session_inventory(tables, "sort").count() == 1 + 2 + 1 + 1 + 2
