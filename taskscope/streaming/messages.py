@@ -34,20 +34,23 @@ def read_updates(messages: DataFrame, item: T.StructType = UPDATE) -> DataFrame:
     return messages.filter(kind == "update").select(F.explode(many).alias("u")).select("u.*")
 
 
-def first_per_batch(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Combine map-side: per Arrow batch and key only the smallest `order` goes on.
+def first_per_batch(df: DataFrame, keys: list[str], order: str, last: bool = False) -> DataFrame:
+    """Combine map-side: per Arrow batch and key only the smallest `order` goes
+    on, or the largest with `last`.
 
-    For streams whose first row per key decides; a hot key then sends a few
-    rows per batch to its stateful task instead of all.  Columns are keys and
-    order only.
+    For streams whose first (or last) row per key decides; a hot key then sends
+    a few rows per batch to its stateful task instead of all.  Columns are keys
+    and order only.
     """
     rows = df.select(*keys, order)
     names = [*keys, order]
+    pick = "max" if last else "min"
 
     def combine(batches):
         for batch in batches:
-            small = pa.Table.from_batches([batch]).group_by(keys).aggregate([(order, "min")])
-            yield from small.rename_columns([*keys, order]).select(names).cast(batch.schema).to_batches()
+            small = pa.Table.from_batches([batch]).group_by(keys).aggregate([(order, pick)])
+            small = small.select([*keys, f"{order}_{pick}"]).rename_columns(names)
+            yield from small.cast(batch.schema).to_batches()
 
     return rows.mapInArrow(combine, rows.schema)
 

@@ -183,8 +183,9 @@ class Heartbeats(StatefulProcessor):
 
 def lost_worker_stream(heartbeats: DataFrame, timeout: float, delay: str = "0 seconds") -> DataFrame:
     """(uid, rank, last) once no heartbeat of a rank has come for `timeout` seconds."""
-    rows = heartbeats.select("uid", F.col("rank").cast("long").alias("rank"), _ms(F.col("hb")).alias("ms"),
-                             F.timestamp_seconds("hb").alias("ts"))
+    beats = heartbeats.select("uid", F.col("rank").cast("long").alias("rank"), "hb")
+    rows = first_per_batch(beats, ["uid", "rank"], "hb", last=True).select(
+        "uid", "rank", _ms(F.col("hb")).alias("ms"), F.timestamp_seconds("hb").alias("ts"))
     return (rows.withWatermark("ts", delay).groupBy("uid", "rank")
             .transformWithState(Heartbeats(round(timeout * 1000)), "uid string, rank long, last double",
                                         "append", "eventTime"))

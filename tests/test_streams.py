@@ -150,3 +150,4 @@ def test_keys_and_cancels_are_remembered(spark):
 def test_first_per_batch_keeps_the_first(spark):
     df = spark.range(1000).select((F.col("id") % 3).cast("string").alias("uid"), F.col("id").alias("seq")).coalesce(1)
     assert tuples(msg.first_per_batch(df, ["uid"], "seq")) == [("0", 0), ("1", 1), ("2", 2)]
+    assert tuples(msg.first_per_batch(df, ["uid"], "seq", last=True)) == [("0", 999), ("1", 997), ("2", 998)]
