@@ -12,7 +12,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from taskscope.llm import bpe, jaccard
+from taskscope.llm import bpe, decontaminate, jaccard, quality
 
 #: Folder of the public vocabulary files, unless given otherwise.
 TOKENIZERS = "TASKSCOPE_TOKENIZERS"
@@ -30,6 +30,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_quality_cascade(spark: SparkSession, sf: str) -> DataFrame:
+    """Base measures and the verdict of the cascade for every document."""
+    return quality.cascade(table(spark, sf, "documents"))
+
+
+def op5_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents and benchmark items whose passages match, with the place of the match."""
+    return decontaminate.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     """Components of documents whose sets of 4-word shingles have a similarity of 0.85 or more."""
     return jaccard.jaccard_components(table(spark, sf, "documents"), size=4, percent=85)
@@ -40,5 +50,5 @@ def op10_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op7_jaccard_join, op10_byte_bpe)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_quality_cascade, op5_decontamination, op7_jaccard_join, op10_byte_bpe)}
+ORACLES: dict[str, str] = {"op1_quality_cascade": quality.ORACLE}
