@@ -12,7 +12,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from taskscope.llm import bpe, decontaminate, jaccard, quality
+from taskscope.llm import bpe, decontaminate, jaccard, licences, quality, sharding, warc
+from taskscope.session import fresh_path
 
 #: Folder of the public vocabulary files, unless given otherwise.
 TOKENIZERS = "TASKSCOPE_TOKENIZERS"
@@ -35,6 +36,11 @@ def op1_quality_cascade(spark: SparkSession, sf: str) -> DataFrame:
     return quality.cascade(table(spark, sf, "documents"))
 
 
+def op2_histogram_sort(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's place in 40 shards of equal bytes."""
+    return sharding.shard(table(spark, sf, "documents"), 40)
+
+
 def op5_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     """Documents and benchmark items whose passages match, with the place of the match."""
     return decontaminate.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
@@ -45,10 +51,25 @@ def op7_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf, "documents"), size=4, percent=85)
 
 
+def op8_warc(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages written as archives and read back: what each record holds or refers to."""
+    path = fresh_path(spark, "warc")
+    warc.write(table(spark, sf, "pages"), path)
+    found = warc.pages(warc.whole(warc.read(spark, path)))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_licence_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Licence phrases and notices of every document."""
+    return licences.scan(table(spark, sf, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     """Ids of every document, and what they decode to, as digests."""
     return bpe.round_trip(table(spark, sf, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_cascade, op5_decontamination, op7_jaccard_join, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (
+    op1_quality_cascade, op2_histogram_sort, op5_decontamination, op7_jaccard_join, op8_warc, op9_licence_scan,
+    op10_byte_bpe)}
 ORACLES: dict[str, str] = {"op1_quality_cascade": quality.ORACLE}
