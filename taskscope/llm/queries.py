@@ -12,7 +12,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from taskscope.llm import bpe, decontaminate, jaccard, licences, quality, sharding, warc
+from taskscope.llm import bpe, decontaminate, jaccard, licences, pii, quality, sharding, tokens, toxicity, warc
 from taskscope.session import fresh_path
 
 #: Folder of the public vocabulary files, unless given otherwise.
@@ -41,11 +41,28 @@ def op2_histogram_sort(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.shard(table(spark, sf, "documents"), 40)
 
 
+def op3_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Score of every document by a grammar whose insults the labels teach."""
+    docs = table(spark, sf, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf, "labels")))
+
+
+def op4_pii(spark: SparkSession, sf: str) -> DataFrame:
+    """Personal data in every document: spans of the patterns, and what the field adds."""
+    docs = table(spark, sf, "documents")
+    return pii.find(docs, pii.fit(docs))
+
+
 def op5_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     """Documents and benchmark items whose passages match, with the place of the match."""
     return decontaminate.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+def op6_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of every line of every document; a token belongs to the line of its first character."""
+    return tokens.section_tokens(table(spark, sf, "documents"), vocabulary("byte_bpe_50k.tiktoken"), rule="first")
+
+
 def op7_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     """Components of documents whose sets of 4-word shingles have a similarity of 0.85 or more."""
     return jaccard.jaccard_components(table(spark, sf, "documents"), size=4, percent=85)
@@ -70,6 +87,6 @@ def op10_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_cascade, op2_histogram_sort, op5_decontamination, op7_jaccard_join, op8_warc, op9_licence_scan,
-    op10_byte_bpe)}
+    op1_quality_cascade, op2_histogram_sort, op3_toxicity, op4_pii, op5_decontamination, op6_token_counts,
+    op7_jaccard_join, op8_warc, op9_licence_scan, op10_byte_bpe)}
 ORACLES: dict[str, str] = {"op1_quality_cascade": quality.ORACLE}
