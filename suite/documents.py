@@ -52,14 +52,14 @@ add("S3_read_session_managers",
   '{{"v":1}}' AS cfg FROM tasks_v""")
 
 add("S4_task_ids",
-    lambda s, p: d.session_with_task_ids(view(s, p, "pilots_v").select("uid", "resource"),
-                                         view(s, p, "tasks_v").filter("pilot > 'pilot.0002'"), 100)
+    lambda s, p: d.session_with_task_ids(view(s, p, "pilots_v").select("uid", "resource").union(
+                                             s.sql("SELECT 'pilot.none', 'no tasks'")), view(s, p, "tasks_v"), 100)
     .select("uid", "resource", "chunk", F.array_join("task_ids", ",").alias("task_ids")),
     """WITH n AS (SELECT pilot, uid, (row_number() OVER (PARTITION BY pilot ORDER BY uid) - 1) // 100 AS chunk
-  FROM tasks_v WHERE pilot > 'pilot.0002'),
+  FROM tasks_v),
 c AS (SELECT pilot, chunk, string_agg(uid, ',' ORDER BY uid) AS ids FROM n GROUP BY 1, 2)
 SELECT p.uid, p.resource, coalesce(c.chunk, 0) AS chunk, coalesce(c.ids, '') AS task_ids
-FROM pilots_v p LEFT JOIN c ON c.pilot = p.uid""")
+FROM (SELECT uid, resource FROM pilots_v UNION ALL SELECT 'pilot.none', 'no tasks') p LEFT JOIN c ON c.pilot = p.uid""")
 
 
 def tables(s, p):
@@ -160,14 +160,14 @@ def log_lines(s, p):
 
 
 def idmap_lines(s, p):
-    o = table(s, p, "orders").filter("o_custkey % 3 = 0")
+    o = table(s, p, "orders")
     return o.select((F.col("o_orderkey")).alias("pos"), F.concat(
         F.lit("x PRTE IDMAP: 33357,"), (F.col("o_orderkey") % 40).cast("string"), F.lit(":task."), F.col("o_orderkey").cast("string"),
         F.lit("  ")).alias("value"))
 
 
 _IDMAP = """ids AS (SELECT concat('33357,', CAST(o_orderkey % 40 AS VARCHAR(20))) AS tool_id,
-  concat('task.', CAST(max(o_orderkey) AS VARCHAR(20))) AS uid FROM orders WHERE o_custkey % 3 = 0 GROUP BY 1)"""
+  concat('task.', CAST(max(o_orderkey) AS VARCHAR(20))) AS uid FROM orders GROUP BY 1)"""
 add("S6_log_idmap", lambda s, p: logs.log_idmap(idmap_lines(s, p), ["pos"]), f"WITH {_IDMAP} SELECT tool_id, uid FROM ids")
 
 

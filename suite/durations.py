@@ -121,16 +121,24 @@ SELECT uid, starts.state, metric, dur FROM dur JOIN starts USING (metric)""")
 _TASK_OF_PILOT = """SELECT concat('task.', lpad(CAST(c_custkey AS VARCHAR(20)), 9, '0')) AS uid,
  concat('pilot.', CAST(c_nationkey AS VARCHAR(20))) AS pilot FROM customer"""
 
+def two_sessions(events):
+    """The same uids in a second session."""
+    return events.unionByName(events.withColumn("sid", F.lit("s1")))
+
+
+# the second session has the tasks of every second customer, on the same pilots
 add("A4_task_state_stats",
     lambda s, p: d.task_state_stats(
-        view(s, p, "task_trace_v"),
+        two_sessions(view(s, p, "task_trace_v")),
         table(s, p, "customer").select(
             F.concat(F.lit("task."), F.lpad(F.col("c_custkey").cast("string"), 9, "0")).alias("uid"),
-            F.concat(F.lit("pilot."), F.col("c_nationkey").cast("string")).alias("pilot")))
-    .select("pilot", "state", "n", F.round("mean", 4).alias("mean"), F.round("std", 3).alias("std")),
-    found(TASK_DEBUG, "task_trace_v") + f""", {_starts(TASK_DEBUG)}, tasks AS ({_TASK_OF_PILOT})
-SELECT pilot, starts.state, count(*) AS n, round(avg(dur), 4) AS mean, round(stddev_pop(dur), 3) AS std
-FROM dur JOIN starts USING (metric) JOIN tasks USING (uid) GROUP BY 1, 2""")
+            F.concat(F.lit("pilot."), F.col("c_nationkey").cast("string")).alias("pilot"),
+            F.explode(F.when(F.col("c_custkey") % 2 == 0, F.array(F.lit("s0"), F.lit("s1"))).otherwise(F.array(F.lit("s0")))).alias("sid")))
+    .select("sid", "pilot", "state", "n", F.round("mean", 4).alias("mean"), F.round("std", 3).alias("std")),
+    found(TASK_DEBUG, "task_trace_v") + f""", {_starts(TASK_DEBUG)}, tasks AS ({_TASK_OF_PILOT}),
+two AS (SELECT 's0' AS sid, * FROM tasks UNION ALL SELECT 's1', * FROM tasks WHERE CAST(substr(uid, 6) AS BIGINT) % 2 = 0)
+SELECT two.sid, pilot, starts.state, count(*) AS n, round(avg(dur), 4) AS mean, round(stddev_pop(dur), 3) AS std
+FROM dur JOIN starts USING (metric) JOIN two USING (uid) GROUP BY 1, 2, 3""")
 
 # all tasks and pilots of one session
 _BOTH = "(SELECT * FROM task_trace_v UNION ALL SELECT * FROM pilot_trace_v)"

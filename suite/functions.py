@@ -181,9 +181,9 @@ add("X10_environment",
 
 # ---- one query per way to run ----------------------------------------------
 add("X7_register_mode",
-    lambda s, p: runner.run_tasks(mixed(s, p).filter("mode = 'price'"), modes=price_mode()).select("uid", "ret", "val"),
-    """SELECT concat('task.', CAST(o_orderkey AS VARCHAR(20))) AS uid, 0 AS ret,
-  CAST(CAST(trunc(o_totalprice * 100) AS BIGINT) // 7 AS VARCHAR(20)) AS val FROM orders WHERE o_orderkey % 5 = 2""")
+    lambda s, p: runner.run_tasks(mixed(s, p), modes=price_mode()).select("uid", "ret", "val"),
+    """SELECT concat('task.', CAST(o_orderkey AS VARCHAR(20))) AS uid, CASE WHEN o_orderkey % 5 = 2 THEN 0 ELSE 1 END AS ret,
+  CASE WHEN o_orderkey % 5 = 2 THEN CAST(CAST(trunc(o_totalprice * 100) AS BIGINT) // 7 AS VARCHAR(20)) END AS val FROM orders""")
 add("X12_async_function",
     lambda s, p: runner.run_func(table(s, p, "customer"), later, ["c_custkey", "c_nationkey"], keep=["c_custkey"])
     .select("c_custkey", "val"),
@@ -205,10 +205,10 @@ add("X11_bound_function",
   CASE WHEN c_custkey % 4 <> 0 THEN '42' END AS val,
   CASE WHEN c_custkey % 4 = 0 THEN 'ValueError(''a function with bound arguments takes no others'')' END AS exc FROM customer""")
 add("X15_after_hook",
-    lambda s, p: runner.run_tasks(mixed(s, p).filter("mode IN ('price', 'task.method')"), modes=price_mode(), after=lambda r:
+    lambda s, p: runner.run_tasks(mixed(s, p), modes=price_mode(), after=lambda r:
                                   r.groupBy("target_state").agg(F.count(F.lit(1)).alias("n"))),
-    """SELECT CASE o_orderkey % 5 WHEN 1 THEN 'FAILED' ELSE 'DONE' END AS target_state, count(*) AS n
-FROM orders WHERE o_orderkey % 5 IN (1, 2) GROUP BY 1""")
+    """SELECT CASE o_orderkey % 5 WHEN 2 THEN 'DONE' ELSE 'FAILED' END AS target_state, count(*) AS n
+FROM orders GROUP BY 1""")
 add("X18_failures",
     lambda s, p: runner.run_func(items(s, p), measure, ["text", "turn"]).filter("ret <> 0").select(
         "uid", "exc", F.col("detail").contains("in measure").alias("traced")),
@@ -218,3 +218,38 @@ add("F11_tool_name",
     lambda s, p: table(s, p, "part").groupBy(tx.tool_name(F.concat(
         F.lit("STATE Part "), (F.col("p_partkey") % 9).cast("string"))).alias("event")).agg(F.count(F.lit(1)).alias("n")),
     "SELECT concat('part_', CAST(p_partkey % 9 AS VARCHAR(20))) AS event, count(*) AS n FROM part GROUP BY 1")
+
+# ---- code from a column: fixed texts over the rows of a table --------------
+add("X3_eval",
+    lambda s, p: runner.run_eval(items(s, p).withColumn("code", F.concat(
+        F.lit("sum(range("), F.col("turn").cast("string"), F.lit(")) + len('ab') * 3"))), allow_code=True)
+    .select("uid", "ret", "val"),
+    """SELECT concat_ws('.', 'task', conv_id, turn) AS uid, 0 AS ret,
+  CAST(turn * (turn - 1) // 2 + 6 AS VARCHAR(20)) AS val FROM conversations""")
+# a text over two lines stays as it is
+_BODY = "\n".join(["text = '''a", "b'''", "if turn == 3:", "    raise ValueError('no third turn')",
+                   "return len(text) * base + turn"])
+add("X4_exec",
+    lambda s, p: runner.run_exec(items(s, p).withColumns({
+        "pre_exec": F.array(F.lit("base = 10"), F.concat(F.lit("turn = "), F.col("turn").cast("string"))),
+        "code": F.lit(_BODY)}), allow_code=True).select("uid", "ret", "val", "exc"),
+    """SELECT concat_ws('.', 'task', conv_id, turn) AS uid, CASE WHEN turn = 3 THEN 1 ELSE 0 END AS ret,
+  CASE WHEN turn <> 3 THEN CAST(30 + turn AS VARCHAR(20)) END AS val,
+  CASE WHEN turn = 3 THEN 'ValueError(''no third turn'')' END AS exc FROM conversations""")
+
+
+def patient(turn):
+    """The last turns would take far longer than their limit."""
+    import time
+    if turn >= 7:
+        time.sleep(60)
+    return turn
+
+
+add("X9_time_limit",
+    lambda s, p: runner.run_func(
+        items(s, p).withColumn("timeout", F.when(F.col("turn") >= 7, 0.05)).repartition(s.sparkContext.defaultParallelism),
+        patient, ["turn"]).select("uid", "ret", "val", "exc"),
+    """SELECT concat_ws('.', 'task', conv_id, turn) AS uid, CASE WHEN turn >= 7 THEN 1 ELSE 0 END AS ret,
+  CASE WHEN turn < 7 THEN CAST(turn AS VARCHAR(20)) END AS val,
+  CASE WHEN turn >= 7 THEN 'TimeoutError("task timed out")' END AS exc FROM conversations""")

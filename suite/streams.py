@@ -24,8 +24,13 @@ def add(name, query, oracle=None):
         ORACLES[name] = sql(oracle)
 
 
+#: Files of a step, and of a micro-batch.
+FILES = 4
+
+
 def stream_of(s, df, order, batches=3):
-    """A stream of the rows in `batches` steps, earlier ones of `order` first."""
+    """A stream of the rows in `batches` steps, earlier ones of `order` first; each
+    step is written and read by FILES tasks."""
     path = fresh_path(s, "source")
     bounds = df.agg(F.min(order).alias("a"), F.max(order).alias("b")).head()
     step = (bounds.b - bounds.a) / batches
@@ -34,8 +39,8 @@ def stream_of(s, df, order, batches=3):
         part = F.col(order) >= low
         if i < batches - 1:
             part = part & (F.col(order) < high)
-        df.filter(part).coalesce(1).write.mode("append").parquet(path)
-    return s.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        df.filter(part).repartition(FILES).write.mode("append").parquet(path)
+    return s.readStream.schema(df.schema).option("maxFilesPerTrigger", FILES).parquet(path)
 
 
 def updates(s, p):

@@ -103,11 +103,14 @@ cleaned AS (SELECT time, event, comp, thread, uid, state, msg, 'task' AS etype F
 EVENT_COLS = ["time", "event", "comp", "thread", "uid", "state", "msg", "etype"]
 add("C2_clean", lambda s, p: c.clean(raw(s, p)).select(EVENT_COLS), f"WITH {_RAW} SELECT * FROM cleaned")
 
+# two sessions with the same uids, the second an hour later
 add("C3_hostmap",
-    lambda s, p: c.hostmap(view(s, p, "pilot_trace_v").withColumn(
+    lambda s, p: c.hostmap(view(s, p, "pilot_trace_v").unionByName(view(s, p, "pilot_trace_v").withColumns(
+        {"sid": F.lit("s1"), "time": F.col("time") + 3600})).withColumn(
         "msg", F.concat("msg", F.date_format(F.timestamp_seconds("time"), "HH")))),
-    """SELECT uid, arg_max(concat(msg, strftime(make_timestamp(CAST(floor(time) AS BIGINT) * 1000000), '%H')), time) AS host
-FROM pilot_trace_v WHERE event = 'hostname' GROUP BY uid""")
+    """WITH e AS (SELECT * FROM pilot_trace_v UNION ALL SELECT * REPLACE ('s1' AS sid, time + 3600 AS time) FROM pilot_trace_v)
+SELECT sid, uid, arg_max(concat(msg, strftime(make_timestamp(CAST(floor(time) AS BIGINT) * 1000000), '%H')), time) AS host
+FROM e WHERE event = 'hostname' GROUP BY sid, uid""")
 
 
 def legacy_files(s, p):

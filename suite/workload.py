@@ -189,7 +189,7 @@ def as_objects(s, p):
 add("F3_expand_directives",
     lambda s, p: staging.expand_directives(as_objects(s, p), keys=("uid", "page_id")).select(
         "page_id", "sd_uid", "target", "action", "flags", "priority", "error"),
-    r"""SELECT page_id, concat('sd.', substr(sha256(concat(uid, '/', CAST(page_id AS VARCHAR(20)))), 1, 16)) AS sd_uid,
+    r"""SELECT page_id, concat('sd.', sha256(concat(uid, '/', CAST(page_id AS VARCHAR(20))))) AS sd_uid,
   CASE WHEN page_id % 2 = 0 THEN 'x.dat' WHEN page_id % 3 = 0 THEN regexp_extract(regexp_replace(regexp_replace(
     directive, '^[a-z]+://[^/?#]*', ''), '[?#].*$', ''), '([^/]*)$', 1)
     ELSE concat('p', CAST(page_id AS VARCHAR(20)), '.html') END AS target,
@@ -237,9 +237,9 @@ SELECT * FROM d WHERE action <> 'Tarball' UNION ALL SELECT uid, concat('file://l
 add("A18_tarball_members", lambda s, p: staging.group_tarballs(sources(s, p))[1],
     f"WITH {_SOURCES} SELECT uid, concat(uid, '.tar') AS tarball, source, target FROM d WHERE action = 'Tarball'")
 add("A17_bulk_groups",
-    lambda s, p: staging.bulk_groups(view(s, p, "tasks_v").filter("priority = 1"), 118)
+    lambda s, p: staging.bulk_groups(view(s, p, "tasks_v"), 600)
     .groupBy("pilot", "bulk").agg(F.count(F.lit(1)).alias("n")),
-    "SELECT pilot, count(*) >= 118 AS bulk, count(*) AS n FROM tasks_v WHERE priority = 1 GROUP BY pilot")
+    "SELECT pilot, count(*) >= 600 AS bulk, count(*) AS n FROM tasks_v GROUP BY pilot")
 
 
 def sandboxes(s, p):
@@ -278,8 +278,8 @@ add("W13_round_robin",
 add("F15_with_uid",
     lambda s, p: assign.with_uid(view(s, p, "tasks_v").withColumns({
         "was": F.col("uid"), "uid": F.when(F.col("priority") != 3, F.col("uid"))}), ["was"]).select("uid", "was"),
-    """SELECT CASE WHEN priority <> 3 THEN uid ELSE concat('task.', lpad(CAST(row_number() OVER (
-  PARTITION BY priority = 3 ORDER BY uid) - 1 AS VARCHAR(20)), 6, '0')) END AS uid, uid AS was FROM tasks_v""")
+    """SELECT CASE WHEN priority <> 3 THEN uid ELSE printf('task.%06d', row_number() OVER (PARTITION BY priority = 3 ORDER BY uid)
+  + (SELECT max(CAST(substr(uid, 6) AS BIGINT)) FROM tasks_v WHERE priority <> 3)) END AS uid, uid AS was FROM tasks_v""")
 add("W14_capacity_one",
     lambda s, p: assign.assign_capacity(view(s, p, "tasks_v").drop("pilot"), [("p", 1000, 100)])
     .select("uid", "pilot"),
@@ -359,24 +359,25 @@ SELECT uid, CASE WHEN coalesce(id, '') = '' THEN 'agent' WHEN id = 'master.a' TH
 # ---- order -----------------------------------------------------------------
 for _mode, _size in (("waiting", "ranks * cores_per_rank * gpus_per_rank"), ("incoming", "ranks")):
     add(f"L2_work_order_{_mode}",
-        lambda s, p, mode=_mode: w.work_order(view(s, p, "tasks_v"), mode).limit(500).select("uid", "priority", "ranks"),
-        f"SELECT uid, priority, ranks FROM tasks_v ORDER BY priority DESC, {_size} DESC, uid LIMIT 500")
+        lambda s, p, mode=_mode: w.work_order(view(s, p, "tasks_v"), mode).select("uid", "priority", "ranks"),
+        f"SELECT uid, priority, ranks FROM tasks_v ORDER BY priority DESC, {_size} DESC, uid")
 add("L3_due",
     lambda s, p: w.due(view(s, p, "tasks_v").withColumn("deadline", F.col("t_submit") * F.col("gpus_per_rank")), 8e8)
     .select("uid", "deadline"),
     "SELECT uid, t_submit * gpus_per_rank AS deadline FROM tasks_v WHERE gpus_per_rank = 1 AND t_submit < 8e8 ORDER BY 2, 1")
 
 # ---- bags and audits -------------------------------------------------------
+# sizes differ within the bags of every tenth customer only
+_SIZE = """CASE WHEN ends_with(ns, '0') AND priority = 1 THEN 11 WHEN ends_with(ns, '7') THEN 14 ELSE 10 END"""
+
+
 def bags(s, p):
-    return view(s, p, "tasks_v").withColumn("size", F.when(F.col("priority") == 1, 11).otherwise(10))
+    return view(s, p, "tasks_v").withColumn("size", F.expr(_SIZE.replace("ends_with", "endswith")))
 
 
-_BAGS = "b AS (SELECT *, CASE WHEN priority = 1 THEN 11 ELSE 10 END AS size FROM tasks_v WHERE bag_order <> 4)"
 add("A14_bag_status",
-    lambda s, p: audit.bag_status(bags(s, p).filter("bag_order <> 4 AND priority > 1").unionByName(
-        bags(s, p).filter("bag_order = 1 AND priority = 1"))),
-    """WITH b AS (SELECT *, CASE WHEN priority = 1 THEN 11 ELSE 10 END AS size FROM tasks_v
-  WHERE (bag_order <> 4 AND priority > 1) OR (bag_order = 1 AND priority = 1))
+    lambda s, p: audit.bag_status(bags(s, p)),
+    f"""WITH b AS (SELECT *, {_SIZE} AS size FROM tasks_v)
 SELECT ns, count(*) AS members, min(size) AS size, CASE WHEN min(size) <> max(size) THEN 'inconsistent'
   WHEN count(*) > min(size) THEN 'over' WHEN count(*) = min(size) THEN 'complete' ELSE 'open' END AS status
 FROM b GROUP BY ns""")
@@ -446,8 +447,8 @@ add("A6_pilot_summary", summary, f"WITH {_SUMMARY} SELECT * FROM s")
 
 
 def rate(s, p):
-    timing = session_timing(view(s, p, "task_trace_v")).head()
-    return stats.task_rate(summary(s, p), timing.t_xy if timing else None).select(
+    timing = session_timing(view(s, p, "task_trace_v"))
+    return stats.task_rate(summary(s, p).withColumn("sid", F.lit("s0")), timing).select(
         "pilot", F.round("rate", 9).alias("rate"))
 
 
@@ -491,10 +492,10 @@ FROM conversations GROUP BY conv_id HAVING count(*) >= max(turn) + 1 + CASE WHEN
 add("A13_node_uniformity",
     lambda s, p: stats.node_uniformity(table(s, p, "customer").select(
         (F.col("c_custkey") % 97).alias("pid"), F.lit(8).alias("cores"),
-        (F.col("c_custkey") % 97 % 4).alias("gpus"), F.when(F.col("c_custkey") % 5 != 0, 100).alias("lfs"),
-        F.when(F.col("c_custkey") > 900, 1).otherwise(F.col("c_custkey") % 97 % 2).alias("mem")).filter("lfs = 100")),
+        (F.col("c_custkey") % 97 % 4).alias("gpus"), F.lit(100).alias("lfs"),
+        F.when(F.col("c_custkey") > 900, 1).otherwise(F.col("c_custkey") % 97 % 2).alias("mem"))),
     """WITH n AS (SELECT c_custkey % 97 AS pid, 8 AS cores, c_custkey % 97 % 4 AS gpus, 100 AS lfs,
-  CASE WHEN c_custkey > 900 THEN 1 ELSE c_custkey % 97 % 2 END AS mem FROM customer WHERE c_custkey % 5 <> 0)
+  CASE WHEN c_custkey > 900 THEN 1 ELSE c_custkey % 97 % 2 END AS mem FROM customer)
 SELECT pid, count(*) AS n_nodes, count(DISTINCT mem) = 1 AS uniform, CASE WHEN count(DISTINCT mem) = 1 THEN 8 END AS cores_per_node,
   CASE WHEN count(DISTINCT mem) = 1 THEN min(gpus) END AS gpus_per_node, CASE WHEN count(DISTINCT mem) = 1 THEN 100 END AS lfs_per_node,
   CASE WHEN count(DISTINCT mem) = 1 THEN min(mem) END AS mem_per_node FROM n GROUP BY pid""")

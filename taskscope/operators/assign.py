@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -14,10 +15,13 @@ from taskscope.session import cut
 
 
 def with_uid(df: DataFrame, order: list[str], prefix: str = "task") -> DataFrame:
-    """Rows without an id get `task.000000`, `task.000001`, ... in order."""
+    """Rows without an id get `task.000000`, `task.000001`, ... in order, after the ids of that form that rows have."""
     missing = F.coalesce("uid", F.lit("")) == ""
     numbered = global_index(df.filter(missing).drop("uid"), order, "_no")
-    named = numbered.withColumn("uid", F.format_string(prefix + ".%06d", "_no")).drop("_no")
+    number = F.regexp_extract("uid", rf"^{re.escape(prefix)}\.([0-9]{{1,18}})$", 1).try_cast("long")
+    used = df.filter(~missing).agg(F.coalesce(F.max(number) + 1, F.lit(0)).alias("_used"))  # one row
+    named = (numbered.crossJoin(F.broadcast(used))
+             .withColumn("uid", F.format_string(prefix + ".%06d", F.col("_no") + F.col("_used"))).drop("_no", "_used"))
     return df.filter(~missing).unionByName(named.select(df.columns))
 
 

@@ -93,7 +93,7 @@ def clean(events: DataFrame) -> DataFrame:
 
 def hostmap(events: DataFrame) -> DataFrame:
     """Last host reported per uid."""
-    return (events.filter(F.col("event") == "hostname").groupBy("uid")
+    return (events.filter(F.col("event") == "hostname").groupBy(*session_keys(events, "uid"))
             .agg(F.max_by("msg", F.struct("time", "msg")).alias("host")))
 
 

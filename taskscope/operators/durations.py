@@ -117,8 +117,9 @@ def task_state_stats(events: DataFrame, tasks: DataFrame) -> DataFrame:
     that starts with that state, over the tasks of that pilot."""
     spec = {m: TASK_DEBUG[m] for m in _state_of_start(TASK_DEBUG)}
     dur = durations(events, spec).withColumn("state", _start_state(F.col("metric"), spec))
-    placed = tasks.filter("pilot is not null").select("uid", "pilot")
-    return dur.join(placed, "uid").groupBy("pilot", "state").agg(
+    keys = [k for k in session_keys(events) if k in tasks.columns]
+    placed = tasks.filter("pilot is not null").select(*keys, "uid", "pilot")
+    return dur.join(placed, [*keys, "uid"]).groupBy(*keys, "pilot", "state").agg(
         F.count(F.lit(1)).alias("n"), F.avg("dur").alias("mean"), F.stddev_pop("dur").alias("std"))
 
 

@@ -1,10 +1,12 @@
 """Ordered computations per key that do not depend on the size of one key.
 
 A window over a key runs in one task, so one key with a third of all rows would
-stall the job.  The functions here look at the largest group first.  Small
-groups go through a plain window.  Otherwise the rows are range partitioned by
-(key, order), which splits a large key over many tasks; each task works on its
-run of rows and the totals of earlier runs of the same key are added.
+stall the job.  Here rows are range partitioned by (key, order), which splits a
+large key over many tasks; each task works on its run of rows and the totals of
+earlier runs of the same key are added.  The plan is the same for all sizes.
+
+The number of ranges is what `spark.sql.adaptive.coalescePartitions.initialPartitionNum`
+allows at most; adaptive execution joins small ranges, so it follows the data.
 """
 
 from __future__ import annotations
@@ -14,17 +16,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from taskscope.session import cut, group_rows
+from taskscope.session import cut
 
 RUN = "_run"
 
 
-def has_large_group(df: DataFrame, keys: list[str]) -> bool:
-    """One light job: counts are combined map-side before the shuffle."""
-    limit = group_rows(df.sparkSession)
-    return not df.groupBy(*keys).count().filter(F.col("count") > limit).isEmpty()
-
-
 def same(left: list[Column], right: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, [a.eqNullSafe(b) for a, b in zip(left, right)])
 
@@ -38,9 +34,8 @@ def in_runs(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def _in_ranges(df: DataFrame, columns: list[str]) -> DataFrame:
-    # a given number of ranges is not coalesced, so a large key stays split
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut(df.repartitionByRange(parts, *columns).sortWithinPartitions(*columns))
+    # no fixed number: ranges follow the size of the data
+    return cut(df.repartitionByRange(*columns).sortWithinPartitions(*columns))
 
 
 def _spanning(totals: DataFrame, keys: list[str]) -> DataFrame:
@@ -82,14 +77,9 @@ def running(df: DataFrame, keys: list[str], order: list[str],
     if not keys:
         raise ValueError("running needs a key; see global_index")
     inputs = {**sums, **maxs, **past_maxs, **lags}
-    large = has_large_group(df, keys)
-    if large:
-        df = df.withColumns({f"_in_{n}": c for n, c in inputs.items()})
-        df = in_runs(df, keys, order)
-        col = {n: F.col(f"_in_{n}") for n in inputs}
-        group = [RUN, *keys]
-    else:
-        col, group = inputs, keys
+    df = in_runs(df.withColumns({f"_in_{n}": c for n, c in inputs.items()}), keys, order)
+    col = {n: F.col(f"_in_{n}") for n in inputs}
+    group = [RUN, *keys]
 
     ordered = Window.partitionBy(*group).orderBy(*order)
     upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -98,11 +88,9 @@ def running(df: DataFrame, keys: list[str], order: list[str],
     new.update({n: F.max(col[n]).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
                 for n in past_maxs})
     new.update({n: F.lag(col[n]).over(ordered) for n in lags})
-    if number or (large and lags):
+    if number or lags:
         new[number or "_pos"] = F.row_number().over(ordered)
     out = df.withColumns(new)
-    if not large:
-        return out
 
     last = F.struct(*order)
     totals = df.groupBy(*group).agg(

@@ -7,6 +7,7 @@ handled at a time.  Values come back as JSON, or as `repr` where that fails.
 
 from __future__ import annotations
 
+import ast
 import asyncio
 import base64
 import contextlib
@@ -185,13 +186,16 @@ def _plain(value, kind: T.DataType):
 
 
 def run_rows(df: DataFrame, make: Callable[[], Callable[[dict], dict]], keep=("uid",),
-             barrier: bool = False) -> DataFrame:
+             barrier: bool = False, needs=None) -> DataFrame:
     """Apply `make()(row)` to each row; `make` is called once per partition.
 
     Rows run where they are read.  Spread few but long rows with `repartition`
-    before.
+    before.  Only the columns of `keep` and `needs` go to Python, all without `needs`.
     """
     keep = list(keep)
+    if needs is not None:
+        wanted = {*keep, *needs}
+        df = df.select(*[c for c in df.columns if c in wanted])
     layout = T.StructType([df.schema[c] for c in keep] + RESULT.fields)
     kinds = {f.name: f.dataType for f in df.schema.fields}
 
@@ -226,7 +230,7 @@ def run_func(df: DataFrame, fn: Callable, args=(), kwargs=None, keep=("uid",)) -
             return limited(lambda: capture(lambda: fn(*a, **k), row.get("environment")), row.get("timeout"))
         return run
 
-    return run_rows(df, make, keep)
+    return run_rows(df, make, keep, needs=[*args, *kwargs.values(), "environment", "timeout"])
 
 
 def run_method(df: DataFrame, cls: type, name: str, args=(), kwargs=None, keep=("uid",)) -> DataFrame:
@@ -241,16 +245,22 @@ def run_method(df: DataFrame, cls: type, name: str, args=(), kwargs=None, keep=(
             return limited(lambda: capture(lambda: method(*a, **k), row.get("environment")), row.get("timeout"))
         return run
 
-    return run_rows(df, make, keep)
+    return run_rows(df, make, keep, needs=[*args, *kwargs.values(), "environment", "timeout"])
 
 
 def _body(code: str, pre: list[str]) -> Callable:
-    """The code as the body of a function; its value is what that returns."""
+    """The code as the body of a function, after the lines of `pre`; its value is what that returns.
+
+    The statements are parsed and put into a function's node, so the text stays as it is.
+    """
     def call():
-        lines = [*pre, "def _task():", *["    " + line for line in code.split("\n")], "result = _task()"]
+        # only the syntax tree: `return` is right once the statements are in the function
+        statements = compile(code, "<task>", "exec", ast.PyCF_ONLY_AST).body
+        module = ast.parse("\n".join([*pre, "def _task(): pass"]), "<task>")
+        module.body[-1].body = statements or [ast.Pass()]
         space: dict = {}
-        exec("\n".join(lines), space)  # noqa: S102 - opted in with allow_code
-        return space["result"]
+        exec(compile(ast.fix_missing_locations(module), "<task>", "exec"), space)  # noqa: S102 - opted in with allow_code
+        return space["_task"]()
     return call
 
 
@@ -263,6 +273,9 @@ def _json_args(row: dict) -> tuple[list, dict]:
     return load(row.get("args"), []), load(row.get("kwargs"), {})
 
 
+#: What the built-in modes read of a row; own modes may read any column.
+ROW_FIELDS = ["mode", "environment", "timeout", "function", "args", "kwargs", "code", "pre_exec", "executable",
+              "arguments", "command"]
 CODE_MODES = ["task.eval", "task.exec", "task.proc", "task.shell"]
 
 
@@ -305,6 +318,7 @@ def run_tasks(df: DataFrame, functions: dict[str, Callable] | None = None, modes
     state; both take and return a DataFrame.  `spread` deals the rows out evenly
     over that many partitions, for rows that run long.
     """
+    own_modes = modes is not None
     functions, modes = dict(functions or {}), modes or Modes()
     work = before(df) if before else df
     if spread:
@@ -313,7 +327,7 @@ def run_tasks(df: DataFrame, functions: dict[str, Callable] | None = None, modes
     def make():
         return lambda row: limited(lambda: dispatch(row, functions, modes, allow_code), row.get("timeout"))
 
-    results = target_state(run_rows(work, make, keep).withColumn("exit_code", F.col("ret"))
+    results = target_state(run_rows(work, make, keep, needs=None if own_modes else ROW_FIELDS).withColumn("exit_code", F.col("ret"))
                            .withColumn("target_state", F.lit(None).cast("string"))).drop("exit_code")
     return after(results) if after else results
 

@@ -30,7 +30,7 @@ def expand_directives(df: DataFrame, column: str = "directive", keys=("uid", "po
              .when(F.coalesce(source, F.lit("")) == "", F.lit("no source")))
     number = F.sha2(F.concat_ws("/", *[F.col(k).cast("string") for k in keys]), 256)
     return df.withColumns({
-        "sd_uid": F.concat(F.lit("sd."), F.substring(number, 1, 16)),
+        "sd_uid": F.concat(F.lit("sd."), number),
         "source": source, "target": target,
         "action": F.coalesce(given.action, F.lit(schema.DEFAULT_ACTION)),
         "flags": F.coalesce(given.flags, F.lit(schema.DEFAULT_FLAGS)),

@@ -222,8 +222,9 @@ def target_state(results: DataFrame) -> DataFrame:
 
 def fail_lost(tasks: DataFrame, pilots: DataFrame) -> DataFrame:
     """Tasks that are not final fail when their own pilot is final."""
-    ended = pilots.filter(is_final(F.col("state"))).select(F.col("uid").alias("pilot")).distinct()
-    marked = tasks.join(ended.withColumn("_ended", F.lit(True)), "pilot", "left")
+    keys = [k for k in ("sid",) if k in tasks.columns and k in pilots.columns]
+    ended = pilots.filter(is_final(F.col("state"))).select(*keys, F.col("uid").alias("pilot")).distinct()
+    marked = tasks.join(ended.withColumn("_ended", F.lit(True)), [*keys, "pilot"], "left")
     lost = F.col("_ended") & ~is_final(F.col("state"))
     return marked.withColumn("state", F.when(lost, F.lit("FAILED")).otherwise(F.col("state"))) \
                  .drop("_ended")

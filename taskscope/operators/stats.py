@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from taskscope.operators.clean import session_keys
 from taskscope.operators.ordered import listed
 
 
@@ -14,28 +15,32 @@ def pilot_summary(tasks: DataFrame, pilots: DataFrame, events: DataFrame) -> Dat
     A task without `cores` counts as one core.  Busy time is from
     `bootstrap_0_start` to `bootstrap_0_stop`.
     """
-    work = tasks.filter("pilot is not null").groupBy("pilot").agg(
+    keys = [k for k in session_keys(events) if k in tasks.columns and k in pilots.columns]
+    work = tasks.filter("pilot is not null").groupBy(*keys, "pilot").agg(
         F.count(F.lit(1)).alias("n_tasks"),
         F.sum(F.coalesce("cores", F.lit(1))).alias("task_cores"))
     at = lambda c: F.when(c, F.col("time"))
     state = lambda *s: (F.col("event") == "state") & F.col("state").isin(*s)
-    life = events.filter(F.col("uid").startswith("pilot.")).groupBy(F.col("uid").alias("pilot")).agg(
+    life = events.filter(F.col("uid").startswith("pilot.")).groupBy(*keys, F.col("uid").alias("pilot")).agg(
         F.min(at(state("NEW"))).alias("started"),
         F.min(at(state("DONE", "FAILED", "CANCELED"))).alias("finished"),
         F.min(at(F.col("event") == "bootstrap_0_start")).alias("_b0"),
         F.max(at(F.col("event") == "bootstrap_0_stop")).alias("_b1"))
-    return (pilots.select(F.col("uid").alias("pilot"), "resource", "cores")
-            .join(work, "pilot", "left").join(life, "pilot", "left")
+    return (pilots.select(*keys, F.col("uid").alias("pilot"), "resource", "cores")
+            .join(work, [*keys, "pilot"], "left").join(life, [*keys, "pilot"], "left")
             .withColumns({"n_tasks": F.coalesce("n_tasks", F.lit(0)),
                           "task_cores": F.coalesce("task_cores", F.lit(0)),
                           "busy": F.col("_b1") - F.col("_b0")})
             .drop("_b0", "_b1"))
 
 
-def task_rate(summary: DataFrame, t_xy: float | None) -> DataFrame:
-    """Tasks per second of the time in which tasks started; null without it."""
-    rate = F.col("n_tasks") / F.lit(float(t_xy)) if t_xy else F.lit(None).cast("double")
-    return summary.withColumn("rate", rate)
+def task_rate(summary: DataFrame, timing: DataFrame) -> DataFrame:
+    """Tasks per second of the time in which the tasks of that session started; null without it.
+
+    `timing`: sid and t_xy, as `session_timing` gives them; `summary` has a sid.
+    """
+    spent = timing.select("sid", F.nullif("t_xy", F.lit(0.0)).alias("_spent"))
+    return summary.join(spent, "sid", "left").withColumn("rate", F.col("n_tasks") / F.col("_spent")).drop("_spent")
 
 
 def utilisation(summary: DataFrame, shares: DataFrame | None = None) -> DataFrame:
@@ -69,10 +74,12 @@ def merge_ranks(results: DataFrame, size: int = 4096) -> DataFrame:
     task with very many ranks comes in chunks of `size` ranks.
     """
     whole = results.groupBy("uid").agg(
-        F.count(F.lit(1)).alias("_n"), F.max("ranks").alias("_ranks"), F.max("exit_code").alias("exit_code")) \
+        F.count_distinct("rank").alias("_n"), F.max("ranks").alias("_ranks"), F.max("exit_code").alias("exit_code")) \
         .filter(F.col("_n") >= F.coalesce("_ranks", F.lit(1))).select("uid", "exit_code")
     fields = F.struct("stdout", "stderr", "return_value")
-    lists = listed(results.join(whole, "uid", "left_semi"), ["uid"], ["rank"], fields, "r", size)
+    # a rank that reports twice counts once
+    once = results.join(whole, "uid", "left_semi").dropDuplicates(["uid", "rank"])
+    lists = listed(once, ["uid"], ["rank"], fields, "r", size)
     return lists.join(whole, "uid").select(
         "uid", "chunk", F.col("r.stdout").alias("stdout"), F.col("r.stderr").alias("stderr"),
         F.col("r.return_value").alias("return_value"), "exit_code")

@@ -36,7 +36,7 @@ def cluster_ranges(df: DataFrame, keys: list[str], idx: str = "idx") -> DataFram
     touch a block's edge, at most two per block, are joined over blocks.
     """
     numbers = df.select(*keys, F.col(idx).cast("long").alias("_i"))
-    blocks = numbers.groupBy(*keys, F.floor(F.col("_i") / BLOCK).alias("_b")).agg(
+    blocks = numbers.groupBy(*keys, F.expr(f"(_i - pmod(_i, {BLOCK})) div {BLOCK}").alias("_b")).agg(
         F.sort_array(F.collect_set("_i")).alias("_a"))
     at = lambda i: F.get("_a", i)
     starts = F.filter("_a", lambda x, i: (i == 0) | (at(i - 1) != x - 1))

@@ -167,14 +167,23 @@ STATE_ALIASES = {
     "UMGR_STAGING_OUTPUT_PENDING": "TMGR_STAGING_OUTPUT_PENDING",
     "UMGR_STAGING_OUTPUT": "TMGR_STAGING_OUTPUT",
     "CANCELING": "CANCELED",
+    "PENDING": "PMGR_LAUNCHING_PENDING",
     "PENDING_LAUNCH": "PMGR_LAUNCHING_PENDING",
+    "LAUNCHING": "PMGR_LAUNCHING",
     "PENDING_ACTIVE": "PMGR_ACTIVE_PENDING",
+    "ACTIVE_PENDING": "PMGR_ACTIVE_PENDING",
+    "ACTIVE": "PMGR_ACTIVE",
     "UNSCHEDULED": "TMGR_SCHEDULING_PENDING",
+    "SCHEDULING": "TMGR_SCHEDULING",
     "PENDING_INPUT_STAGING": "TMGR_STAGING_INPUT_PENDING",
+    "STAGING_INPUT": "TMGR_STAGING_INPUT",
     "ALLOCATING_PENDING": "AGENT_SCHEDULING_PENDING",
     "ALLOCATING": "AGENT_SCHEDULING",
     "PENDING_EXECUTION": "AGENT_EXECUTING_PENDING",
+    "EXECUTING_PENDING": "AGENT_EXECUTING_PENDING",
+    "EXECUTING": "AGENT_EXECUTING",
     "PENDING_OUTPUT_STAGING": "TMGR_STAGING_OUTPUT_PENDING",
+    "STAGING_OUTPUT": "TMGR_STAGING_OUTPUT",
 }
 
 # ---- fixed values: task modes ----------------------------------------------

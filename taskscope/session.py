@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Most rows of one group a single window task may see before a group is split.
-GROUP_ROWS = "taskscope.group.rows"
-GROUP_ROWS_DEFAULT = 4_000_000
-
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -35,8 +33,15 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g")
     return spark
 
 
-def group_rows(spark: SparkSession) -> int:
-    return int(spark.conf.get(GROUP_ROWS, str(GROUP_ROWS_DEFAULT)))
+_own: list[str] = []
+
+
+def _own_dir() -> str:
+    """A folder of this process, removed at its end; for local sessions without a named one."""
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="taskscope-"))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+    return _own[0]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,8 +51,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not named:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors see")
-        named = getattr(spark, "_taskscope_dir", None) or tempfile.mkdtemp(prefix="taskscope-")
-        spark._taskscope_dir = named
+        named = _own_dir()
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
     return named

@@ -12,6 +12,7 @@ from taskscope.operators.ordered import running
 # output: [batch3:80017] [[33357,0],0] [1565343424.463101] ACTIVATE JOB [33357,0] STATE INIT_DONE AT f.c:1
 _LINE = (r"\[([^\[\]]+)\] \[\[([^\[\]]+)\](,[^\[\]]*)\] \[([0-9.]+)\] ACTIVATE (JOB|PROC) "
          r"(?:NULL|\[+([^\[\]]+)\](?:,[^\[\]]*\])?) STATE (.+?) AT ")
+_SEP = "\x1f"
 ACTIVATE = " ACTIVATE "
 IDMAP = "PRTE IDMAP:"
 
@@ -21,10 +22,14 @@ def log_to_events(lines: DataFrame, idmap: DataFrame) -> tuple[DataFrame, DataFr
 
     A tool id without an entry stands for the pilot.
     """
-    part = lambda i: F.regexp_extract("value", _LINE, i)
-    found = lines.filter(F.col("value").contains(ACTIVATE)).select(
-        "*", part(1).alias("node"), F.concat(part(2), part(3)).alias("daemon"),
-        part(4).try_cast("double").alias("time"), part(6).alias("tool_id"), part(7).alias("tool_event"))
+    # one match per line: its groups come back in one text, which a line without a match is not
+    groups = F.when(F.col("_m").startswith(_SEP), F.split("_m", _SEP))
+    part = lambda i: F.get(groups, F.lit(i))
+    whole = "".join(f"{_SEP}${i}" for i in (1, 2, 3, 4, 6, 7))
+    found = (lines.filter(F.col("value").contains(ACTIVATE))
+             .withColumn("_m", F.regexp_replace("value", f"(?s)^.*?{_LINE}.*$", whole))
+             .withColumns({"node": part(1), "daemon": F.concat(part(2), part(3)),
+                           "time": part(4).try_cast("double"), "tool_id": part(5), "tool_event": part(6)}).drop("_m"))
     ok = F.coalesce(F.col("time").isNotNull() & (F.col("tool_event") != ""), F.lit(False))
     named = found.filter(ok).join(
         idmap.select("tool_id", F.col("uid").alias("_uid")), "tool_id", "left")

@@ -25,27 +25,27 @@ def hold(stream: DataFrame, rule: Rule, path: str) -> tuple[DataFrame, DataFrame
     """Run a rule over a stream to its present end: (released, held).
 
     Batch n reads what batch n-1 held and overwrites its own folders, so a
-    repeated batch does the same again.  Two folders of held rows are enough.
+    repeated batch does the same again.  Two folders of held rows are enough; a
+    third names the last batch, for a call that finds nothing new.
     """
     spark = stream.sparkSession
     held_at = lambda n: f"{path}/held/{n % 2}"
-    state = {"last": None}
 
     def step(batch: DataFrame, number: int) -> None:
         new = batch
         if number > 0:
             new = spark.read.schema(batch.schema).parquet(held_at(number - 1)).unionByName(batch)
+        new = new.persist()  # both results of the rule read it
         released, held = rule(new)
         released.write.mode("overwrite").parquet(f"{path}/released/n={number}")
         held.select(batch.columns).write.mode("overwrite").parquet(held_at(number))
-        state["last"] = number
+        spark.range(number, number + 1).write.mode("overwrite").parquet(f"{path}/last/k={number % 2}")
+        new.unpersist()
 
     query = (stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{path}/checkpoint")
              .trigger(availableNow=True).start())
     query.awaitTermination()
-    last = state["last"]
-    if last is None:
-        last = max(0, (query.lastProgress or {}).get("batchId", 0))
+    last = spark.read.parquet(f"{path}/last").agg(F.max("id")).first()[0]
     return (spark.read.parquet(f"{path}/released").drop("n"),
             spark.read.schema(stream.schema).parquet(held_at(last)))
 
@@ -59,7 +59,7 @@ def complete_bags(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def gather_ranks(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Results of ranks go as one when all ranks are in."""
-    counts = rows.groupBy("uid").agg((F.count(F.lit(1)) >= F.max(F.coalesce("ranks", F.lit(1)))).alias("_all"))
+    counts = rows.groupBy("uid").agg((F.count_distinct("rank") >= F.max(F.coalesce("ranks", F.lit(1)))).alias("_all"))
     open_ = rows.join(counts.filter("not _all"), "uid", "left_semi")
     return merge_ranks(rows), open_
 

@@ -17,11 +17,11 @@ def spark(tmp_path_factory):
 
 
 @pytest.fixture
-def large_groups(spark):
-    """Every group counts as large."""
-    spark.conf.set("taskscope.group.rows", "1")
+def many_ranges(spark):
+    """Small ranges stay apart, so that every key reaches over several."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     yield
-    spark.conf.unset("taskscope.group.rows")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 
 def tuples(df, *columns):

@@ -165,3 +165,16 @@ def test_hooks(items):
     got = r.run_tasks(items.withColumns({"mode": F.lit("task.function"), "function": F.lit("f"), "args": F.concat(F.lit("["), "n", F.lit("]"))}),
                       {"f": lambda n: 1 // n}, before=lambda d: d.filter("n < 2"), after=lambda d: d.select("uid", "target_state"))
     assert sorted(map(tuple, got.collect())) == [("t0", "FAILED"), ("t1", "DONE")]
+
+
+def test_the_text_of_a_code_body_is_not_altered(spark):
+    df = spark.createDataFrame([("a", '"""a\nb"""\nreturn """a\nb"""', None), ("b", "x = base\nreturn x", ["base = 3"]),
+                                ("c", "", None)], "uid string, code string, pre_exec array<string>")
+    got = {x.uid: x.val for x in r.run_exec(df, allow_code=True).collect()}
+    assert got == {"a": '"a\\nb"', "b": "3", "c": None}
+
+
+def test_only_wanted_columns_reach_python(spark):
+    df = spark.createDataFrame([("a", 1, "long text")], "uid string, x int, y string")
+    plan = r.run_func(df, abs, ["x"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "y#" not in plan.split("MapInArrow")[1].split("\n")[0] and "Project [uid#" in plan

@@ -151,3 +151,26 @@ def test_first_per_batch_keeps_the_first(spark):
     df = spark.range(1000).select((F.col("id") % 3).cast("string").alias("uid"), F.col("id").alias("seq")).coalesce(1)
     assert tuples(msg.first_per_batch(df, ["uid"], "seq")) == [("0", 0), ("1", 1), ("2", 2)]
     assert tuples(msg.first_per_batch(df, ["uid"], "seq", last=True)) == [("0", 999), ("1", 997), ("2", 998)]
+
+
+def test_held_rows_are_there_after_a_restart_without_new_rows(spark):
+    layout, path, place = "uid string, ns string, size int", fresh_path(spark, "steps"), fresh_path(spark, "restart")
+    write = lambda rows: spark.createDataFrame(rows, layout).coalesce(1).write.mode("append").parquet(path)
+    run = lambda: h.hold(spark.readStream.schema(layout).option("maxFilesPerTrigger", 1).parquet(path), h.complete_bags, place)
+    write([("u0", "x", 3)])
+    write([("u1", "x", 3)])
+    assert tuples(run()[1], "uid") == [("u0",), ("u1",)]
+    assert tuples(run()[1], "uid") == [("u0",), ("u1",)]
+    write([("u2", "x", 3)])
+    released, held = run()
+    assert tuples(released, "uid") == [("u0",), ("u1",), ("u2",)] and held.count() == 0
+    assert run()[1].count() == 0
+
+
+def test_a_repeated_rank_does_not_make_a_task_whole(spark):
+    layout = "uid string, rank int, ranks int, stdout string, stderr string, return_value string, exit_code int"
+    row = lambda uid, rank: (uid, rank, 2, "o", "e", "v", 0)
+    rows = spark.createDataFrame([row("a", 0), row("a", 0), row("b", 0), row("b", 1), row("b", 1)], layout)
+    whole, open_ = h.gather_ranks(rows)
+    assert [(r.uid, r.stdout) for r in whole.collect()] == [("b", ["o", "o"])]
+    assert {r.uid for r in open_.collect()} == {"a"}

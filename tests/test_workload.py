@@ -135,3 +135,9 @@ def test_feasible_floors_per_node(spark):
                                   "uid string, cores_per_rank int, gpus_per_rank double, lfs_per_rank int, mem_per_rank int, ranks_per_node int")
     shapes = spark.createDataFrame([("x", 8, 1, 0, 0)], "shape string, cores int, gpus int, lfs int, mem int")
     assert tuples(assign.feasible(tasks, shapes), "uid", "n_shapes", "most_ranks") == [("a", 1, 2), ("b", 0, 0), ("c", 1, 1)]
+
+
+def test_new_ids_do_not_repeat_old_ones(spark):
+    df = spark.createDataFrame([("task.000000", 1), (None, 2), ("", 3), ("task.7", 4), ("other.9", 5)], "uid string, n int")
+    got = assign.with_uid(df, ["n"])
+    assert tuples(got, "n", "uid") == [(1, "task.000000"), (2, "task.000008"), (3, "task.000009"), (4, "task.7"), (5, "other.9")]
