@@ -251,3 +251,53 @@ add("J1_task_pilot",
     lambda s, p: view(s, p, "tasks_v").join(view(s, p, "pilots_v").select(
         F.col("uid").alias("pilot"), "resource"), "pilot").groupBy("resource").agg(F.count(F.lit(1)).alias("n")),
     "SELECT resource, count(*) AS n FROM tasks_v t JOIN pilots_v p ON p.uid = t.pilot GROUP BY 1")
+
+
+# ---- two sessions with the same ids, the second 1000 s later ---------------
+LATER = 1000
+
+
+def in_two(df, *times):
+    """Each row in session s0, and in s1 with its times moved."""
+    late = df.withColumns({"sid": F.lit("s1"), **{t: F.col(t) + LATER for t in times}})
+    return df.withColumn("sid", F.lit("s0")).unionByName(late.select(*df.columns, *(["sid"] if "sid" not in df.columns else [])))
+
+
+def in_two_sql(oracle, columns, times):
+    """The rows of a query for one session, once more for the later one."""
+    late = ", ".join(f"{c} + {LATER} AS {c}" if c in times else c for c in columns)
+    return f"WITH one AS ({oracle}) SELECT 's0' AS sid, {', '.join(columns)} FROM one UNION ALL SELECT 's1', {late} FROM one"
+
+
+def two_parts(s, p):
+    a, b, c, d = parts(s, p)
+    return in_two(a), in_two(b), in_two(c), in_two(d, "time")
+
+
+def two_without_slots(s, p):
+    a, b, _, d = two_parts(s, p)
+    return a, b, d
+
+
+_BOX = BOX.split(", ")
+add("W1_provided_sessions", lambda s, p: u.provided(*two_without_slots(s, p)),
+    in_two_sql(ORACLES["W1_provided_cpu"], _BOX, ("t0", "t1")))
+add("W6_consumed_sessions", lambda s, p: u.consumed(*two_parts(s, p)),
+    in_two_sql(ORACLES["W6_consumed"], _BOX, ("t0", "t1")))
+add("A9_core_time_sessions",
+    lambda s, p: u.core_time(u.consumed(*two_parts(s, p)), u.provided(*two_without_slots(s, p)))
+    .select("sid", "pid", "metric", F.round("share", 5).alias("share")),
+    in_two_sql(ORACLES["A9_core_time"], ["pid", "metric", "round(share, 5) AS share"], ()))
+add("W8_usage_timeline_sessions",
+    lambda s, p: u.usage_timeline(
+        in_two(view(s, p, "usage_trace_v"), "time"),
+        in_two(view(s, p, "tasks_v").select("uid", "pilot", (F.col("ranks") * F.col("cores_per_rank")).alias("amount"))),
+        specs.transition_rows("task")),
+    in_two_sql(ORACLES["W8_usage_timeline"], ["pid", "metric", "time", "amount"], ("time",)))
+add("W9_task_timelines_sessions",
+    lambda s, p: u.task_timelines(in_two(view(s, p, "usage_trace_v"), "time"),
+                                  in_two(view(s, p, "tasks_v").withColumn("placed", F.expr("priority > 1")))),
+    in_two_sql(ORACLES["W9_task_timelines"], ["uid", "metric", "t0", "t1"], ("t0", "t1")))
+add("W10_occupancy_audit_sessions",
+    lambda s, p: u.occupancy_audit(in_two(uses(s, p), "t0", "t1"), in_two(capacity(s, p))),
+    in_two_sql(ORACLES["W10_occupancy_audit"], ["pid", "node_index", "kind", "idx", "time", "level", "reason"], ("time",)))

@@ -58,13 +58,19 @@ def expand_ranges(df: DataFrame, keys: list[str], r0: str = "r0", r1: str = "r1"
     return df.select(*keys, F.explode(F.sequence(r0, r1)).alias("idx")).distinct()
 
 
+def _sessions(*frames: DataFrame) -> list[str]:
+    """`sid` where all inputs have it: ids are unique within a session only."""
+    return ["sid"] if all("sid" in f.columns for f in frames) else []
+
+
 def node_ranges(pilots: DataFrame, nodes: DataFrame, rtype: str) -> DataFrame:
-    """(pid, node_index, agent, r0, r1): resources each node contributes."""
+    """([sid], pid, node_index, agent, r0, r1): resources each node contributes."""
+    keys = [*_sessions(pilots, nodes), "pid"]
     per_node = F.col(PER_NODE[rtype]).cast("long")
     first = F.col("pos").cast("long") * per_node
-    return (nodes.join(pilots.select("pid", PER_NODE[rtype]), "pid")
+    return (nodes.join(pilots.select(*keys, PER_NODE[rtype]), keys)
             .filter(per_node > 0)
-            .select("pid", "node_index", "agent", first.alias("r0"), (first + per_node - 1).alias("r1")))
+            .select(*keys, "node_index", "agent", first.alias("r0"), (first + per_node - 1).alias("r1")))
 
 
 def nodes_of(pilots: DataFrame) -> DataFrame:
@@ -73,20 +79,22 @@ def nodes_of(pilots: DataFrame) -> DataFrame:
     listed = lambda nodes, agent: F.transform(
         nodes, lambda n: F.struct(n["index"].alias("node_index"), n["name"].alias("name"), F.lit(agent).alias("agent")))
     both = F.concat(listed(F.col("resource_details.node_list"), False), listed(agents, True))
-    return pilots.select(F.col("uid").alias("pid"), F.posexplode(both).alias("pos", "n")) \
-                 .select("pid", "pos", "n.*")
+    keys = _sessions(pilots)
+    return pilots.select(*keys, F.col("uid").alias("pid"), F.posexplode(both).alias("pos", "n")) \
+                 .select(*keys, "pid", "pos", "n.*")
 
 
 def resource_index(slots: DataFrame, pilots: DataFrame, nodes: DataFrame, rtype: str) -> DataFrame:
     """Slots with `idx`, the resource's number in its pilot."""
-    where = node_ranges(pilots, nodes, rtype).select("pid", "node_index", "r0")
-    return (slots.filter(F.col("rtype") == rtype).join(where, ["pid", "node_index"])
+    keys = [*_sessions(slots, pilots, nodes), "pid", "node_index"]
+    where = node_ranges(pilots, nodes, rtype).select(*keys, "r0")
+    return (slots.filter(F.col("rtype") == rtype).join(where, keys)
             .withColumn("idx", F.col("r0") + F.col("core")).drop("r0"))
 
 
 def _boxes(df: DataFrame, rtype: str, metric: Column, uid: str = "pid") -> DataFrame:
     named = df.withColumns({"rtype": F.lit(rtype), "metric": metric, "uid": F.col(uid)})
-    return named.select(*BOX)
+    return named.select(*_sessions(named), *BOX)
 
 
 def _of_pilots(events: DataFrame) -> DataFrame:
@@ -97,15 +105,16 @@ def provided(pilots: DataFrame, nodes: DataFrame, events: DataFrame, rtype: str
     """One box per node over the pilot's life; without both marks, from its
     first to its last event."""
     own = _of_pilots(events)
+    sid = _sessions(pilots, nodes, events)
     (first,), (last,) = expand_spec(PILOT_PROVIDE)["total"]
     at = lambda m: F.when(matches([m]), F.col("time"))
-    life = own.groupBy(F.col("uid").alias("pid")).agg(
+    life = own.groupBy(*sid, F.col("uid").alias("pid")).agg(
         F.min(at(first)).alias("a"), F.max(at(last)).alias("b"),
         F.min("time").alias("e0"), F.max("time").alias("e1"))
     both = F.col("a").isNotNull() & F.col("b").isNotNull()
-    life = life.select("pid", F.when(both, F.col("a")).otherwise(F.col("e0")).alias("t0"),
+    life = life.select(*sid, "pid", F.when(both, F.col("a")).otherwise(F.col("e0")).alias("t0"),
                        F.when(both, F.col("b")).otherwise(F.col("e1")).alias("t1"))
-    return _boxes(node_ranges(pilots, nodes, rtype).join(life, "pid"), rtype, F.lit("total"))
+    return _boxes(node_ranges(pilots, nodes, rtype).join(life, [*sid, "pid"]), rtype, F.lit("total"))
 
 
 def pilot_boxes(pilots: DataFrame, nodes: DataFrame, events: DataFrame, rtype: str = "cpu") -> DataFrame:
@@ -118,27 +127,29 @@ def pilot_boxes(pilots: DataFrame, nodes: DataFrame, events: DataFrame, rtype: s
     spec = {"agent": PILOT_AGENT["total"]}
     spec.update({("sub_agent" if m == "agent" else m): b
                  for m, b in PILOT_CONSUME.items() if m != "idle"})
-    dur = durations(own, spec, by=["uid"]).withColumnRenamed("uid", "pid")
+    sid = _sessions(pilots, nodes, events)
+    dur = durations(own, spec, by=[*sid, "uid"]).withColumnRenamed("uid", "pid")
     where = node_ranges(pilots, nodes, rtype)
     fits = (F.col("metric") == "agent") == F.col("agent")
-    return _boxes(where.join(dur, "pid").filter(fits), rtype, F.col("metric"))
+    return _boxes(where.join(dur, [*sid, "pid"]).filter(fits), rtype, F.col("metric"))
 
 
 def task_boxes(pilots: DataFrame, nodes: DataFrame, slots: DataFrame, events: DataFrame,
                rtype: str = "cpu", spec="task") -> DataFrame:
     """The phases of each task on the resource ranges it was placed on."""
+    sid = _sessions(pilots, nodes, slots, events)
     used = resource_index(slots, pilots, nodes, rtype)
-    ranges = cluster_ranges(used, ["uid", "pid"])
-    dur = durations(events, spec, by=["uid"]).select("uid", "metric", "t0", "t1")
-    return _boxes(ranges.join(dur, "uid"), rtype, F.col("metric"), "uid")
+    ranges = cluster_ranges(used, [*sid, "uid", "pid"])
+    dur = durations(events, spec, by=[*sid, "uid"]).select(*sid, "uid", "metric", "t0", "t1")
+    return _boxes(ranges.join(dur, [*sid, "uid"]), rtype, F.col("metric"), "uid")
 
 
-def pilot_life(events: DataFrame) -> DataFrame:
-    """(pid, p_min, p_max): first start, else first PMGR_ACTIVE; first stop,
+def pilot_life(events: DataFrame, keys=()) -> DataFrame:
+    """(keys, pid, p_min, p_max): first start, else first PMGR_ACTIVE; first stop,
     else the last event."""
     at = lambda c: F.min(F.when(c, F.col("time")))
     active = (F.col("event") == "state") & (F.col("state") == "PMGR_ACTIVE")
-    return _of_pilots(events).groupBy(F.col("uid").alias("pid")).agg(
+    return _of_pilots(events).groupBy(*keys, F.col("uid").alias("pid")).agg(
         F.coalesce(at(F.col("event") == "bootstrap_0_start"), at(active)).alias("p_min"),
         F.coalesce(at(F.col("event") == "bootstrap_0_stop"), F.max("time")).alias("p_max"))
 
@@ -151,26 +162,27 @@ def warm_drain_idle(pilots: DataFrame, nodes: DataFrame, slots: DataFrame, event
     Use is from `schedule_ok` to `unschedule_stop`.  Neighbouring resources
     with the same bound share a box.
     """
+    sid = _sessions(pilots, nodes, slots, events)
     marks = events.filter(F.col("event").isin("schedule_ok", "unschedule_stop"))
     at = lambda name: F.when(F.col("event") == name, F.col("time"))
-    used_at = marks.groupBy("uid").agg(
+    used_at = marks.groupBy(*sid, "uid").agg(
         F.min(at("schedule_ok")).alias("u0"), F.max(at("unschedule_stop")).alias("u1")) \
         .filter("u0 is not null and u1 is not null")
-    use = (resource_index(slots, pilots, nodes, rtype).join(used_at, "uid")
-           .groupBy("pid", "idx").agg(F.min("u0").alias("t_min"), F.max("u1").alias("t_max")))
-    every = expand_ranges(node_ranges(pilots, nodes, rtype).filter("not agent"), ["pid"])
+    use = (resource_index(slots, pilots, nodes, rtype).join(used_at, [*sid, "uid"])
+           .groupBy(*sid, "pid", "idx").agg(F.min("u0").alias("t_min"), F.max("u1").alias("t_max")))
+    every = expand_ranges(node_ranges(pilots, nodes, rtype).filter("not agent"), [*sid, "pid"])
     # one row per resource, read three times below
-    bounds = cut(every.join(use, ["pid", "idx"], "left"))
+    bounds = cut(every.join(use, [*sid, "pid", "idx"], "left"))
     taken = bounds.filter("t_min is not null")
 
     def part(metric, rows, bound):
-        keys = ["pid"] + ([bound] if bound else [])
+        keys = [*sid, "pid"] + ([bound] if bound else [])
         at = F.col(bound) if bound else F.lit(None).cast("double")
-        return cluster_ranges(rows, keys).select("pid", F.lit(metric).alias("metric"), at.alias("at"), "r0", "r1")
+        return cluster_ranges(rows, keys).select(*sid, "pid", F.lit(metric).alias("metric"), at.alias("at"), "r0", "r1")
 
     parts = (part("warm", taken, "t_min").unionByName(part("drain", taken, "t_max"))
              .unionByName(part("idle", bounds.filter("t_min is null"), None)))
-    timed = parts.join(pilot_life(events), "pid").withColumns({
+    timed = parts.join(pilot_life(events, sid), [*sid, "pid"]).withColumns({
         "t0": F.when(F.col("metric") == "drain", F.col("at")).otherwise(F.col("p_min")),
         "t1": F.when(F.col("metric") == "warm", F.col("at")).otherwise(F.col("p_max"))})
     return _boxes(timed, rtype, F.col("metric"))
@@ -191,11 +203,12 @@ def overlaps(boxes: DataFrame) -> DataFrame:
 
     One row per resource and box; `before` is the latest end of earlier boxes.
     """
+    where = [*_sessions(boxes), "rtype", "pid", "r"]
     rows = (boxes.filter(F.col("t1") > F.col("t0"))
             .withColumn("r", F.explode(F.sequence("r0", "r1")))
-            .select("rtype", "pid", "r", "t0", "t1", "metric", "uid"))
+            .select(*where, "t0", "t1", "metric", "uid"))
     # boxes with the same start follow each other by end, metric and uid
-    prior = running(staged(rows, "boxes"), ["rtype", "pid", "r"], ["t0", "t1", "metric", "uid"],
+    prior = running(staged(rows, "boxes"), where, ["t0", "t1", "metric", "uid"],
                     past_maxs={"before": F.col("t1")})
     return prior.filter(F.col("t0") < F.col("before"))
 
@@ -203,15 +216,16 @@ def overlaps(boxes: DataFrame) -> DataFrame:
 def core_time(boxes: DataFrame, total: DataFrame) -> DataFrame:
     """Resource time per pilot and metric, and its share of what was provided."""
     area = (F.col("t1") - F.col("t0")) * (F.col("r1") - F.col("r0") + 1)
-    used = boxes.groupBy("rtype", "pid", "metric").agg(F.sum(area).alias("used"))
-    given = total.groupBy("rtype", "pid").agg(F.sum(area).alias("given"))
-    return used.join(given, ["rtype", "pid"]).withColumn(
+    keys = [*_sessions(boxes, total), "rtype", "pid"]
+    used = boxes.groupBy(*keys, "metric").agg(F.sum(area).alias("used"))
+    given = total.groupBy(*keys).agg(F.sum(area).alias("given"))
+    return used.join(given, keys).withColumn(
         "share", F.col("used") / F.nullif("given", F.lit(0.0)))
 
 
 def share_check(shares: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     """Per pilot the sum of shares, and whether it is one."""
-    return shares.groupBy("rtype", "pid").agg(F.sum("share").alias("total")) \
+    return shares.groupBy(*_sessions(shares), "rtype", "pid").agg(F.sum("share").alias("total")) \
         .withColumn("whole", F.abs(F.col("total") - 1) <= tolerance)
 
 
@@ -224,13 +238,15 @@ def usage_timeline(events: DataFrame, tasks: DataFrame, rows: list[tuple]) -> Da
     """
     hits = events.filter(F.col("event").isin(sorted({r[0] for r in rows})))
     changes = hits.withColumn("m", _move(rows)).filter("m is not null")
-    changes = changes.join(tasks.filter("pilot is not null").select("uid", "pilot", "amount"), "uid").select(
-        F.col("pilot").alias("pid"), "time", F.explode(F.array(
+    sid = _sessions(events, tasks)
+    changes = changes.join(tasks.filter("pilot is not null").select(*sid, "uid", "pilot", "amount"), [*sid, "uid"]).select(
+        *sid, F.col("pilot").alias("pid"), "time", F.explode(F.array(
             F.struct(F.col("m.source").alias("metric"), (-F.col("amount")).alias("change")),
             F.struct(F.col("m.target").alias("metric"), F.col("amount").alias("change")))).alias("c"))
-    summed = changes.groupBy("pid", "c.metric", "time").agg(F.sum("c.change").alias("change"))
-    return running(staged(summed, "changes"), ["pid", "metric"], ["time"],
-                   sums={"amount": F.col("change")}).select("pid", "metric", "time", "amount")
+    keys = [*sid, "pid", "metric"]
+    summed = changes.groupBy(*sid, "pid", "c.metric", "time").agg(F.sum("c.change").alias("change"))
+    return running(staged(summed, "changes"), keys, ["time"],
+                   sums={"amount": F.col("change")}).select(*keys, "time", "amount")
 
 
 def _move(rows: list[tuple]) -> Column:
@@ -254,9 +270,10 @@ def _short(row) -> dict:
 def task_timelines(events: DataFrame, tasks: DataFrame, spec="task") -> DataFrame:
     """(uid, metric, t0, t1) for tasks that were assigned and placed; a missing
     time stays null."""
-    placed = tasks.filter("pilot is not null and placed").select("uid").distinct()
-    mine = events.join(placed, "uid", "left_semi")
-    return durations(mine, spec, keep_missing=True, by=["uid"]).select("uid", "metric", "t0", "t1")
+    keys = [*_sessions(events, tasks), "uid"]
+    placed = tasks.filter("pilot is not null and placed").select(*keys).distinct()
+    mine = events.join(placed, keys, "left_semi")
+    return durations(mine, spec, keep_missing=True, by=keys).select(*keys, "metric", "t0", "t1")
 
 
 def occupancy_audit(uses: DataFrame, resources: DataFrame) -> DataFrame:
@@ -267,7 +284,7 @@ def occupancy_audit(uses: DataFrame, resources: DataFrame) -> DataFrame:
     pid, node_index, kind, idx, capacity; null capacity is a resource that is
     down.  Reasons: `unknown`, `down`, `over`.
     """
-    where = ["pid", "node_index", "kind", "idx"]
+    where = [*_sessions(uses, resources), "pid", "node_index", "kind", "idx"]
     changes = uses.select(*where, F.explode(F.array(
         F.struct(F.col("t0").alias("time"), F.col("amount").alias("change")),
         F.struct(F.col("t1").alias("time"), (-F.col("amount")).alias("change")))).alias("c")) \
