@@ -93,11 +93,13 @@ def cached_session(spark: SparkSession, sid: str, cache_dir: str,
 def session_with_task_ids(pilots: DataFrame, tasks: DataFrame, size: int = 4096) -> DataFrame:
     """Pilots with the sorted ids of their tasks, in chunks of `size` ids.
 
-    A pilot without tasks has one empty chunk.
+    A pilot without tasks has one empty chunk.  With a `sid` in both tables a
+    task belongs to the pilot of its own session.
     """
-    placed = tasks.filter("pilot is not null").select(F.col("pilot").alias("_p"), F.col("uid").alias("_t"))
-    ids = listed(placed, ["_p"], ["_t"], F.col("_t"), "task_ids", size)
-    return (pilots.join(ids, F.col("uid") == F.col("_p"), "left").drop("_p")
+    sid = ["sid"] if "sid" in pilots.columns and "sid" in tasks.columns else []
+    placed = tasks.filter("pilot is not null").select(*sid, F.col("pilot").alias("uid"), F.col("uid").alias("_t"))
+    ids = listed(placed, [*sid, "uid"], ["_t"], F.col("_t"), "task_ids", size)
+    return (pilots.join(ids, [*sid, "uid"], "left")
             .withColumns({"chunk": F.coalesce("chunk", F.lit(0).cast("long")),
                           "task_ids": F.coalesce("task_ids", F.array().cast("array<string>"))}))
 
@@ -136,19 +138,25 @@ def entity_tree(tables: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
 
     A task hangs below its manager and its pilot.  A task without a pilot has
     the manager's edge only and is no node.  Children are edges, not lists;
-    see `children`.
+    see `children`.  If managers, pilots and tasks have a `sid`, so have nodes
+    and edges.
     """
+    keyed = all("sid" in tables[name].columns for name in ("pmgr", "tmgr", "pilot", "task"))
+
+    def sid(name):
+        return [F.col("uid" if name == "session" else "sid").alias("sid")] if keyed else []
+
     def nodes(name, df, resources=None, description=None, etype=None):
         text = lambda c: F.to_json(c) if c and c in df.columns else F.lit(None).cast("string")
         return df.select(
-            "uid", F.coalesce(etype if etype is not None else F.lit(name), F.lit(name)).alias("etype"),
+            *sid(name), "uid", F.coalesce(etype if etype is not None else F.lit(name), F.lit(name)).alias("etype"),
             (F.col("cfg") if "cfg" in df.columns else F.lit(None).cast("string")).alias("cfg"),
             F.array(*[F.lit(x) for x in HAS[name]]).cast("array<string>").alias("has"),
             text(resources).alias("resources"), text(description).alias("description"))
 
     def edges(df, parent, child="uid"):
         return df.filter(F.coalesce(parent, F.lit("")) != "").select(
-            F.col(parent).alias("parent"), F.col(child).alias("child"))
+            *sid(""), F.col(parent).alias("parent"), F.col(child).alias("child"))
 
     task, pilot = tables["task"], tables["pilot"]
     placed = task.filter(F.coalesce("pilot", F.lit("")) != "")
@@ -163,4 +171,5 @@ def entity_tree(tables: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
 
 def children(edges: DataFrame, size: int = 4096) -> DataFrame:
     """Sorted children per parent, in chunks of `size`."""
-    return listed(edges, ["parent"], ["child"], F.col("child"), "children", size)
+    keys = ["sid", "parent"] if "sid" in edges.columns else ["parent"]
+    return listed(edges, keys, ["child"], F.col("child"), "children", size)

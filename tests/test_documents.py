@@ -127,3 +127,19 @@ def test_host_lists(spark):
     assert tuples(hosts, "job", "host", "slots") == [("j", "n1", 1), ("j", "n2", 3)]
     shapes = tuples(logs.host_shapes(hosts, gpn=1), "name", "index", "cores", "gpus")
     assert shapes == [("n1", 1, [0.0], [0.0]), ("n2", 0, [0.0] * 3, [0.0])]
+
+
+def test_equal_uids_of_two_sessions_stay_apart(spark):
+    one = lambda rows, layout: spark.createDataFrame(rows, layout)
+    pilots = one([("s0", "p"), ("s1", "p"), ("s1", "q")], "sid string, uid string")
+    tasks = one([("s0", "a", "p"), ("s1", "a", "p"), ("s1", "b", "p")], "sid string, uid string, pilot string")
+    got = d.session_with_task_ids(pilots, tasks).collect()
+    assert {(r.sid, r.uid): r.task_ids for r in got} == {("s0", "p"): ["a"], ("s1", "p"): ["a", "b"], ("s1", "q"): []}
+    nodes, edges = d.entity_tree({
+        "session": one([("s0",), ("s1",)], "uid string"),
+        "pmgr": one([("s0", "m"), ("s1", "m")], "sid string, uid string"),
+        "tmgr": one([("s0", "t"), ("s1", "t")], "sid string, uid string"),
+        "pilot": pilots.selectExpr("*", "'m' AS pmgr"), "task": tasks.selectExpr("*", "'t' AS tmgr")})
+    below = {(r.sid, r.parent): r.children for r in d.children(edges).collect()}
+    assert below["s0", "p"] == ["a"] and below["s1", "p"] == ["a", "b"] and below["s1", "t"] == ["a", "b"]
+    assert nodes.filter("uid = 'p'").count() == 2
