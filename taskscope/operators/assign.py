@@ -111,11 +111,15 @@ def feasible(tasks: DataFrame, shapes: DataFrame) -> DataFrame:
     """Tasks with the node shapes that can hold a rank: `n_shapes`, and
     `most_ranks`, the most ranks one node takes.
 
-    `shapes`: shape, cores, gpus, lfs, mem per node.  Tasks repeat few distinct
-    requests, so shapes are compared with distinct requests only, by a range
-    join, and the answer is joined back by equality.
+    `shapes`: shape, cores, gpus, lfs, mem per node.  Both sides repeat few
+    distinct vectors, so these are counted first and compared once each.  A shape
+    stands for every number of gpus it can serve, which makes that comparison an
+    equality and the join a hash join; the answer is joined back by equality.
     """
-    requests = tasks.select(*REQUEST).distinct()
+    requests = tasks.select(*REQUEST).distinct().withColumn(
+        "_g", F.greatest(F.ceil("gpus_per_rank").cast("int"), F.lit(0)))
+    vectors = shapes.groupBy("cores", "gpus", "lfs", "mem").agg(F.count(F.lit(1)).alias("_same")) \
+        .filter("gpus >= 0").withColumn("_g", F.explode(F.sequence(F.lit(0), F.col("gpus").cast("int"))))
     on = reduce(lambda a, b: a & b, [
         F.col(ask) <= F.col(have) for ask, have in
         zip(REQUEST, ("cores", "gpus", "lfs", "mem"))])
@@ -125,9 +129,9 @@ def feasible(tasks: DataFrame, shapes: DataFrame) -> DataFrame:
         F.floor(F.col("lfs") / F.nullif(F.col("lfs_per_rank"), F.lit(0))),
         F.floor(F.col("mem") / F.nullif(F.col("mem_per_rank"), F.lit(0))),
         F.col("ranks_per_node"))
-    fits = requests.join(shapes, on).withColumn("_ranks", per_node.cast("long"))
+    fits = requests.join(vectors, "_g").filter(on).withColumn("_ranks", per_node.cast("long"))
     answer = fits.groupBy(*REQUEST).agg(
-        F.count(F.lit(1)).alias("n_shapes"), F.max("_ranks").alias("most_ranks"))
+        F.sum("_same").alias("n_shapes"), F.max("_ranks").alias("most_ranks"))
     answer = answer.select(*[F.col(c).alias(f"_{c}") for c in REQUEST], "n_shapes", "most_ranks")
     back = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in REQUEST])
     return (tasks.join(answer, back, "left").drop(*[f"_{c}" for c in REQUEST])

@@ -141,3 +141,13 @@ def test_new_ids_do_not_repeat_old_ones(spark):
     df = spark.createDataFrame([("task.000000", 1), (None, 2), ("", 3), ("task.7", 4), ("other.9", 5)], "uid string, n int")
     got = assign.with_uid(df, ["n"])
     assert tuples(got, "n", "uid") == [(1, "task.000000"), (2, "task.000008"), (3, "task.000009"), (4, "task.7"), (5, "other.9")]
+
+
+def test_feasible_does_not_compare_all_pairs(spark):
+    tasks = spark.createDataFrame([("a", 2, 0.5, 0, 0, None), ("b", 9, 0.0, 0, 0, 3)],
+                                  "uid string, cores_per_rank int, gpus_per_rank double, lfs_per_rank int, mem_per_rank int, ranks_per_node int")
+    shapes = spark.createDataFrame([(1, 8, 1, 0, 0), (2, 8, 1, 0, 0), (3, 8, 0, 0, 0)],
+                                   "shape int, cores int, gpus int, lfs int, mem int")
+    got = assign.feasible(tasks, shapes)
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    assert tuples(got, "uid", "n_shapes", "most_ranks") == [("a", 2, 2), ("b", 0, 0)]
