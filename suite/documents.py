@@ -51,6 +51,28 @@ add("S3_read_session_managers",
     f"""SELECT DISTINCT concat('tmgr.', lpad(CAST(CAST(substr(uid, 6, 9) AS BIGINT) // {PER_MANAGER} AS VARCHAR(20)), 4, '0')) AS uid,
   '{{"v":1}}' AS cfg FROM tasks_v""")
 
+
+
+def pilot_manager_files(s, p):
+    """One document per pilot manager, each with a list of its pilots."""
+    v = view(s, p, "pilots_v").withColumn("mgr", F.format_string("pmgr.%04d", F.col("pos") % 4))
+    doc = F.struct("uid", "state", F.struct("resource", "nodes", "cores").alias("description"))
+    docs = v.groupBy("mgr").agg(F.collect_list(doc).alias("pilots"))
+    path = fresh_path(s, "pmgr")
+    docs.select("mgr", F.to_json(F.struct(F.col("mgr").alias("uid"), F.struct(F.lit(2).alias("v")).alias("cfg"),
+                                          "pilots")).alias("value")) \
+        .write.partitionBy("mgr").text(path)
+    return path
+
+
+add("S3_read_session_pilots",
+    lambda s, p: d.read_manager_docs(s, pilot_manager_files(s, p), "pmgr", "*.txt")[1].select(
+        "uid", "pmgr", "state", "description.resource", "description.nodes", "description.cores"),
+    """SELECT uid, concat('pmgr.', lpad(CAST(pos % 4 AS VARCHAR(20)), 4, '0')) AS pmgr, state, resource, nodes, cores FROM pilots_v""")
+add("S3_read_session_pilot_managers",
+    lambda s, p: d.read_manager_docs(s, pilot_manager_files(s, p), "pmgr", "*.txt")[0],
+    """SELECT DISTINCT concat('pmgr.', lpad(CAST(pos % 4 AS VARCHAR(20)), 4, '0')) AS uid, '{"v":2}' AS cfg FROM pilots_v""")
+
 add("S4_task_ids",
     lambda s, p: d.session_with_task_ids(view(s, p, "pilots_v").select("uid", "resource").union(
                                              s.sql("SELECT 'pilot.none', 'no tasks'")), view(s, p, "tasks_v"), 100)

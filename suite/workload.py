@@ -9,6 +9,7 @@ from taskscope.functions import text as tx
 from taskscope.operators import assign, audit, staging, stats
 from taskscope.operators import workload as w
 from taskscope.operators.durations import session_timing
+from taskscope.session import fresh_path
 
 QUERIES, ORACLES = {}, {}
 
@@ -117,6 +118,24 @@ add("S14_overrides",
     "SELECT uid, 7 AS ranks, cores_per_rank FROM tasks_v")
 
 
+def override_file(s, p):
+    """A file with as many ranks as there are regions, over several lines."""
+    path = fresh_path(s, "overrides")
+    (table(s, p, "region").agg(F.count(F.lit(1)).alias("n"))
+     .select(F.format_string("{\n  \"ranks\": %d\n}", "n").alias("value")).write.text(path))
+    return path
+
+
+add("S14_override_file",
+    lambda s, p: w.apply_overrides(view(s, p, "tasks_v"), w.read_overrides(s, override_file(s, p)))
+    .select("uid", "ranks", "cores_per_rank"),
+    "SELECT uid, CAST((SELECT count(*) FROM region) AS INT) AS ranks, cores_per_rank FROM tasks_v")
+add("S14_no_override_file",
+    lambda s, p: w.apply_overrides(view(s, p, "tasks_v"), w.read_overrides(s, fresh_path(s, "none")))
+    .select("uid", "ranks", "cores_per_rank"),
+    "SELECT uid, ranks, cores_per_rank FROM tasks_v")
+
+
 def old_slots(s, p, pairs):
     """Slots per task and node from line items, indexes as numbers or pairs."""
     rows = view(s, p, "slots_v")
