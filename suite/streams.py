@@ -167,7 +167,7 @@ SELECT uid, 'task_timeout' AS event, deadline FROM d WHERE deadline < 9e8 AND (c
 
 def limits_stream(s, p):
     rows = limits(s, p)
-    return msg.run_to_end(st.timeout_stream(stream_of(s, rows, "time", 1)), fresh_path(s, "t5"))
+    return msg.run_to_end(st.timeout_stream(stream_of(s, rows, "time", 3)), fresh_path(s, "t5"))
 
 
 add("T5_timeouts_stream", limits_stream,
