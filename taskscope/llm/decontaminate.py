@@ -28,6 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from taskscope.llm.words import ALNUM, Words, mixed, pieces, words
 
@@ -211,6 +212,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
               T.StructField("hamming", T.IntegerType()), T.StructField("first_word", T.LongType()),
               T.StructField("n_words", T.LongType())]
     schema = T.StructType(fields)
+    item_type = to_arrow_type(fields[1].dataType)
     out = docs.sparkSession.createDataFrame([], schema)
     for items in blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(items)
@@ -223,7 +225,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 cols = list(zip(*found)) if found else [()] * 6
                 ids = piece.column(0).take(pa.array(cols[0], pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array([shared.value[i][0] for i in cols[1]], pa.int64()), pa.array(cols[2], pa.float64()),
+                    [ids, pa.array([shared.value[i][0] for i in cols[1]], item_type), pa.array(cols[2], pa.float64()),
                      pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.int64())],
                     names=schema.names)
 
