@@ -26,17 +26,25 @@ def hold(stream: DataFrame, rule: Rule, path: str) -> tuple[DataFrame, DataFrame
 
     Batch n reads what batch n-1 held and overwrites its own folders, so a
     repeated batch does the same again.  Two folders of held rows are enough; a
-    third names the last batch, for a call that finds nothing new.
+    third names the last batch, for a call that finds nothing new.  A rule with
+    a form `remembering` also keeps a small table of what it has let go.
     """
     spark = stream.sparkSession
     held_at = lambda n: f"{path}/held/{n % 2}"
+    known_at = lambda n: f"{path}/known/{n % 2}"
+    remembering = getattr(rule, "remembering", None)
 
     def step(batch: DataFrame, number: int) -> None:
         new = batch
         if number > 0:
             new = spark.read.schema(batch.schema).parquet(held_at(number - 1)).unionByName(batch)
         new = new.persist()  # both results of the rule read it
-        released, held = rule(new)
+        if remembering:
+            known = spark.read.parquet(known_at(number - 1)) if number > 0 else None
+            released, held, known = remembering(new, known)
+            known.write.mode("overwrite").parquet(known_at(number))
+        else:
+            released, held = rule(new)
         released.write.mode("overwrite").parquet(f"{path}/released/n={number}")
         held.select(batch.columns).write.mode("overwrite").parquet(held_at(number))
         spark.range(number, number + 1).write.mode("overwrite").parquet(f"{path}/last/k={number % 2}")
@@ -57,6 +65,26 @@ def complete_bags(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.filter("status <> 'open'"), marked.filter("status = 'open'").drop("status")
 
 
+def _bags_once(rows: DataFrame, known: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """`complete_bags` where bags have gone before: (ns, size, released) are `known`.
+
+    A member that comes after its bag has gone is one too many and goes as `over`.
+    """
+    fresh, late = rows, None
+    if known is not None:
+        fresh = rows.join(known.select("ns"), "ns", "left_anti").select(rows.columns)
+        late = rows.join(known.select("ns"), "ns", "left_semi").select(rows.columns)
+    released, held = complete_bags(fresh)
+    gone = released.groupBy("ns").agg(F.min("size").alias("size"), F.count(F.lit(1)).alias("released"))
+    if late is not None:
+        released = released.unionByName(late.withColumn("status", F.lit("over")))
+        gone = known.unionByName(gone)
+    return released, held, gone
+
+
+complete_bags.remembering = _bags_once
+
+
 def gather_ranks(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Results of ranks go as one when all ranks are in."""
     counts = rows.groupBy("uid").agg((F.count_distinct("rank") >= F.max(F.coalesce("ranks", F.lit(1)))).alias("_all"))

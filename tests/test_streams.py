@@ -174,3 +174,12 @@ def test_a_repeated_rank_does_not_make_a_task_whole(spark):
     whole, open_ = h.gather_ranks(rows)
     assert [(r.uid, r.stdout) for r in whole.collect()] == [("b", ["o", "o"])]
     assert {r.uid for r in open_.collect()} == {"a"}
+
+
+def test_a_member_that_comes_after_its_bag_is_one_too_many(spark):
+    layout = "uid string, ns string, size int"
+    steps = [[("a", "x", 2), ("b", "x", 2)], [("c", "x", 2), ("d", "y", 2)], [("e", "y", 2)]]
+    released, held = h.hold(stream(spark, steps, layout), h.complete_bags, fresh_path(spark, "late"))
+    assert tuples(released, "uid", "status") == [("a", "complete"), ("b", "complete"), ("c", "over"),
+                                                 ("d", "complete"), ("e", "complete")]
+    assert held.count() == 0
