@@ -7,12 +7,14 @@ import pytest
 
 import __spark_entry__ as entry
 from check import rows
+from suite import QUERIES
 from suite.views import TABLES
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 
-STREAMS = {n for n, q in entry.queries().items() if q.__module__ == "suite.streams"}
+#: The queries of this library alone; others have tests of their own.
+NAMES = list(QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -31,8 +33,7 @@ def test_every_oracle_has_its_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-# streams have their own tests, and are compared at sf0.01 by check.py
-@pytest.mark.parametrize("name", [n for n in entry.queries() if n not in STREAMS])
+@pytest.mark.parametrize("name", NAMES)
 def test_query(spark, con, name):
     df = entry.queries()[name](spark, SF)
     got = rows(df.columns, [tuple(r) for r in df.collect()])
