@@ -79,6 +79,20 @@ add("T2_subscribers", told,
     f"SELECT announced, count(*) AS n FROM ({announced_sql(True)}) GROUP BY 1".replace("FROM (WITH", "FROM (WITH"))
 
 
+def told_of_one(s, p):
+    """What a subscriber to one uid is told, that of the first task."""
+    path = fresh_path(s, "t2")
+    msg.use_state_store(s)
+    first = view(s, p, "updates_v").agg(F.min("uid")).first()[0]
+    msg.foreach_transition(st.progress_stream(updates(s, p)), lambda b: b.write.mode("append").parquet(path),
+                           uid=first, bulk=True).awaitTermination()
+    return s.read.parquet(path).select("uid", "announced")
+
+
+add("T2_subscriber_of_one", told_of_one,
+    f"SELECT uid, announced FROM ({announced_sql(True)}) WHERE uid = (SELECT min(uid) FROM updates_v)")
+
+
 def messages(s, p):
     """Update messages as JSON: lists and single items, and other commands."""
     u = view(s, p, "updates_v")
