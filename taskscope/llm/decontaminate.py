@@ -4,7 +4,8 @@ Words are ASCII letters and digits and all characters beyond ASCII, lower-cased;
 shingle is five words in a row and weighs as many bytes as its words have.  For each
 item's number of words, every window of that many words of a document that holds at
 least one shingle of the benchmark gets a fingerprint of 64 bits (any other window
-has similarity 0).  Fingerprints are cut into four blocks of 16 bits; if two are
+has similarity 0).  A shingle that repeats within a window or an item counts once, in
+the fingerprints as in the similarity.  Fingerprints are cut into four blocks of 16 bits; if two are
 within `RADIUS` = 15 bits, one block differs in at most three, so an index of every
 item's blocks with all changes of up to three bits finds all items within the
 radius.  What is found is then measured exactly: weighted Jaccard of the shingles
@@ -171,13 +172,34 @@ class Benchmark:
     def _windows(self, index, start, span, h, weight, best) -> None:
         for low, high in self._stretches(start, span):
             a, b = start[low], int((start[low:high] + span[low:high]).max())
+            signed = _signs(h[a:b]) * weight[a:b, None]
             sums = np.zeros((b - a + 1, 64), np.int64)
-            np.cumsum(_signs(h[a:b]) * weight[a:b, None], axis=0, out=sums[1:])
+            np.cumsum(signed, axis=0, out=sums[1:])
             first = start[low:high] - a
-            prints = _packed(sums[first + span[low:high]] - sums[first])
+            sums = sums[first + span[low:high]] - sums[first]
+            self._once(h[a:b], signed, first, span[low:high], sums)
+            prints = _packed(sums)
             for i, item in zip(*(x.tolist() for x in index.near(prints, span[low:high]))):
                 self._measure(index, item, int(start[low + i]), int(span[low + i]), prints[i], h, weight, best)
 
+    @staticmethod
+    def _once(h, signed, first, span, sums) -> None:
+        """Take from the sums of windows what repeats a shingle of the same window."""
+        order = np.argsort(h, kind="stable")
+        same = np.flatnonzero(h[order[1:]] == h[order[:-1]])
+        again, before = order[same + 1], order[same]  # a repeat, and the previous place of its shingle
+        for size in np.unique(span).tolist() if len(again) else ():
+            # windows that start in (again - size, before] hold both
+            near = again - before < size
+            edges = np.concatenate([again[near] - size + 1, before[near] + 1])
+            if not len(edges):
+                continue
+            by_place = np.argsort(edges, kind="stable")
+            upto = np.zeros((len(edges) + 1, 64), np.int64)
+            np.cumsum(np.concatenate([signed[again[near]], -signed[again[near]]])[by_place], axis=0, out=upto[1:])
+            own = np.flatnonzero(span == size)
+            sums[own] -= upto[np.searchsorted(edges[by_place], first[own], side="right")]
+
     @staticmethod
     def _stretches(start, span):
         """Runs of windows that overlap, so that far hits do not sum up what lies between."""

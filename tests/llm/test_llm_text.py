@@ -215,6 +215,31 @@ def test_decontamination(spark, prose, odd, none):
         "doc_id AS item_id", "text")).count() == 0
 
 
+def test_copies_of_items_that_repeat_phrases(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
+    items, docs = [], []
+    for i, (plain, phrase, times) in enumerate([(30, 6, 6), (60, 10, 8), (20, 5, 10), (0, 6, 20), (25, 1, 12)] * 6):
+        refrain = [word() for _ in range(phrase)]
+        items.append((i, " ".join([word() for _ in range(plain)] + refrain * times)))
+        near = items[-1][1].split()
+        near[0] = "changed"
+        for copy in (items[-1][1].split(), near, refrain * (times + 3)):
+            docs.append((len(docs), " ".join([word() for _ in range(40)] + copy + [word() for _ in range(40)])))
+    want = set()
+    for d, text in docs:
+        w = text.split()
+        for k, item in items:
+            x = item.split()
+            if set(w) & set(x) and any(similar(w[a:a + len(x)], x) >= 0.8 for a in range(len(w) - len(x) + 1)):
+                want.add((d, k))
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"),
+                              spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(3 * i, i) for i in range(len(items))} <= want
+    assert {(r.doc_id, r.item_id) for r in got} == want
+    assert all(r.hamming == 0 for r in got if r.similarity == 1.0)
+
+
 def test_fingerprint_index_finds_all_within_the_radius():
     import numpy as np
     rng = np.random.default_rng(1)
