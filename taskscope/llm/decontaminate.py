@@ -5,7 +5,8 @@ shingle is five words in a row and weighs as many bytes as its words have.  For
 item's number of words, every window of that many words of a document that holds at
 least one shingle of the benchmark gets a fingerprint of 64 bits (any other window
 has similarity 0).  A shingle that repeats within a window or an item counts once, in
-the fingerprints as in the similarity.  Fingerprints are cut into four blocks of 16 bits; if two are
+the fingerprints as in the similarity.  A document shorter than an item is one window
+for it, whole.  Fingerprints are cut into four blocks of 16 bits; if two are
 within `RADIUS` = 15 bits, one block differs in at most three, so an index of every
 item's blocks with all changes of up to three bits finds all items within the
 radius.  What is found is then measured exactly: weighted Jaccard of the shingles
@@ -88,8 +89,10 @@ class Index:
             starts = np.searchsorted(keys[order], np.arange((1 << BLOCK_BITS) + 1))
             self.lists.append((starts, order // len(_FLIPS)))
 
-    def near(self, prints: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All (fingerprint, item) pairs within the radius and of the same size."""
+    def near(self, prints: np.ndarray, spans: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All (fingerprint, item) pairs within the radius and of the same size; items of more
+        than `most` shingles, if given, count as of that size."""
+        sizes = self.spans if most is None else np.minimum(self.spans, most)
         rows, items = [], []
         for b, (starts, members) in enumerate(self.lists):
             block = (prints >> np.uint64(b * BLOCK_BITS)).astype(np.uint16).astype(np.int64)
@@ -103,7 +106,7 @@ class Index:
         if not rows:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         row, item = np.concatenate(rows), np.concatenate(items)
-        close = (spans[row] == self.spans[item]) & (np.bitwise_count(prints[row] ^ self.prints[item]) <= RADIUS)
+        close = (spans[row] == sizes[item]) & (np.bitwise_count(prints[row] ^ self.prints[item]) <= RADIUS)
         pairs = np.unique(row[close] * len(self.items) + item[close])
         return pairs // len(self.items), pairs % len(self.items)
 
@@ -155,12 +158,10 @@ class Benchmark:
         has[hits + 1] = 1
         has = np.cumsum(has)
         starts, spans = [], []
-        for span in index.span_list[index.span_list <= n].tolist():
+        for span in np.unique(np.minimum(index.span_list, n)).tolist():  # the whole text for longer items
             at = np.flatnonzero(has[span:] > has[:-span])
             starts.append(at)
             spans.append(np.full(len(at), span))
-        if not starts:
-            return
         start, span = np.concatenate(starts), np.concatenate(spans)
         order = np.argsort(start, kind="stable")
         start, span = start[order], span[order]
@@ -179,7 +180,7 @@ class Benchmark:
             sums = sums[first + span[low:high]] - sums[first]
             self._once(h[a:b], signed, first, span[low:high], sums)
             prints = _packed(sums)
-            for i, item in zip(*(x.tolist() for x in index.near(prints, span[low:high]))):
+            for i, item in zip(*(x.tolist() for x in index.near(prints, span[low:high], len(h)))):
                 self._measure(index, item, int(start[low + i]), int(span[low + i]), prints[i], h, weight, best)
 
     @staticmethod
@@ -214,7 +215,7 @@ class Benchmark:
         both = sum(x for s, x in mine.items() if s in shingles)
         similarity = both / (sum(mine.values()) + total - both)
         if similarity >= SIMILARITY and (row not in best or (-similarity, a) < best[row][:2]):
-            best[row] = (-similarity, a, int(np.bitwise_count(fingerprint ^ index.prints[item])), index.words[item])
+            best[row] = (-similarity, a, int(np.bitwise_count(fingerprint ^ index.prints[item])), span + index.k - 1)
 
 
 def blocks(benchmark: DataFrame) -> list[list[tuple]]:

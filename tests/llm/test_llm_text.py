@@ -240,6 +240,34 @@ def test_copies_of_items_that_repeat_phrases(spark):
     assert all(r.hamming == 0 for r in got if r.similarity == 1.0)
 
 
+def test_documents_shorter_than_an_item(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([60, 5, 6, 12, 30, 45, 100, 4] * 4)]
+    docs = []
+    for _, item in items:
+        x = item.split()
+        for text in (x[:-1], x[3:], x[:-len(x) // 5 or None], x[2:-3], x[:len(x) // 2], x[:-3] + [word()], x):
+            docs.append((len(docs), " ".join(text)))
+    want = {}
+    for d, text in docs:
+        w = text.split()
+        for k, item in items:
+            x = item.split()
+            n = min(len(w), len(x))
+            if set(w) & set(x) and n >= min(5, len(x)):
+                best = max(similar(w[a:a + n], x) for a in range(len(w) - n + 1))
+                if best >= 0.8:
+                    want[d, k] = (pytest.approx(best), n)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.leaks(frame, bench).collect()
+    assert {(r.doc_id, r.item_id): (r.similarity, r.n_words) for r in got} == want
+    assert (1, 0) in want and docs[1][1] == " ".join(items[0][1].split()[3:])
+    assert {r.doc_id for r in decontaminate.without_leaks(frame, bench).collect()} == \
+        {d for d, _ in docs} - {d for d, _ in want}
+
+
 def test_fingerprint_index_finds_all_within_the_radius():
     import numpy as np
     rng = np.random.default_rng(1)
