@@ -6,12 +6,15 @@ with a kind or none.  Single potentials come from a token's shape and neighbours
 chain potentials from adjacent labels; both are counted on a sample of about
 `SAMPLE` documents whose labels the patterns give (`secret` has seed patterns of its
 own).  Skip potentials tie tokens of the same form, or of the same last digits, over
-any distance.  Tokens in pattern spans are observed; loopy message passing then
-settles the others of the document.  A token whose belief in a kind is `SURE` or more
-is added; neighbours of one kind make one span.
+any distance: each form that repeats is a variable without evidence of its own, tied
+to all its occurrences, so two of them are equally close wherever they stand.  Tokens
+in pattern spans are observed; loopy message passing then settles the others of the
+document: until no message moves by `STILL`, within rounds that follow the longest run
+of neighbours up to `REACH`, beyond which chain potentials carry nothing.  A token
+whose belief in a kind is `SURE` or more is added; neighbours of one kind make one span.
 
-A node has at most two chain and four skip edges, as equal forms are tied in their
-order of place, so a text with one number a thousand times stays linear.
+A token has at most two chain and two skip edges, so a text with one number a thousand
+times stays linear.
 
 A null or empty text has no spans.  Rows are independent: repeated rows and null ids
 need no care; an empty table gives an empty result; other columns are ignored or kept.
@@ -38,6 +41,7 @@ from taskscope.llm.words import pieces
 KINDS = ["email", "ip", "card", "phone", "secret"]
 NONE = len(KINDS)
 SAMPLE, SURE, ROUNDS = 4000, 0.95, 15
+STILL, REACH = 1e-4, 250
 SAME, ALIKE, UNSEEN = 3.0, 2.0, 6.0
 
 _SOME = re.compile(r"[0-9@]")
@@ -194,20 +198,27 @@ class Field:
                 phi[i] = -50.0
                 phi[i, kind] = 0.0
         edges, pair = [], []
+        run = longest = 0
         for i in range(len(found) - 1):
-            if found[i + 1].start - found[i].end <= 3:
+            run = run + 1 if found[i + 1].start - found[i].end <= 3 else 0
+            longest = max(longest, run)
+            if run:
                 edges.append((i, i + 1))
                 pair.append(self.chain)
+        nodes = len(found)
         for strength, form in ((SAME, lambda t: t.text.lower()), (ALIKE, _tail)):
-            last: dict[str, int] = {}
+            places: dict[str, list[int]] = {}
             for i, t in enumerate(found):
-                key = form(t)
-                if key:
-                    if key in last:
-                        edges.append((last[key], i))
-                        pair.append(strength * np.eye(NONE + 1))
-                    last[key] = i
-        belief = self._settled(phi, edges, pair)
+                if key := form(t):
+                    places.setdefault(key, []).append(i)
+            tie = _over_hub(strength) * np.eye(NONE + 1)
+            for at in places.values():
+                if len(at) > 1:
+                    edges += [(i, nodes) for i in at]
+                    pair += [tie] * len(at)
+                    nodes += 1
+        phi = np.concatenate([phi, np.zeros((nodes - len(found), NONE + 1))])
+        belief = self._settled(phi, edges, pair, ROUNDS + 4 * min(longest + 8, REACH))
         out: list[Span] = []
         for i, t in enumerate(found):
             kind = int(belief[i].argmax())
@@ -219,8 +230,8 @@ class Field:
         return [s for s in out if not any(s[0] < b and a < s[1] for a, b, _ in spans)]
 
     @staticmethod
-    def _settled(phi: np.ndarray, edges: list, pair: list) -> np.ndarray:
-        """Beliefs after sum-product message passing with damping."""
+    def _settled(phi: np.ndarray, edges: list, pair: list, rounds: int) -> np.ndarray:
+        """Beliefs when the messages of damped sum-product rest, or after that many rounds."""
         if edges:
             a, b = np.array(edges).T
             psi = np.array(pair)
@@ -228,7 +239,7 @@ class Field:
             both = np.concatenate([psi, psi.transpose(0, 2, 1)])
             back = np.concatenate([np.arange(len(a)) + len(a), np.arange(len(a))])
             messages = np.zeros((len(src), phi.shape[1]))
-            for _ in range(ROUNDS):
+            for _ in range(rounds):
                 total = phi.copy()
                 np.add.at(total, dst, messages)
                 cavity = total[src] - messages[back]
@@ -236,13 +247,19 @@ class Field:
                 new -= _logsum(new, 1)[:, None]
                 moved = np.abs(new - messages).max()
                 messages = 0.5 * messages + 0.5 * new
-                if moved < 1e-4:
+                if moved < STILL:
                     break
             phi = phi.copy()
             np.add.at(phi, dst, messages)
         return np.exp(phi - _logsum(phi, 1)[:, None])
 
 
+def _over_hub(strength: float) -> float:
+    """Strength of two edges that tie their ends over a variable between them as one edge would."""
+    e, k = math.exp(strength), NONE + 1
+    return math.log(e + math.sqrt(e * e + e * (k - 2) - (k - 1)))  # (x^2 + k - 1) / (2 x + k - 2) = e
+
+
 def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis=axis, keepdims=True)
     return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)

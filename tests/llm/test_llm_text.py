@@ -172,6 +172,34 @@ def test_pii_field_ties_distant_tokens(spark, odd, none):
         ((i, t, "z") for i, t in ODD), key=repr)
 
 
+def test_pii_field_ties_repeats_over_any_number_of_places():
+    import numpy as np
+
+    kinds = pii.NONE + 1
+    neutral = np.zeros(kinds)
+    field = pii.Field({"shape 93-94": neutral, "shape 97": neutral}, np.full(kinds, 1 / kinds), np.zeros((kinds, kinds)))
+    for repeat in ("555-0532", "5550532"):
+        gap = " words without any data. again "
+        for times in (50, 400):
+            for first in (0, times // 2, times):  # the observed one stands before, between or after
+                text = gap.join([repeat] * first + ["+1 (518) 555-0532, " + repeat] + [repeat] * (times - first))
+                base, every = pii.spans_of(text, field)
+                assert len(base) == 1 and len(every) == 1 + times + 1
+                assert {text[a:b] for a, b, _ in set(every) - set(base)} == {repeat}
+                assert {k for _, _, k in every} == {3}
+    other = "version 555-9999 and 555-9999 and 555-0532 after +1 (518) 555-0532"
+    assert "555-9999" not in {other[a:b] for a, b, _ in pii.spans_of(other, field)[1]}
+
+
+def test_pii_ties_over_a_hub_are_as_strong_as_one_edge():
+    import numpy as np
+
+    for strength in (pii.SAME, pii.ALIKE):
+        hub = np.exp(pii._over_hub(strength) * np.eye(pii.NONE + 1))
+        pair = hub @ hub
+        assert pair[0, 0] / pair[0, 1] == pytest.approx(np.exp(strength))
+
+
 def similar(window, item):
     size = min(5, len(item))
     sets = [{tuple(x[k:k + size]) for k in range(len(x) - size + 1)} for x in (window, item)]
