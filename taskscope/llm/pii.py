@@ -3,9 +3,11 @@
 Patterns find e-mail addresses, IP addresses, card and phone numbers; these spans
 always stay.  Tokens with a digit or an `@` are the variables of the field, labelled
 with a kind or none.  Single potentials come from a token's shape and neighbours,
-chain potentials from adjacent labels; both are counted on a sample of about
-`SAMPLE` documents whose labels the patterns give (`secret` has seed patterns of its
-own).  Skip potentials tie tokens of the same form, or of the same last digits, over
+chain potentials from adjacent labels; both are counted over all documents, whose
+labels the patterns give (`secret` has seed patterns of its own), so files and
+partitions do not matter.  A feature comes to the driver if two tokens or more have it
+and it is `SUPPORT` or more of the tokens of some label, however rare that label is:
+with seven features a token at most 350,000 a label, in tables of any size.  Skip potentials tie tokens of the same form, or of the same last digits, over
 any distance: each form that repeats is a variable without evidence of its own, tied
 to all its occurrences, so two of them are equally close wherever they stand.  Tokens
 in pattern spans are observed; loopy message passing then settles the others of the
@@ -29,6 +31,8 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +44,8 @@ from taskscope.llm.words import pieces
 
 KINDS = ["email", "ip", "card", "phone", "secret"]
 NONE = len(KINDS)
-SAMPLE, SURE, ROUNDS = 4000, 0.95, 15
+SURE, ROUNDS = 0.95, 15
+SUPPORT = 2e-5
 STILL, REACH = 1e-4, 250
 SAME, ALIKE, UNSEEN = 3.0, 2.0, 6.0
 
@@ -270,6 +275,16 @@ def _tail(t: Token) -> str:
     return digits[-7:] if len(digits) >= 7 else ""
 
 
+#: Counts that a task holds before it passes them on.
+_HELD = 1 << 17
+
+
+def _batch(counts: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([f for f, _ in counts], pa.string()), pa.array([k for _, k in counts], pa.int32()),
+         pa.array(list(counts.values()), pa.int64())], names=["feature", "kind", "n"])
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
     for piece in pieces(batches):
@@ -285,33 +300,36 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in range(len(found) - 1):
                 if found[i + 1].start - found[i].end <= 3:
                     counts[f"\t{labels[i]}", labels[i + 1]] += 1
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([f for f, _ in counts], pa.string()), pa.array([k for _, k in counts], pa.int32()),
-         pa.array(list(counts.values()), pa.int64())], names=["feature", "kind", "n"])
+            if len(counts) > _HELD:
+                yield _batch(counts)
+                counts.clear()
+    yield _batch(counts)
 
 
 def fit(docs: DataFrame) -> Field:
-    """Count potentials on a sample; what comes to the driver is bounded by it."""
-    rows = docs.count()
+    """Count potentials over all documents; what comes to the driver is bounded by `SUPPORT`."""
     k = NONE + 1
-    single: dict[str, np.ndarray] = {}
     prior, chain = np.full(k, 1.0), np.full((k, k), 1.0)
-    if rows:
-        sample = docs.select("text").sample(False, min(1.0, SAMPLE / rows), seed=11)
-        counted = (sample.mapInArrow(_counted, "feature string, kind int, n long").groupBy("feature", "kind")
-                   .agg(F.sum("n").alias("n")))
-        for feature, kind, n in counted.collect():
-            if feature == "":
-                prior[kind] += n
-            elif feature.startswith("\t"):
-                chain[int(feature[1:]), kind] += n
-            else:
-                single.setdefault(feature, np.zeros(k))[kind] += n
+    counted = (docs.select("text").mapInArrow(_counted, "feature string, kind int, n long").groupBy("feature")
+               .agg(*[F.sum(F.when(F.col("kind") == i, F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(k)]))
+    counted = counted.persist()  # labels are counted before features are chosen
+    labels = F.col("feature") == ""
+    pairs = F.col("feature").startswith("\t")
+    for feature, *n in counted.filter(labels | pairs).collect():
+        if feature:
+            chain[int(feature[1:])] += n
+        else:
+            prior += n
     total = prior.copy()
+    often = [F.col(f"n{i}") >= max(1.0, SUPPORT * float(total[i])) for i in range(k)]
+    chosen = counted.filter(~labels & ~pairs & (sum(F.col(f"n{i}") for i in range(k)) > 1))
+    features, *columns = chosen.filter(reduce(or_, often)).toArrow().columns
+    counted.unpersist()
+    single = dict(zip(features.to_pylist(), np.array([c.to_numpy() for c in columns], float).T))
     prior /= prior.sum()
     # how much more likely a feature is under a label than at large, with weak counts held back
     single = {f: np.log((c + c.sum() * prior * 0.05 + 0.05) / (total + 0.05)
-                        / ((c.sum() + 0.3) / total.sum())) for f, c in single.items() if c.sum() > 1}
+                        / ((c.sum() + 0.3) / total.sum())) for f, c in single.items()}
     rowed = chain / chain.sum(axis=1, keepdims=True)
     return Field(single, prior, np.clip(np.log(rowed / (chain.sum(axis=0) / chain.sum())), -2, 2))
 

@@ -191,6 +191,23 @@ def test_pii_field_ties_repeats_over_any_number_of_places():
     assert "555-9999" not in {other[a:b] for a, b, _ in pii.spans_of(other, field)[1]}
 
 
+def test_pii_counts_all_documents_however_they_are_dealt(spark):
+    rng = random.Random(15)
+    key = lambda: "AKIA" + "".join(rng.choice("ABCDEFGH23456789") for _ in range(16))
+    texts = [f"in the year {rng.randint(1000, 2500)} version {rng.randint(1, 9)}.{rng.randint(0, 9)}" for _ in range(12000)]
+    for i in (1700, 5200, 8800):  # one of 4,000 holds a seed
+        texts[i] = f"the access key is {key()} now"
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    fields = [pii.fit(d) for d in (docs.repartition(2), docs.repartition(7), docs.orderBy(docs.doc_id.desc()))]
+    assert all(f.single.keys() == fields[0].single.keys() for f in fields)
+    assert all((f.single[x] == fields[0].single[x]).all() for f in fields for x in f.single)
+    assert all((f.prior == fields[0].prior).all() and (f.chain == fields[0].chain).all() for f in fields)
+    assert fields[0].prior[4] / fields[0].prior.min() == 4  # three seeds and one at least, against none and one
+    assert fields[0].single["head AKIA"].argmax() == 4
+    text = f"the access key is {key()} now, in the year 1999"
+    assert [k for _, _, k in pii.spans_of(text, fields[0])[1]] == [4]
+
+
 def test_pii_ties_over_a_hub_are_as_strong_as_one_edge():
     import numpy as np
 
