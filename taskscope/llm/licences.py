@@ -1,12 +1,17 @@
 """Licence notices by a positional index of rare words, in DataFrame and SQL functions only.
 
 Templates are word sequences.  A first pass counts, over all documents, how many hold
-each word of a template; `RARE` words of highest IDF of each template become its
-index, with their places in the template.  In a document that holds one of them, each
-occurrence of an indexed word says where the template would start; starts on which
-two indexed words agree are aligned word by word, and the share of the template's IDF that agrees is the score of that start.  A
-template is found if its score is `SCORE` or more and its mandatory key phrase stands
-in the document.
+each word of a template; the words of highest IDF of each template become its index,
+with their places in the template.  In a document that holds the template's mandatory
+key phrase, each occurrence of an indexed word says where the template would start;
+starts on which two indexed words agree are aligned word by word, and the share of the
+template's IDF that agrees is the score of that start.  A template is found if its
+score is `SCORE` or more.
+
+The index has `RARE` words at least, and as many more as it takes that no start can
+reach the key phrase's share of the IDF, or `SCORE`, with one indexed word or none.
+As the key phrase is part of its template, where it stands is such a start, so the
+score is the best of all starts.
 
 Words are runs of ASCII letters and digits (A-Z lower-cased) and characters beyond
 ASCII.  A null text is an empty one: no words, no labels, score 0.  Repeated rows,
@@ -75,18 +80,26 @@ def idf(docs: DataFrame) -> dict[str, float]:
     return {w: math.log((1 + rows) / (1 + counts.get(w, 0))) + 1 for w in vocabulary}
 
 
-def index(weights: dict[str, float]) -> dict[str, list[tuple[str, int]]]:
-    """Label -> its rare words with their places in the template, rarest first."""
+def index(weights: dict[str, float]) -> dict[str, tuple[list[tuple[str, int]], int]]:
+    """Label -> its rare words with their places in the template, rarest first, and on how
+    many of them a start has to agree: two, or one where a single word may be enough."""
     out = {}
-    for label, (text, _) in TEMPLATES.items():
+    for label, (text, phrase) in TEMPLATES.items():
         words = text.split()
-        rare = sorted(set(words), key=lambda w: (-weights[w], w))[:RARE]
-        out[label] = [(w, i) for w in rare for i, x in enumerate(words) if x == w]
+        share = {w: weights[w] * words.count(w) for w in words}
+        total = sum(share.values())
+        least = min(SCORE, sum(weights[w] for w in phrase.split()) / total) * total * (1 - 1e-9)
+        rare = sorted(share, key=lambda w: (-weights[w], w))
+        # the most that a start can have which agrees on fewer indexed words than asked for
+        agree = 2 if max(share.values()) < least else 1
+        size = next(n for n in range(1, len(rare) + 1) if sum(share[w] for w in rare[n:]) + (
+            max(share[w] for w in rare[:n]) if agree == 2 else 0) < least)
+        out[label] = [(w, i) for w in rare[:max(size, RARE)] for i, x in enumerate(words) if x == w], agree
     return out
 
 
-def _scored(label: str, places: list[tuple[str, int]], weights: dict[str, float]) -> str:
-    """SQL: best score of one template over all starts that two of its rare words agree on.
+def _scored(label: str, places: list[tuple[str, int]], agree: int, weights: dict[str, float]) -> str:
+    """SQL: best score of one template over all starts that two, or one, of its rare words agree on.
 
     `rare` holds (word, place) of all indexed words of the document.
     """
@@ -102,6 +115,8 @@ def _scored(label: str, places: list[tuple[str, int]], weights: dict[str, float]
     starts = f"array_sort({every})"
     chosen = (f"array_distinct(transform(filter(zip_with(slice({starts}, 1, greatest(size({starts}) - 1, 0)),"
               f" slice({starts}, 2, size({starts})), (a, b) -> struct(a, b)), p -> p.a = p.b), p -> p.a))")
+    if agree == 1:
+        chosen = f"array_distinct({every})"
     match = " + ".join(f"CASE WHEN get(w, s + {j}) = '{x}' THEN {weights[x] / total!r}D ELSE 0D END"
                        for j, x in enumerate(words))
     return f"coalesce(array_max(transform({chosen}, s -> {match})), 0D)"
@@ -111,12 +126,14 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     weights = idf(docs)
     places = index(weights)
-    rare = sorted({w for own in places.values() for w, _ in own})
     ends = sorted({p.split()[-1] for p in BASE})
+    rare = sorted({w for own, _ in places.values() for w, _ in own} | set(ends))
+    # no label without its key phrase, which holds this word
+    keys = sorted({max(phrase.split(), key=lambda w: (weights[w], w)) for _, phrase in TEMPLATES.values()} | set(ends))
     d = worded(docs).withColumn("n_words", F.size("w").cast("long"))
-    d = d.withColumn("_hit", F.expr(f"arrays_overlap(w, {_literal(rare + ends)})"))
+    d = d.withColumn("_hit", F.expr(f"arrays_overlap(w, {_literal(keys)})"))
     d = d.withColumn("rare", F.expr(
-        f"CASE WHEN _hit THEN filter(transform(w, (x, i) -> struct(x, i)), r -> array_contains({_literal(rare + ends)}, r.x))"
+        f"CASE WHEN _hit THEN filter(transform(w, (x, i) -> struct(x, i)), r -> array_contains({_literal(rare)}, r.x))"
         " ELSE array() END"))
     d = d.withColumn("_text", F.expr("CASE WHEN _hit THEN concat(' ', array_join(w, ' '), ' ') ELSE '' END"))
     for phrase, label in BASE.items():
@@ -128,7 +145,7 @@ def scan(docs: DataFrame) -> DataFrame:
     found = [f"_b_{label}" for label in BASE.values()]
     d = d.withColumn("_at", F.concat(*found))
     d = d.withColumns({f"_s_{k}": F.expr(
-        f"CASE WHEN _hit AND contains(_text, ' {TEMPLATES[label][1]} ') THEN {_scored(label, places[label], weights)}"
+        f"CASE WHEN _hit AND contains(_text, ' {TEMPLATES[label][1]} ') THEN {_scored(label, *places[label], weights)}"
         " ELSE 0D END") for k, label in enumerate(TEMPLATES)})
     base = F.expr("array_sort(array_compact(array(" + ", ".join(
         f"CASE WHEN size(_b_{label}) > 0 THEN '{label}' END" for label in BASE.values()) + ")))")

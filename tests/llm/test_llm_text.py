@@ -349,6 +349,46 @@ def test_licences(spark, odd, none):
     assert licences.scan(none).count() == 0
 
 
+def test_licence_scores_are_the_best_of_every_start(spark):
+    rng = random.Random(21)
+    texts = [f"plain words in the text number {i} of any kind" for i in range(300)]
+    for label, (notice, phrase) in licences.TEMPLATES.items():
+        words, key = notice.split(), phrase.split()
+        first = next(i for i in range(len(words)) if words[i:i + len(key)] == key)
+        free = [i for i in range(len(words)) if not first <= i < first + len(key)]
+        for k in range(12):  # words changed, left out, put in; never those of the key phrase
+            w, changed = list(words), rng.sample(free, min(len(free), rng.randint(0, 6)))
+            for i in sorted(changed, reverse=True):
+                w[i:i + 1] = {0: ["altered"], 1: [], 2: [w[i], "inserted"]}[rng.choice([0, 0, 0, 1, 2])]
+            cut = rng.choice([0, 0, first])
+            texts.append(" ".join(["the", "work"] * (k % 3) + w[cut:] + ["of", "this"] * (k % 2)))
+        texts.append(f"the terms {phrase} and {phrase}")
+    mit = "permission is hereby granted free of {} to any person obtaining a copy of this software and {} documentation files"
+    texts.append(mit.format("cost", "related"))
+    texts.append(mit.format("", "all"))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    weights = licences.idf(docs)
+    got = {r.doc_id: r for r in licences.scan(docs).collect()}
+    for i, text in enumerate(texts):
+        w, scores = text.split(), {}
+        for label, (notice, phrase) in licences.TEMPLATES.items():
+            x = notice.split()
+            if f" {phrase} " in f" {text} ":
+                scores[label] = max(sum(weights[b] for j, b in enumerate(x) if 0 <= s + j < len(w) and w[s + j] == b)
+                                    for s in range(-len(x), len(w))) / sum(weights[b] for b in x)
+        base = {label for phrase, label in licences.BASE.items() if f" {phrase} " in f" {text} "}
+        assert got[i].score == pytest.approx(max(scores.values(), default=0.0)), text
+        assert got[i].labels == ",".join(sorted(base | {k for k, x in scores.items() if x >= licences.SCORE})), text
+    assert got[len(texts) - 2].labels == "mit-text"
+
+
+def test_licence_index_where_one_word_is_nearly_all_of_a_template():
+    weights = {w: 1.0 for text, _ in licences.TEMPLATES.values() for w in text.split()} | {"affero": 30.0}
+    places, agree = licences.index(weights)["agpl-3.0"]
+    assert agree == 1 and places[0][0] == "affero"
+    assert all(n == 2 for k, (_, n) in licences.index(weights).items() if k != "agpl-3.0")
+
+
 @pytest.fixture(scope="module")
 def library():
     import public_tokenizers
