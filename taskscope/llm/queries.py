@@ -12,7 +12,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from taskscope.llm import bpe, decontaminate, jaccard, licences, pii, quality, sharding, tokens, toxicity, warc
+from taskscope.llm import bpe, decontaminate, jaccard, licences, pii, quality, ranking, resample, sharding, tokens, topk, \
+    toxicity, warc
 from taskscope.session import fresh_path
 
 #: Folder of the public vocabulary files, unless given otherwise.
@@ -86,7 +87,25 @@ def op10_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"))
 
 
+def op11_ranked_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    return ranking.rank(table(spark, sf, "documents"), table(spark, sf, "benchmark"), k=10)
+
+
+def op12_exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    """The 20 vectors with the highest integer inner products of every twentieth vector."""
+    return topk.search(table(spark, sf, "embeddings"), k=20, every=20)
+
+
+def op13_importance_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's weight towards the benchmark, and the quarter that is drawn."""
+    return resample.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"), percent=25, least_words=20, seed=7)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_cascade, op2_histogram_sort, op3_toxicity, op4_pii, op5_decontamination, op6_token_counts,
-    op7_jaccard_join, op8_warc, op9_licence_scan, op10_byte_bpe)}
-ORACLES: dict[str, str] = {"op1_quality_cascade": quality.ORACLE}
+    op7_jaccard_join, op8_warc, op9_licence_scan, op10_byte_bpe, op11_ranked_search,
+    op12_exact_top_k, op13_importance_resampling)}
+ORACLES: dict[str, str] = {
+    "op1_quality_cascade": quality.ORACLE, "op11_ranked_search": ranking.ORACLE,
+    "op12_exact_top_k": topk.ORACLE, "op13_importance_resampling": resample.ORACLE}
