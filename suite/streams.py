@@ -3,14 +3,13 @@
 from pyspark.sql import functions as F
 
 from suite.states import task_progress
-from suite.traces import files
 from suite.views import cases, sql, table, view
 from suite.workload import rank_results
 from suite.durations import SMALL, found
 from taskscope.operators import durations as d
 from taskscope.operators import state as m
 from taskscope.session import fresh_path
-from taskscope.sources.trace import read_trace_stream
+from taskscope.sources.trace import read_trace_stream, write_trace_text
 from taskscope.streaming import hold as h
 from taskscope.streaming import messages as msg
 from taskscope.streaming import stateful as st
@@ -63,6 +62,54 @@ add("T1_progress_stream",
 add("M5_announced", lambda s, p: m.announced(m.progress(view(s, p, "updates_v"), replay_final=False)), announced_sql(False))
 
 
+# ---- state that ends: a uid comes back in each of three steps, some of them after their state has ended
+LIMIT = 300.0
+_LIVES = """SELECT concat('task.', CAST(event_id % 400 AS VARCHAR(20))) AS uid, event_id AS seq, 1000.0 + event_id AS time,
+  CASE event_type WHEN 'signup' THEN 'NEW' WHEN 'view' THEN 'AGENT_SCHEDULING' WHEN 'click' THEN 'AGENT_EXECUTING'
+    WHEN 'purchase' THEN 'DONE' ELSE 'CANCELED' END AS state FROM {events}"""
+
+
+def expiring(s, p):
+    """Transitions, and the folder of the stream's checkpoint."""
+    rows = s.sql(_LIVES.format(events="{events}"), events=table(s, p, "events"))
+    rows = rows.withColumn("time", F.col("time").cast("double"))
+    path = fresh_path(s, "t1")
+    return msg.run_to_end(st.progress_stream(stream_of(s, rows, "seq"), forget=LIMIT, idle=LIMIT), path), f"{path}/checkpoint"
+
+
+def lives_sql():
+    """Announced states, uid cut into lives: a new one where the watermark, the latest time of earlier
+    steps, had passed the end of the uid's state."""
+    lives = f"""lv AS (SELECT *, CASE WHEN seq >= a + 2 * ((b - a) / 3) THEN 2 WHEN seq >= a + 1 * ((b - a) / 3) THEN 1 ELSE 0 END AS part
+  FROM ({_LIVES.format(events="events")}), (SELECT min(event_id) AS a, max(event_id) AS b FROM events)),
+marks AS (SELECT x.part, max(lv.time) AS mark FROM (SELECT DISTINCT part FROM lv) x JOIN lv ON lv.part < x.part GROUP BY 1),
+ends AS (SELECT uid, part, max(time) AS last FROM lv GROUP BY 1, 2),
+fresh AS (SELECT uid, part, CASE WHEN lag(last) OVER w + {LIMIT} <= mark THEN 1 ELSE 0 END AS fresh
+  FROM ends LEFT JOIN marks USING (part) WINDOW w AS (PARTITION BY uid ORDER BY part)),
+life AS (SELECT uid, part, sum(fresh) OVER (PARTITION BY uid ORDER BY part) AS life FROM fresh),
+lives AS (SELECT concat(uid, '/', CAST(life AS VARCHAR(9))) AS uid, seq, state FROM lv JOIN life USING (uid, part)), """
+    return announced_sql(True).replace("updates_v", "lives").replace("WITH ", f"WITH {lives}", 1)
+
+
+add("T1_progress_expiry", lambda s, p: expiring(s, p)[0],
+    f"SELECT split_part(uid, '/', 1) AS uid, seq, state, step, announced FROM ({lives_sql()})")
+
+
+def state_left(s, p):
+    """What the state store holds at the end: uids whose state has not ended, with their last state."""
+    _, checkpoint = expiring(s, p)
+    return (s.read.format("statestore").option("stateVarName", "current").load(checkpoint)
+            .select("key.uid", F.col("value.last").alias("last")))
+
+
+add("T1_state_left", state_left,
+    f"""WITH an AS (SELECT * FROM ({lives_sql()})),
+k AS (SELECT split_part(uid, '/', 1) AS uid, CAST(split_part(uid, '/', 2) AS INT) AS life, arg_max(state, seq) AS last FROM an GROUP BY an.uid),
+t AS (SELECT concat('task.', CAST(event_id % 400 AS VARCHAR(20))) AS uid, max(event_id) AS seq FROM events GROUP BY 1)
+SELECT uid, arg_max(last, life) AS last FROM k JOIN t USING (uid)
+WHERE t.seq + {LIMIT} > (SELECT max(event_id) FROM events) GROUP BY uid""")
+
+
 def told(s, p):
     path = fresh_path(s, "t2")
     msg.use_state_store(s)
@@ -109,8 +156,17 @@ UNION ALL SELECT uid, 'task', state, seq FROM updates_v WHERE seq % 4 = 0""")
 
 
 def live(s, p):
-    events = read_trace_stream(s, files(s, p), "*.txt")
-    return msg.latest_rows(d.durations(events, SMALL, by=["uid"]), ["uid", "metric"], fresh_path(s, "s2"))
+    """Trace files that arrive in three steps; after each the query stops, and goes on from its checkpoint."""
+    path, place = fresh_path(s, "trace"), fresh_path(s, "s2")
+    events = view(s, p, "trace_v")
+    bounds = events.agg(F.min("time").alias("a"), F.max("time").alias("b")).head()
+    for i in range(3):
+        low, high = (bounds.a + (bounds.b - bounds.a) * k / 3 for k in (i, i + 1))
+        part = events.filter((F.col("time") >= low) & ((F.col("time") < high) | F.lit(i == 2)))
+        write_trace_text(part, f"{path}/step{i}")
+        stream = read_trace_stream(s, path, "*.txt", files_per_trigger=2)
+        now = msg.latest_rows(d.durations(stream, SMALL, by=["uid"]), ["uid", "metric"], place)
+    return now
 
 
 add("S2_trace_stream", live, found(SMALL, "trace_v") + "SELECT uid, metric, t0, t1, dur FROM dur")
@@ -146,16 +202,17 @@ SELECT uid, count(*) AS ranks, min(last) AS last FROM l WHERE last < (SELECT max
 
 
 def lost_stream(s, p):
+    """Every alarm: a rank may be lost, return and be lost again."""
     rows, _ = beats(s, p)
     out = msg.run_to_end(st.lost_worker_stream(stream_of(s, rows, "hb", 4), 86400.0), fresh_path(s, "t4"))
-    # a rank may be lost, return and be lost again: those still lost at the end
-    last = rows.groupBy("uid", "rank").agg((F.round(F.max("hb") * 1000) / 1000).alias("last"))
-    return out.join(last, ["uid", "rank", "last"], "left_semi").select("uid", "rank", F.round("last", 2).alias("last"))
+    return out.select("uid", "rank", F.round("last", 2).alias("last"))
 
 
 add("T4_lost_workers_stream", lost_stream,
-    f"""WITH {_BEATS}, l AS (SELECT uid, rank, round(max(hb) * 1000) / 1000 AS last FROM h GROUP BY 1, 2)
-SELECT uid, rank, round(last, 2) AS last FROM l WHERE last + 86400 <= (SELECT max(hb) FROM h)""")
+    f"""WITH {_BEATS}, m AS (SELECT DISTINCT uid, rank, CAST(round(hb * 1000) AS BIGINT) AS ms FROM h),
+g AS (SELECT uid, rank, ms, lead(ms) OVER (PARTITION BY uid, rank ORDER BY ms) AS back, max(ms) OVER () AS now FROM m)
+SELECT uid, rank, round(ms / 1000, 2) AS last FROM g
+WHERE back - ms >= 86400000 OR (back IS NULL AND ms + 86400000 <= now)""")
 
 # submitted at the order date, started later, ended or not
 _LIMITS = """SELECT {uid} AS uid, kind, {date}/1e6 + k * (o_custkey % 50) * 10 AS time,
@@ -331,3 +388,36 @@ add("T13_info_stream", infos,
 m AS (SELECT doc_id, pos, regexp_extract(value, '^.*(([A-Z][a-z]+)\. ([A-Z][a-z]+)).*$', 3) AS info FROM l
   WHERE regexp_matches(value, '^.*(([A-Z][a-z]+)\. ([A-Z][a-z]+)).*$'))
 SELECT concat('doc.', CAST(doc_id AS VARCHAR(20))) AS uid, arg_min(info, pos) AS info FROM m GROUP BY doc_id""")
+
+
+def limited_infos(s, p):
+    """A match within 3 ms (lines) of a text's first line, or an error."""
+    lines = stream_of(s, text_lines(s, p), "o", 3).drop("o")
+    return msg.run_to_end(st.info_stream(lines, r"([A-Z][a-z]+)\. ([A-Z][a-z]+)", timeout=0.003), fresh_path(s, "t13"))
+
+
+add("T13_info_time_limit", limited_infos,
+    r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS value,
+  generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents WHERE text IS NOT NULL),
+m AS (SELECT doc_id, pos, doc_id * 1000 + pos AS ms, regexp_extract(value, '^.*(([A-Z][a-z]+)\. ([A-Z][a-z]+)).*$', 3) AS info,
+  regexp_matches(value, '^.*(([A-Z][a-z]+)\. ([A-Z][a-z]+)).*$') AS hit FROM l),
+f AS (SELECT doc_id, arg_min(info, pos) FILTER (WHERE hit AND pos <= 3) AS info, max(pos) AS last FROM m GROUP BY doc_id)
+SELECT concat('doc.', CAST(doc_id AS VARCHAR(20))) AS uid, info, CASE WHEN info IS NULL THEN 'startup timeout' END AS error
+FROM f WHERE info IS NOT NULL OR last > 3 OR doc_id * 1000 + 3 <= (SELECT max(ms) FROM m)""")
+
+
+def late_ranks(s, p):
+    """Every rank reports again after all have: nothing is released twice, nothing is held for ever."""
+    rows = rank_results(s, p).withColumn("_o", F.regexp_extract("uid", r"(\d+)", 1).cast("long") * 7 % 10 + F.col("rank"))
+    again = rows.withColumn("_o", F.col("_o") + 1000)
+    released, held = h.hold(stream_of(s, rows.unionByName(again), "_o").drop("_o"), h.gather_ranks, fresh_path(s, "t9"))
+    return released.select("uid", F.lit("released").alias("status"), F.lit(0).cast("long").alias("rank")).unionByName(
+        held.select("uid", F.lit("held").alias("status"), F.col("rank").cast("long")))
+
+
+add("T9_late_ranks", late_ranks,
+    """WITH r AS (SELECT concat('task.', CAST(conv_id AS VARCHAR(20))) AS uid, turn AS rank,
+  count(*) OVER (PARTITION BY conv_id) >= max(turn) OVER (PARTITION BY conv_id) + 1 + CASE WHEN conv_id % 4 = 0 THEN 1 ELSE 0 END AS whole
+  FROM conversations)
+SELECT DISTINCT uid, 'released' AS status, CAST(0 AS BIGINT) AS rank FROM r WHERE whole
+UNION ALL SELECT uid, 'held', CAST(rank AS BIGINT) FROM r, (VALUES (1), (2)) AS twice(k) WHERE NOT whole""")

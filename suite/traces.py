@@ -165,6 +165,43 @@ add("C7_session_trace", whole,
     f"""WITH {_RAW}, {closed('cleaned')} SELECT event, comp, coalesce(state, '') AS state, count(*) AS n,
   min(time) AS first FROM closed GROUP BY 1, 2, 3""")
 
+
+
+# the whole pipeline with clocks and hosts: one file per component, 8 on 4 hosts, each with a sync row at its start
+def hosted(s, p):
+    """Trace files of eight components on four hosts, whose clocks differ; tasks report a host."""
+    rows = raw(s, p).withColumn("k", F.substring("uid", -6, 6).cast("long") % 8)
+    named = rows.withColumn("msg", F.when(F.col("event") == "exec_start", F.concat(F.lit("node"), F.col("k").cast("string")))
+                            .otherwise(F.lit("")))
+    named = named.withColumn("event", F.when(F.col("event") == "exec_start", "hostname").otherwise(F.col("event")))
+    base = 1_700_000_000
+    sync = s.range(8).select(
+        F.lit("s0").alias("sid"), (base + F.col("id") * F.col("id") / 64).cast("double").alias("time"), F.lit("sync_abs").alias("event"),
+        F.concat(F.lit("host"), (F.col("id") % 4).cast("string"), F.lit(f":10.0.0.1:{base}:{base}:{base}")).alias("comp"),
+        F.lit("MainThread").alias("thread"), F.lit("").alias("uid"), F.lit("").alias("state"),
+        F.concat(F.lit("host"), (F.col("id") % 4).cast("string"), F.lit(f":10.0.0.1:{base}:{base}:{base}")).alias("msg"),
+        F.col("id").alias("k"))
+    path = fresh_path(s, "hosts")
+    both = sync.select(*named.columns).unionByName(named).withColumn("first", (F.col("event") != "sync_abs").cast("int"))
+    ordered = both.repartition(8, "k").sortWithinPartitions("k", "first").drop("first")
+    t.write_trace_text(ordered, path, by="k")
+    return path
+
+
+_CLOCKS = f"""WITH {_RAW}, err AS (SELECT k, concat('host', CAST(k % 4 AS VARCHAR(20)), ':10.0.0.1') AS host, k * k / 64 AS error FROM range(8) t(k)),
+med AS (SELECT host, quantile_disc(error, 0.5) AS typical FROM err GROUP BY host),
+off AS (SELECT k, host, error - typical AS shift FROM err JOIN med USING (host))"""
+add("C7_trace_accuracy", lambda s, p: c.session_trace(s, hosted(s, p), "*.txt")[1],
+    f"{_CLOCKS} SELECT host, count(*) AS files, max(abs(shift)) AS accuracy FROM off GROUP BY host")
+add("C7_trace_hosts", lambda s, p: c.session_trace(s, hosted(s, p), "*.txt")[2].select("uid", "host"),
+    f"""{_CLOCKS} SELECT DISTINCT uid, concat('node', CAST(CAST(right(uid, 6) AS BIGINT) % 8 AS VARCHAR(20))) AS host
+FROM raw WHERE event = 'exec_start'""")
+add("C7_trace_on_one_clock",
+    lambda s, p: c.session_trace(s, hosted(s, p), "*.txt")[0].filter("event = 'schedule_ok'")
+    .groupBy("uid").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("time"), 6).alias("first")),
+    f"""{_CLOCKS} SELECT uid, count(*) AS n, round(min(time - shift), 6) AS first FROM raw
+JOIN off ON off.k = CAST(right(uid, 6) AS BIGINT) % 8 WHERE event = 'schedule_ok' GROUP BY uid""")
+
 add("J9_having_event",
     lambda s, p: c.having_event(view(s, p, "trace_v").select("uid").distinct(), view(s, p, "trace_v"), "schedule_ok"),
     "SELECT DISTINCT uid FROM trace_v WHERE event = 'schedule_ok'")

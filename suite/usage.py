@@ -132,13 +132,84 @@ box AS (SELECT {BOX} FROM pbox UNION ALL SELECT {BOX} FROM tbox
 add("W6_consumed", lambda s, p: u.consumed(*parts(s, p)), with_(*CONSUMED) + f"SELECT {BOX} FROM box")
 
 add("W6_overlaps",
-    lambda s, p: u.overlaps(u.task_boxes(*parts(s, p))).select("pid", "r", "uid", "metric", "t0", "t1", "before"),
+    lambda s, p: u.overlaps(u.task_boxes(*parts(s, p))).select(
+        "pid", F.explode(F.sequence("r0", "r1")).alias("r"), "uid", "metric", "t0", "t1", "before"),
     with_(NODES["cpu"], indexed("cpu"), TASKS) + """, one AS (
   SELECT pid, unnest(range(r0, r1 + 1)) AS r, uid, metric, t0, t1 FROM tbox WHERE t1 > t0),
 o AS (SELECT *, max(t1) OVER (PARTITION BY pid, r ORDER BY t0, t1, metric, uid
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM one)
 SELECT pid, r, uid, metric, t0, t1, before FROM o WHERE t0 < before""")
 
+# over everything consumed: maximal ranges on which a box starts before an earlier one has ended
+OVERLAPS = """one AS (
+  SELECT pid, unnest(range(r0, r1 + 1)) AS r, uid, metric, t0, t1 FROM box WHERE t1 > t0),
+o AS (SELECT *, max(t1) OVER (PARTITION BY pid, r ORDER BY t0, t1, metric, uid
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM one)"""
+_OVER = "pid, metric, uid, t0, t1, before"
+add("W6_overlaps_consumed",
+    lambda s, p: u.overlaps(u.consumed(*parts(s, p))).select(*_OVER.split(", "), "r0", "r1"),
+    with_(*CONSUMED, OVERLAPS) + islands("(SELECT * FROM o WHERE t0 < before)", _OVER, "r"))
+
+
+# whose time it is, written down by hand for the other engine
+ORDER = ["exec_queue", "exec_prep", "exec_rp", "exec_sh", "exec_cmd", "term_sh", "term_rp", "unschedule",
+         "agent", "sub_agent", "boot", "setup_1", "term", "warm", "drain", "idle"]
+
+
+def attributed(boxes):
+    """CTEs that sweep the boxes of a table resource by resource: `used` time per pilot and metric."""
+    n = len(ORDER)
+    place = "CASE metric " + " ".join(f"WHEN '{m}' THEN {i}" for i, m in enumerate(ORDER)) + f" ELSE {n} END"
+    sums = ", ".join(f"sum(d) FILTER (place = {i}) AS m{i}" for i in range(-1, n + 1)).replace("m-1", "given")
+    levels = ", ".join(f"coalesce(sum({m}) OVER w, 0) AS {m}" for m in ["given", *[f"m{i}" for i in range(n + 1)]])
+    first = "CASE " + " ".join(f"WHEN m{i} > 0 THEN '{m}'" for i, m in enumerate([*ORDER, "other"])) + " ELSE 'unused' END"
+    return f"""lain AS (SELECT pid, unnest(range(r0, r1 + 1)) AS r, t0, t1, {place} AS place FROM {boxes} WHERE t1 > t0
+  UNION ALL SELECT pid, unnest(range(r0, r1 + 1)), t0, t1, -1 FROM nr JOIN life USING (pid) WHERE t1 > t0),
+moved AS (SELECT pid, r, t0 AS time, place, 1 AS d FROM lain UNION ALL SELECT pid, r, t1, place, -1 FROM lain),
+summed AS (SELECT pid, r, time, {sums} FROM moved GROUP BY pid, r, time),
+level AS (SELECT pid, r, time, lead(time) OVER w - time AS dt, {levels} FROM summed WINDOW w AS (PARTITION BY pid, r ORDER BY time)),
+spent AS (SELECT pid, {first} AS metric, sum(dt) AS used FROM level WHERE given > 0 AND dt IS NOT NULL GROUP BY 1, 2),
+gave AS (SELECT pid, sum(used) AS given FROM spent GROUP BY pid)"""
+
+
+add("A9_attribution",
+    lambda s, p: u.attribution(u.consumed(*parts(s, p)), u.provided(*no_slots(s, p)))
+    .select("pid", "metric", "used", "given", F.round("share", 8).alias("share")),
+    with_(*CONSUMED, PROVIDED, attributed("box"))
+    + "SELECT pid, metric, used, given, round(used / given, 8) AS share FROM spent JOIN gave USING (pid)")
+
+
+def _checked(boxes, total):
+    return u.share_check(u.attribution(boxes, total)).select("pid", F.round("total", 6).alias("total"), "whole")
+
+
+_WHOLE = """SELECT pid, round(coalesce(sum(used) FILTER (metric <> 'unused'), 0) / any_value(given), 6) AS total,
+  abs(coalesce(sum(used) FILTER (metric <> 'unused'), 0) / any_value(given) - 1) <= 1e-6 AS whole
+FROM spent JOIN gave USING (pid) GROUP BY pid"""
+add("A9_share_consumed", lambda s, p: _checked(u.consumed(*parts(s, p)), u.provided(*no_slots(s, p))),
+    with_(*CONSUMED, PROVIDED, attributed("box")) + _WHOLE)
+
+
+def filled(s, p):
+    """Pilots whose resources are in use from their first to their last task; every other
+    pilot lacks what comes after."""
+    pilots_, nodes, slots, events = parts(s, p)
+    at = lambda name: F.when(F.col("event") == name, F.col("time"))
+    life = events.groupBy("uid").agg(F.min(at("schedule_ok")).alias("t0"), F.max(at("unschedule_stop")).alias("t1"))
+    busy = (u.resource_index(slots, pilots_, nodes, "cpu").join(nodes.filter("not agent"), ["pid", "node_index"])
+            .join(life.filter("t0 is not null and t1 is not null"), "uid")
+            .groupBy("pid", "idx").agg(F.min("t0").alias("t0"), F.max("t1").alias("t1"))
+            .select(F.lit("cpu").alias("rtype"), F.lit("exec_cmd").alias("metric"), F.col("pid").alias("uid"), "pid",
+                    "t0", "t1", F.col("idx").alias("r0"), F.col("idx").alias("r1")))
+    rest = u.warm_drain_idle(*parts(s, p)).filter("metric <> 'drain' or CAST(right(pid, 4) AS INT) % 2 = 0")
+    return u.pilot_boxes(*no_slots(s, p)).filter("metric = 'agent'").unionByName(rest).unionByName(busy)
+
+
+add("A9_share_filled", lambda s, p: _checked(filled(s, p), u.provided(*no_slots(s, p))),
+    with_(NODES["cpu"], indexed("cpu"), PILOT, WARM, PROVIDED, f"""fbox AS (SELECT metric, pid, t0, t1, r0, r1 FROM pbox WHERE metric = 'agent'
+  UNION ALL SELECT metric, pid, t0, t1, r0, r1 FROM wbox WHERE metric <> 'drain' OR CAST(right(pid, 4) AS INT) % 2 = 0
+  UNION ALL SELECT 'exec_cmd', pid, t_min, t_max, idx, idx FROM bound WHERE t_min IS NOT NULL)""", attributed("fbox")) + _WHOLE)
+
 add("A9_core_time",
     lambda s, p: u.core_time(u.consumed(*parts(s, p)), u.provided(*no_slots(s, p)))
     .select("pid", "metric", "used", "given", F.round("share", 8).alias("share")),
@@ -239,6 +310,44 @@ r AS (SELECT *, CASE WHEN node_index = 6 AND pid > 'pilot.0020' THEN 'unknown'
 SELECT pid, node_index, 'core' AS kind, idx, time, level, reason FROM r
 WHERE reason = 'over' OR (reason IS NOT NULL AND change > 0)""")
 
+
+
+# all kinds of resources: cores, gpus, and file space and memory of a node
+def all_uses(s, p):
+    rows = view(s, p, "slots_v").join(view(s, p, "tasks_v").select("uid", "pilot", "priority", "gpus_per_rank", "ranks"), "uid")
+    kind = lambda name, idx, amount: F.struct(F.lit(name).alias("kind"), idx.cast("int").alias("idx"), amount.cast("double").alias("amount"))
+    parts_ = F.array(kind("core", F.col("core"), F.when(F.col("priority") < 3, 1.0).otherwise(0.5)),
+                     kind("gpu", F.col("core") % 2, F.col("gpus_per_rank") / 2),
+                     kind("lfs", F.lit(0), F.col("ranks") * 100), kind("mem", F.lit(0), F.col("priority") * 16))
+    return rows.select(F.col("pilot").alias("pid"), "node_index", F.explode(parts_).alias("u"), "t0", "t1") \
+        .select("pid", "node_index", "u.*", "t0", "t1").filter("amount > 0")
+
+
+def all_capacity(s, p):
+    nodes = view(s, p, "nodes_v").select("pid", "node_index")
+    gpu = nodes.select("*", F.lit("gpu").alias("kind"), F.explode(F.sequence(F.lit(0), F.lit(1))).alias("idx")) \
+        .withColumn("capacity", F.when((F.col("idx") != 1) | (F.col("node_index") != 2), 1.0))
+    pool = lambda name, size: nodes.select("*", F.lit(name).alias("kind"), F.lit(0).alias("idx"), size.alias("capacity"))
+    return capacity(s, p).unionByName(gpu).unionByName(pool("lfs", F.lit(500.0))).unionByName(
+        pool("mem", F.when(F.col("node_index") == 4, 32.0).otherwise(64.0)).filter("NOT (node_index = 5 AND pid < 'pilot.0003')"))
+
+
+_KINDS = """SELECT pilot AS pid, node_index, 'core' AS kind, core AS idx, CASE WHEN priority < 3 THEN 1.0 ELSE 0.5 END::DOUBLE AS amount, t0, t1 FROM j
+  UNION ALL SELECT pilot, node_index, 'gpu', core % 2, gpus_per_rank / 2, t0, t1 FROM j WHERE gpus_per_rank > 0
+  UNION ALL SELECT pilot, node_index, 'lfs', 0, ranks * 100, t0, t1 FROM j
+  UNION ALL SELECT pilot, node_index, 'mem', 0, priority * 16, t0, t1 FROM j"""
+add("W10_all_resources", lambda s, p: u.occupancy_audit(all_uses(s, p), all_capacity(s, p)),
+    f"""WITH j AS (SELECT * FROM slots_v JOIN (SELECT uid, pilot, priority, gpus_per_rank, ranks FROM tasks_v) USING (uid)),
+uses AS ({_KINDS}),
+c AS (SELECT pid, node_index, kind, idx, time, sum(d) AS change FROM (SELECT pid, node_index, kind, idx, t0 AS time, amount AS d FROM uses
+  UNION ALL SELECT pid, node_index, kind, idx, t1, -amount FROM uses) GROUP BY ALL),
+l AS (SELECT *, sum(change) OVER (PARTITION BY pid, node_index, kind, idx ORDER BY time) AS level FROM c),
+r AS (SELECT *, CASE WHEN kind = 'core' AND node_index = 6 AND pid > 'pilot.0020' OR kind = 'mem' AND node_index = 5 AND pid < 'pilot.0003'
+    THEN 'unknown' WHEN kind = 'core' AND idx = 5 AND node_index = 3 OR kind = 'gpu' AND idx = 1 AND node_index = 2 THEN 'down'
+  WHEN level > CASE kind WHEN 'lfs' THEN 500 WHEN 'mem' THEN CASE WHEN node_index = 4 THEN 32 ELSE 64 END ELSE 1 END THEN 'over' END AS reason
+  FROM l)
+SELECT pid, node_index, kind, idx, time, level, reason FROM r WHERE reason = 'over' OR (reason IS NOT NULL AND change > 0)""")
+
 add("J10_ranges_by_durations",
     lambda s, p: u.task_boxes(*parts(s, p), "gpu", {"run": (E("exec_start"), E("exec_stop"))})
     .groupBy("pid", "metric").agg(F.count(F.lit(1)).alias("boxes"), F.sum(F.expr("r1 - r0 + 1")).alias("units")),
@@ -284,6 +393,13 @@ add("W1_provided_sessions", lambda s, p: u.provided(*two_without_slots(s, p)),
     in_two_sql(ORACLES["W1_provided_cpu"], _BOX, ("t0", "t1")))
 add("W6_consumed_sessions", lambda s, p: u.consumed(*two_parts(s, p)),
     in_two_sql(ORACLES["W6_consumed"], _BOX, ("t0", "t1")))
+add("W6_overlaps_sessions",
+    lambda s, p: u.overlaps(u.consumed(*two_parts(s, p))).select("sid", *_OVER.split(", "), "r0", "r1"),
+    in_two_sql(ORACLES["W6_overlaps_consumed"], [*_OVER.split(", "), "r0", "r1"], ("t0", "t1", "before")))
+add("A9_attribution_sessions",
+    lambda s, p: u.attribution(u.consumed(*two_parts(s, p)), u.provided(*two_without_slots(s, p)))
+    .select("sid", "pid", "metric", F.round("share", 5).alias("share")),
+    in_two_sql(ORACLES["A9_attribution"], ["pid", "metric", "round(share, 5) AS share"], ()))
 add("A9_core_time_sessions",
     lambda s, p: u.core_time(u.consumed(*two_parts(s, p)), u.provided(*two_without_slots(s, p)))
     .select("sid", "pid", "metric", F.round("share", 5).alias("share")),

@@ -2,11 +2,13 @@
 
 from pyspark.sql import functions as F
 
+from suite import usage
 from suite.views import sql, table, view
 from taskscope import schema
 from taskscope.functions import slots as sl
 from taskscope.functions import text as tx
 from taskscope.operators import assign, audit, staging, stats
+from taskscope.operators import usage as u
 from taskscope.operators import workload as w
 from taskscope.operators.durations import session_timing
 from taskscope.session import fresh_path
@@ -264,7 +266,7 @@ add("A17_bulk_groups",
 def sandboxes(s, p):
     t = view(s, p, "tasks_v").withColumns({
         "client_sandbox": F.lit("file:///home"), "task_sandbox": F.concat(F.lit("file:///s/"), "pilot", F.lit("/"), "uid")})
-    q = view(s, p, "pilots_v").filter("pos < 20").withColumns({
+    q = view(s, p, "pilots_v").withColumns({
         "endpoint_fs": F.concat(F.lit("sftp://"), F.lower(F.replace("resource", F.lit(" "), F.lit("-")))),
         "resource_sandbox": F.lit("file:///r"), "session_sandbox": F.lit("file:///r/s0"),
         "pilot_sandbox": F.concat(F.lit("file:///r/s0/"), "uid")})
@@ -277,14 +279,14 @@ add("J11_sandbox_context",
     """SELECT t.uid, 'file:///home' AS client, concat('file:///s/', t.pilot, '/', t.uid) AS task,
   concat('file:///r/s0/', p.uid) AS pilot, 'file:///r/s0' AS session,
   concat('sftp://', lower(replace(p.resource, ' ', '-'))) AS endpoint
-FROM tasks_v t JOIN pilots_v p ON p.uid = t.pilot WHERE p.pos < 20""")
+FROM tasks_v t JOIN pilots_v p ON p.uid = t.pilot""")
 add("J11_complete_directives",
     lambda s, p: staging.complete_directives(
         staging.sandbox_context(*sandboxes(s, p)).withColumns({
             "source": F.concat(F.lit("client:///in/"), "uid"), "target": F.lit("pilot:///shared.dat")}),
         F.col("context"), F.col("context")).select("uid", "source", "target", "error"),
     """SELECT t.uid, concat('file:///home/in/', t.uid) AS source, concat('file:///r/s0/', t.pilot, '/shared.dat') AS target,
-  CAST(NULL AS VARCHAR) AS error FROM tasks_v t JOIN pilots_v p ON p.uid = t.pilot WHERE p.pos < 20""")
+  CAST(NULL AS VARCHAR) AS error FROM tasks_v t JOIN pilots_v p ON p.uid = t.pilot""")
 
 # ---- assignment ------------------------------------------------------------
 PILOT_NAMES = [f"pilot.{i:04d}" for i in range(7)]
@@ -478,6 +480,25 @@ add("A8_utilisation", lambda s, p: stats.utilisation(summary(s, p)).select(
     "pilot", F.round("utilisation_ref", 6).alias("utilisation_ref")),
     f"""WITH {_SUMMARY} SELECT pilot, round(busy * 100 / CASE WHEN started IS NULL OR finished IS NULL THEN 1
   ELSE (finished - started) * cores END, 6) AS utilisation_ref FROM s""")
+
+
+def shared_use(s, p):
+    """The core-weighted utilisation of pilots of two sessions with the same ids, from what was consumed."""
+    two = lambda df, *times: usage.in_two(df, *times)
+    shares = u.core_time(u.consumed(*usage.two_parts(s, p)), u.provided(*usage.two_without_slots(s, p)))
+    shares = shares.filter("metric = 'exec_cmd' or sid = 's1' and metric = 'exec_prep'")
+    return stats.utilisation(two(summary(s, p)), shares).select(
+        "sid", "pilot", F.round("utilisation_ref", 6).alias("utilisation_ref"), F.round("utilisation", 6).alias("utilisation"))
+
+
+add("A8_utilisation_sessions", shared_use,
+    usage.with_(*usage.CONSUMED, usage.PROVIDED, _SUMMARY) + """, g AS (SELECT pid, sum((t1 - t0) * (r1 - r0 + 1)) AS given
+  FROM nr JOIN life USING (pid) GROUP BY pid),
+x AS (SELECT sid, pid, sum((t1 - t0) * (r1 - r0 + 1)) AS used FROM box, (VALUES ('s0'), ('s1')) AS ss(sid)
+  WHERE metric = 'exec_cmd' OR (sid = 's1' AND metric = 'exec_prep') GROUP BY 1, 2)
+SELECT ss.sid, pilot, round(busy * 100 / CASE WHEN started IS NULL OR finished IS NULL THEN 1
+  ELSE (finished - started) * cores END, 6) AS utilisation_ref, round(used / given * 100, 6) AS utilisation
+FROM s CROSS JOIN (VALUES ('s0'), ('s1')) AS ss(sid) LEFT JOIN x ON x.sid = ss.sid AND x.pid = s.pilot LEFT JOIN g ON g.pid = s.pilot""")
 add("A11_mode_progress",
     lambda s, p: stats.mode_progress(
         view(s, p, "descriptions_v").filter("mode is not null AND mode <> 'task.shell'").select("mode"),

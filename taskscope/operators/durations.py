@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,18 +47,32 @@ def durations(events: DataFrame, spec="task", keep_missing: bool = False,
     """
     expanded = specs.expand_spec(spec)
     keys = by or session_keys(events, "uid")
-    starts = {side[0] for side in expanded.values()}
-    stops = {side[1] for side in expanded.values()}
-    first = {m: f"_f{i}" for i, m in enumerate(sorted(starts, key=repr))}
-    last = {m: f"_l{i}" for i, m in enumerate(sorted(stops, key=repr))}
     if not keep_missing:
         events = events.filter(F.col("event").isin(specs.spec_events(spec)))
+    return of_spec(wide_times(events, keys, [expanded]), keys, expanded, keep_missing)
+
+
+def _first(boundary) -> str:
+    """Column of a boundary's first time."""
+    return "first_" + hashlib.md5(repr(boundary).encode()).hexdigest()
+
+
+def _last(boundary) -> str:
+    return "last_" + hashlib.md5(repr(boundary).encode()).hexdigest()
+
+
+def wide_times(events: DataFrame, keys: list[str], specs_: list[dict], *more: Column) -> DataFrame:
+    """One row per key with the first time of each start and the last one of each stop of expanded specs."""
+    sides = lambda i: sorted({side[i] for spec in specs_ for side in spec.values()}, key=repr)
     at = lambda m: F.when(specs.matches(m), F.col("time"))
-    wide = events.groupBy(*keys).agg(
-        *[F.min(at(m)).alias(n) for m, n in first.items()],
-        *[F.max(at(m)).alias(n) for m, n in last.items()])
+    return events.groupBy(*keys).agg(*[F.min(at(m)).alias(_first(m)) for m in sides(0)],
+                                     *[F.max(at(m)).alias(_last(m)) for m in sides(1)], *more)
+
+
+def of_spec(wide: DataFrame, keys: list[str], expanded: dict, keep_missing: bool = False) -> DataFrame:
+    """(keys, metric, t0, t1, dur) of an expanded spec, from `wide_times`."""
     rows = F.array(*[
-        F.struct(F.lit(metric).alias("metric"), F.col(first[a]).alias("t0"), F.col(last[b]).alias("t1"))
+        F.struct(F.lit(metric).alias("metric"), F.col(_first(a)).alias("t0"), F.col(_last(b)).alias("t1"))
         for metric, (a, b) in expanded.items()])
     if not keep_missing:
         rows = F.filter(rows, lambda r: r.t0.isNotNull() & r.t1.isNotNull())

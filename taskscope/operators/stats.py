@@ -52,8 +52,9 @@ def utilisation(summary: DataFrame, shares: DataFrame | None = None) -> DataFram
     out = summary.withColumn("utilisation_ref", F.col("busy") * 100 / F.nullif(runtime, F.lit(0.0)))
     if shares is None:
         return out
-    used = shares.groupBy(F.col("pid").alias("pilot")).agg((F.sum("share") * 100).alias("utilisation"))
-    return out.join(used, "pilot", "left")
+    keys = [k for k in session_keys(shares) if k in summary.columns]  # pids are unique within a session
+    used = shares.groupBy(*keys, F.col("pid").alias("pilot")).agg((F.sum("share") * 100).alias("utilisation"))
+    return out.join(used, [*keys, "pilot"], "left")
 
 
 def mode_progress(requests: DataFrame, results: DataFrame) -> DataFrame:

@@ -14,11 +14,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from taskscope.operators.durations import durations
+from taskscope.operators import strips as st
+from taskscope.operators.durations import durations, of_spec, wide_times
 from taskscope.operators.ordered import running
-from taskscope.plans.presets import PILOT_AGENT, PILOT_CONSUME, PILOT_PROVIDE
+from taskscope.plans.presets import PILOT_AGENT, PILOT_CONSUME, PILOT_PROVIDE, TASK
 from taskscope.plans.spec import expand_match, expand_spec, matches
-from taskscope.session import cut, staged
+from taskscope.session import staged
 
 BOX = ["rtype", "metric", "uid", "pid", "t0", "t1", "r0", "r1"]
 PER_NODE = {"cpu": "cores_per_node", "gpu": "gpus_per_node"}
@@ -101,6 +102,31 @@ def _of_pilots(events: DataFrame) -> DataFrame:
     return events.filter(F.col("uid").startswith("pilot."))
 
 
+def _own_spec() -> dict:
+    """Phases of a pilot that use resources; the phase of the sub-agents is `sub_agent`."""
+    return {"agent": PILOT_AGENT["total"],
+            **{("sub_agent" if m == "agent" else m): b for m, b in PILOT_CONSUME.items() if m != "idle"}}
+
+
+def usage_times(events: DataFrame, keys: list[str], spec="task") -> DataFrame:
+    """One row per entity with all times that boxes need, from one aggregation of the events.
+
+    Events that no box needs are left out, but for those of pilots, whose first
+    and last event count.
+    """
+    own, named = expand_spec(_own_spec()), expand_spec(spec)
+    marks = [m for s in (own, named) for sides in s.values() for side in sides for m in side]
+    needed = sorted({m.event for m in marks} | {"schedule_ok", "unschedule_stop", "bootstrap_0_start", "bootstrap_0_stop"})
+    wanted = events.filter(F.col("event").isin(needed) | F.col("uid").startswith("pilot."))
+    at = lambda c: F.when(c, F.col("time"))
+    event = lambda name: at(F.col("event") == name)
+    active = (F.col("event") == "state") & (F.col("state") == "PMGR_ACTIVE")
+    return wide_times(wanted, keys, [own, named], F.min("time").alias("e0"), F.max("time").alias("e1"),
+                      F.min(event("bootstrap_0_start")).alias("p_start"), F.max(event("bootstrap_0_stop")).alias("p_last"),
+                      F.min(event("bootstrap_0_stop")).alias("p_stop"), F.min(at(active)).alias("p_active"),
+                      F.min(event("schedule_ok")).alias("u0"), F.max(event("unschedule_stop")).alias("u1"))
+
+
 def provided(pilots: DataFrame, nodes: DataFrame, events: DataFrame, rtype: str = "cpu") -> DataFrame:
     """One box per node over the pilot's life; without both marks, from its
     first to its last event."""
@@ -123,35 +149,33 @@ def pilot_boxes(pilots: DataFrame, nodes: DataFrame, events: DataFrame, rtype: s
     The phase of the sub-agents is named `sub_agent`; idle time is found in
     `warm_drain_idle`.
     """
-    own = _of_pilots(events)
-    spec = {"agent": PILOT_AGENT["total"]}
-    spec.update({("sub_agent" if m == "agent" else m): b
-                 for m, b in PILOT_CONSUME.items() if m != "idle"})
     sid = _sessions(pilots, nodes, events)
-    dur = durations(own, spec, by=[*sid, "uid"]).withColumnRenamed("uid", "pid")
-    where = node_ranges(pilots, nodes, rtype)
+    dur = durations(_of_pilots(events), _own_spec(), by=[*sid, "uid"])
+    return _pilot_boxes(node_ranges(pilots, nodes, rtype), dur, sid, rtype)
+
+
+def _pilot_boxes(where: DataFrame, dur: DataFrame, sid: list[str], rtype: str) -> DataFrame:
     fits = (F.col("metric") == "agent") == F.col("agent")
-    return _boxes(where.join(dur, [*sid, "pid"]).filter(fits), rtype, F.col("metric"))
+    return _boxes(where.join(dur.withColumnRenamed("uid", "pid"), [*sid, "pid"]).filter(fits), rtype, F.col("metric"))
+
+
+def task_ranges(pilots: DataFrame, nodes: DataFrame, slots: DataFrame, rtype: str = "cpu") -> DataFrame:
+    """([sid], uid, pid, r0, r1): the resource ranges each task was placed on."""
+    sid = _sessions(pilots, nodes, slots)
+    return cluster_ranges(resource_index(slots, pilots, nodes, rtype), [*sid, "uid", "pid"])
 
 
 def task_boxes(pilots: DataFrame, nodes: DataFrame, slots: DataFrame, events: DataFrame,
                rtype: str = "cpu", spec="task") -> DataFrame:
     """The phases of each task on the resource ranges it was placed on."""
     sid = _sessions(pilots, nodes, slots, events)
-    used = resource_index(slots, pilots, nodes, rtype)
-    ranges = cluster_ranges(used, [*sid, "uid", "pid"])
-    dur = durations(events, spec, by=[*sid, "uid"]).select(*sid, "uid", "metric", "t0", "t1")
-    return _boxes(ranges.join(dur, [*sid, "uid"]), rtype, F.col("metric"), "uid")
+    dur = durations(events, spec, by=[*sid, "uid"])
+    return _task_boxes(task_ranges(pilots, nodes, slots, rtype), dur, sid, rtype)
 
 
-def pilot_life(events: DataFrame, keys=()) -> DataFrame:
-    """(keys, pid, p_min, p_max): first start, else first PMGR_ACTIVE; first stop,
-    else the last event."""
-    at = lambda c: F.min(F.when(c, F.col("time")))
-    active = (F.col("event") == "state") & (F.col("state") == "PMGR_ACTIVE")
-    return _of_pilots(events).groupBy(*keys, F.col("uid").alias("pid")).agg(
-        F.coalesce(at(F.col("event") == "bootstrap_0_start"), at(active)).alias("p_min"),
-        F.coalesce(at(F.col("event") == "bootstrap_0_stop"), F.max("time")).alias("p_max"))
+def _task_boxes(ranges: DataFrame, dur: DataFrame, sid: list[str], rtype: str) -> DataFrame:
+    named = ranges.join(dur.select(*sid, "uid", "metric", "t0", "t1"), [*sid, "uid"])
+    return _boxes(named, rtype, F.col("metric"), "uid")
 
 
 def warm_drain_idle(pilots: DataFrame, nodes: DataFrame, slots: DataFrame, events: DataFrame,
@@ -160,29 +184,38 @@ def warm_drain_idle(pilots: DataFrame, nodes: DataFrame, slots: DataFrame, event
     one gave it back, `idle` when none ever did.
 
     Use is from `schedule_ok` to `unschedule_stop`.  Neighbouring resources
-    with the same bound share a box.
+    with the same bound share a box.  Ranges of use are laid over the ranges of
+    the nodes, strip by strip: no row stands for a single resource.
     """
     sid = _sessions(pilots, nodes, slots, events)
-    marks = events.filter(F.col("event").isin("schedule_ok", "unschedule_stop"))
-    at = lambda name: F.when(F.col("event") == name, F.col("time"))
-    used_at = marks.groupBy(*sid, "uid").agg(
-        F.min(at("schedule_ok")).alias("u0"), F.max(at("unschedule_stop")).alias("u1")) \
-        .filter("u0 is not null and u1 is not null")
-    use = (resource_index(slots, pilots, nodes, rtype).join(used_at, [*sid, "uid"])
-           .groupBy(*sid, "pid", "idx").agg(F.min("u0").alias("t_min"), F.max("u1").alias("t_max")))
-    every = expand_ranges(node_ranges(pilots, nodes, rtype).filter("not agent"), [*sid, "pid"])
-    # one row per resource, read three times below
-    bounds = cut(every.join(use, [*sid, "pid", "idx"], "left"))
+    times = staged(usage_times(events, [*sid, "uid"], {}), "usage-times")
+    return _warm_drain_idle(node_ranges(pilots, nodes, rtype), task_ranges(pilots, nodes, slots, rtype), times, sid, rtype)
+
+
+def _warm_drain_idle(where: DataFrame, ranges: DataFrame, times: DataFrame, sid: list[str], rtype: str) -> DataFrame:
+    keys = [*sid, "pid"]
+    use = ranges.join(times.filter("u0 is not null and u1 is not null").select(*sid, "uid", "u0", "u1"), [*sid, "uid"])
+    both = staged(where.filter("not agent").select(*keys, "r0", "r1", F.lit(True).alias("own"),
+                                                   *[F.lit(None).cast("double").alias(c) for c in ("u0", "u1")])
+                  .unionByName(use.select(*keys, "r0", "r1", F.lit(False).alias("own"), "u0", "u1")), "usage-ranges")
+    strips = staged(st.strips_of(both, keys), "strips")
+    bounds = (st.cut_boxes(both, strips, keys).groupBy(*keys, "strip")
+              .agg(F.max("own").alias("own"), F.min("u0").alias("t_min"), F.max("u1").alias("t_max"))
+              .filter("own").join(strips, [*keys, "strip"]))
+    bounds = staged(bounds.select(*keys, "t_min", "t_max", "r0", "r1"), "usage-bounds")
     taken = bounds.filter("t_min is not null")
 
     def part(metric, rows, bound):
-        keys = [*sid, "pid"] + ([bound] if bound else [])
         at = F.col(bound) if bound else F.lit(None).cast("double")
-        return cluster_ranges(rows, keys).select(*sid, "pid", F.lit(metric).alias("metric"), at.alias("at"), "r0", "r1")
+        return st.merge_ranges(rows, [*keys, *([bound] if bound else [])]).select(
+            *keys, F.lit(metric).alias("metric"), at.alias("at"), "r0", "r1")
 
     parts = (part("warm", taken, "t_min").unionByName(part("drain", taken, "t_max"))
              .unionByName(part("idle", bounds.filter("t_min is null"), None)))
-    timed = parts.join(pilot_life(events, sid), [*sid, "pid"]).withColumns({
+    life = times.filter(F.col("uid").startswith("pilot.")).select(
+        *sid, F.col("uid").alias("pid"), F.coalesce("p_start", "p_active").alias("p_min"),
+        F.coalesce("p_stop", "e1").alias("p_max"))
+    timed = parts.join(life, keys).withColumns({
         "t0": F.when(F.col("metric") == "drain", F.col("at")).otherwise(F.col("p_min")),
         "t1": F.when(F.col("metric") == "warm", F.col("at")).otherwise(F.col("p_max"))})
     return _boxes(timed, rtype, F.col("metric"))
@@ -190,27 +223,40 @@ def warm_drain_idle(pilots: DataFrame, nodes: DataFrame, slots: DataFrame, event
 
 def consumed(pilots: DataFrame, nodes: DataFrame, slots: DataFrame, events: DataFrame,
              rtype: str = "cpu", spec="task") -> DataFrame:
-    """Everything that used resources: pilot phases, tasks, warm, drain, idle."""
+    """Everything that used resources: pilot phases, tasks, warm, drain, idle.
+
+    The events are aggregated once and the slots clustered once, for all of them.
+    """
     if rtype not in PER_NODE:
         raise ValueError(f"unknown resource type: {rtype}")
-    return (pilot_boxes(pilots, nodes, events, rtype)
-            .unionByName(task_boxes(pilots, nodes, slots, events, rtype, spec))
-            .unionByName(warm_drain_idle(pilots, nodes, slots, events, rtype)))
+    sid = _sessions(pilots, nodes, slots, events)
+    keys = [*sid, "uid"]
+    times = staged(usage_times(events, keys, spec), "usage-times")
+    ranges = staged(task_ranges(pilots, nodes, slots, rtype), "usage-task-ranges")
+    where = node_ranges(pilots, nodes, rtype)
+    return (_pilot_boxes(where, of_spec(_of_pilots(times), keys, expand_spec(_own_spec())), sid, rtype)
+            .unionByName(_task_boxes(ranges, of_spec(times, keys, expand_spec(spec)), sid, rtype))
+            .unionByName(_warm_drain_idle(where, ranges, times, sid, rtype)))
+
+
+def _box_keys(*boxes: DataFrame) -> list[str]:
+    return [*_sessions(*boxes), "rtype", "pid"]
 
 
 def overlaps(boxes: DataFrame) -> DataFrame:
-    """Boxes that begin on a resource before an earlier box there has ended.
+    """([sid], rtype, pid, r0, r1, metric, uid, t0, t1, before): boxes that begin on
+    resources r0..r1 before an earlier box there has ended, at `before`."""
+    return st.overlaps(boxes, _box_keys(boxes))
+
+
+#: whose time it is where boxes overlap: tasks, then the pilot's own phases, then what is left
+PRECEDENCE = [*TASK, "agent", "sub_agent", "boot", "setup_1", "term", "warm", "drain", "idle"]
 
-    One row per resource and box; `before` is the latest end of earlier boxes.
-    """
-    where = [*_sessions(boxes), "rtype", "pid", "r"]
-    rows = (boxes.filter(F.col("t1") > F.col("t0"))
-            .withColumn("r", F.explode(F.sequence("r0", "r1")))
-            .select(*where, "t0", "t1", "metric", "uid"))
-    # boxes with the same start follow each other by end, metric and uid
-    prior = running(staged(rows, "boxes"), where, ["t0", "t1", "metric", "uid"],
-                    past_maxs={"before": F.col("t1")})
-    return prior.filter(F.col("t0") < F.col("before"))
+
+def attribution(boxes: DataFrame, total: DataFrame, order: list[str] = PRECEDENCE) -> DataFrame:
+    """([sid], rtype, pid, metric, used, given, share): what was provided, each instant of
+    each resource under one metric, `unused` where no box covers it; shares add up to one."""
+    return st.attribution(boxes, total, order, _box_keys(boxes, total))
 
 
 def core_time(boxes: DataFrame, total: DataFrame) -> DataFrame:
@@ -224,8 +270,12 @@ def core_time(boxes: DataFrame, total: DataFrame) -> DataFrame:
 
 
 def share_check(shares: DataFrame, tolerance: float = 1e-6) -> DataFrame:
-    """Per pilot the sum of shares, and whether it is one."""
-    return shares.groupBy(*_sessions(shares), "rtype", "pid").agg(F.sum("share").alias("total")) \
+    """Per pilot the sum of shares but `unused`, and whether it is one.
+
+    Of `attribution`: whether everything consumed covers what was provided.
+    """
+    counts = F.when(F.col("metric") != st.UNUSED, F.col("share")).otherwise(0.0)
+    return shares.groupBy(*_sessions(shares), "rtype", "pid").agg(F.sum(counts).alias("total")) \
         .withColumn("whole", F.abs(F.col("total") - 1) <= tolerance)
 
 

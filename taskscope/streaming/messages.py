@@ -34,22 +34,22 @@ def read_updates(messages: DataFrame, item: T.StructType = UPDATE) -> DataFrame:
     return messages.filter(kind == "update").select(F.explode(many).alias("u")).select("u.*")
 
 
-def first_per_batch(df: DataFrame, keys: list[str], order: str, last: bool = False) -> DataFrame:
+def first_per_batch(df: DataFrame, keys: list[str], order: str, last: bool = False, latest: list[str] = []) -> DataFrame:
     """Combine map-side: per Arrow batch and key only the smallest `order` goes
-    on, or the largest with `last`.
+    on, or the largest with `last`, and the largest of each column of `latest`.
 
     For streams whose first (or last) row per key decides; a hot key then sends
-    a few rows per batch to its stateful task instead of all.  Columns are keys
-    and order only.
+    a few rows per batch to its stateful task instead of all.  Columns are keys,
+    order and latest only.
     """
-    rows = df.select(*keys, order)
-    names = [*keys, order]
-    pick = "max" if last else "min"
+    rows = df.select(*keys, order, *latest)
+    names = [*keys, order, *latest]
+    picks = [(order, "max" if last else "min"), *((c, "max") for c in latest)]
 
     def combine(batches):
         for batch in batches:
-            small = pa.Table.from_batches([batch]).group_by(keys).aggregate([(order, pick)])
-            small = small.select([*keys, f"{order}_{pick}"]).rename_columns(names)
+            small = pa.Table.from_batches([batch]).group_by(keys).aggregate(picks)
+            small = small.select([*keys, *(f"{c}_{p}" for c, p in picks)]).rename_columns(names)
             yield from small.cast(batch.schema).to_batches()
 
     return rows.mapInArrow(combine, rows.schema)

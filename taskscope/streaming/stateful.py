@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -17,26 +20,30 @@ CHANGE = "uid string, seq long, state string, step int, announced string"
 class Progress(StatefulProcessor):
     """Current state per uid; late or repeated states are dropped.
 
-    State: the highest value so far, the last state, whether it is settled.
+    State: the highest value so far, the last state, whether it is settled, and
+    the time (ms) at which it is forgotten, 0 for never.  That moves on with each
+    row of the uid.
     """
 
-    def __init__(self, model: str = "task", replay_final: bool = True, forget_ms: int | None = None):
+    def __init__(self, model: str = "task", replay_final: bool = True, forget_ms: int = 0, idle_ms: int = 0):
         self.values = schema.state_values(model)
         self.known = schema.states(model)
         self.settling = ["DONE", "FAILED"] if model == "task" else ["DONE"]
-        self.replay_final, self.forget_ms = replay_final, forget_ms
+        self.replay_final, self.forget_ms, self.idle_ms = replay_final, forget_ms, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.current = handle.getValueState("current", "top int, last string, settled boolean")
+        self.current = handle.getValueState("current", "top int, last string, settled boolean, until long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         # a pilot may go back and forth between finals, a task may not: its
         # first row per state is enough, whatever the number of rows
         seen = []
         firsts: dict[str, int] = {}
+        latest = 0
         for row in rows:
             seq, state = row.seq, row.state
+            latest = max(latest, row.ms or 0)
             if state not in self.values:
                 continue
             if self.settling == ["DONE"] and state in schema.FINAL:
@@ -45,8 +52,10 @@ class Progress(StatefulProcessor):
                 firsts[state] = seq
         seen += [(seq, state) for state, seq in firsts.items()]
 
-        top, last, settled = self.current.get() or (-1, None, False)
-        changed = False
+        top, last, settled, until = self.current.get() or (-1, None, False, 0)
+        if until and until <= timerValues.getCurrentWatermarkInMs():  # its timer comes after this batch's rows
+            self.handle.deleteTimer(until)
+            top, last, settled, until = -1, None, False, 0
         for seq, state in sorted(seen):
             value = self.values[state]
             if value > top:
@@ -58,13 +67,18 @@ class Progress(StatefulProcessor):
                 told = [state]
             else:
                 continue
-            top, last, settled, changed = value, state, settled or state in self.settling, True
+            top, last, settled = value, state, settled or state in self.settling
             for step, name in enumerate(told):
                 yield Row(uid=key[0], seq=seq, state=state, step=step, announced=name)
-        if changed:
-            self.current.update((top, last, settled))
-            if self.forget_ms is not None and top == len(self.known):
-                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.forget_ms)
+        limit = self.forget_ms if top == len(self.known) else self.idle_ms
+        ends = max(latest + limit, until) if limit else 0
+        if ends != until:
+            if until:
+                self.handle.deleteTimer(until)
+            if ends:
+                self.handle.registerTimer(ends)
+        if top >= 0:
+            self.current.update((top, last, settled, ends))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.current.clear()
@@ -74,20 +88,32 @@ class Progress(StatefulProcessor):
         pass
 
 
+#: Seconds for which the state of a uid is kept after its last row, when it is final and when it is not.
+FORGET, IDLE = 86400.0, 30 * 86400.0
+
+
 def progress_stream(updates: DataFrame, model: str = "task", replay_final: bool = True,
-                    forget_ms: int | None = None) -> DataFrame:
+                    forget: float = FORGET, idle: float = IDLE, delay: str = "0 seconds") -> DataFrame:
     """Each transition of each uid once: (uid, seq, state, step, announced).
 
-    With `forget_ms` the state of a uid goes that long after a final state.
-    That needs timers on the clock, for which Spark goes on making batches: such
-    a stream runs until it is stopped, also with `availableNow`.
+    State ends where `updates` have a `time` (epoch seconds): `forget` seconds
+    after the last row of a uid in a final state, `idle` seconds after the last
+    row of any other; 0 is never.  Time is what the rows say, under a watermark
+    of `delay`; a row that comes after the end begins a new life of its uid.
+    Without `time` nothing moves time on, and state stays.
     """
-    rows = updates.select("uid", "state", "seq")
+    timed = "time" in updates.columns and bool(forget or idle)
+    rows = updates.select("uid", "state", "seq", (_ms(F.col("time")) if timed else F.lit(None).cast("long")).alias("ms"),
+                          *([F.timestamp_seconds("time").alias("ts")] if timed else []))
     if model == "task":
-        rows = first_per_batch(rows, ["uid", "state"], "seq")
+        rows = first_per_batch(rows, ["uid", "state"], "seq", latest=["ms", *(["ts"] if timed else [])])
+    if not timed:
+        forget = idle = 0.0
+    else:
+        rows = rows.withWatermark("ts", delay)
     return rows.groupBy("uid").transformWithState(
-        Progress(model, replay_final, forget_ms), CHANGE, "append",
-        "processingTime" if forget_ms is not None else "none")
+        Progress(model, replay_final, round(forget * 1000), round(idle * 1000)), CHANGE, "append",
+        "eventTime" if timed else "none")
 
 
 class Timeouts(StatefulProcessor):
@@ -152,7 +178,7 @@ def timeout_stream(updates: DataFrame, delay: str = "0 seconds") -> DataFrame:
 
 
 class Heartbeats(StatefulProcessor):
-    """Last sign of life per worker rank."""
+    """The end of the latest session of a worker rank; a session has no gap of the time limit."""
 
     def __init__(self, timeout_ms: int):
         self.timeout_ms = timeout_ms
@@ -163,14 +189,16 @@ class Heartbeats(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         old = (self.last.get() or (None,))[0]
-        new = max(row.ms for row in rows)
-        new = new if old is None else max(new, old)
-        if new != old:
+        end = old
+        for first, last in sorted((row.first, row.ms) for row in rows):
+            if end is not None and first - end >= self.timeout_ms:
+                yield Row(uid=key[0], rank=key[1], last=end / 1e3)  # was lost, and is back
+            end = last if end is None else max(end, last)
+        if end != old:
             if old is not None:
                 self.handle.deleteTimer(old + self.timeout_ms)
-            self.handle.registerTimer(new + self.timeout_ms)
-            self.last.update((new,))
-        return iter(())
+            self.handle.registerTimer(end + self.timeout_ms)
+            self.last.update((end,))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         last = self.last.get()[0]
@@ -181,18 +209,42 @@ class Heartbeats(StatefulProcessor):
         pass
 
 
+def _sessions(beats: DataFrame, timeout_ms: int) -> DataFrame:
+    """(uid, rank, first, ms): runs of heartbeats without a gap of the limit, per Arrow batch."""
+    def combine(batches):
+        for batch in batches:
+            t = pa.Table.from_batches([batch]).sort_by([(c, "ascending") for c in ("uid", "rank", "ms")])
+            same = [pc.fill_null(pc.equal(t[c][1:].combine_chunks(), t[c][:-1].combine_chunks()), False)
+                    for c in ("uid", "rank")]
+            ms = t["ms"].to_numpy()
+            goes_on = same[0].to_numpy(False) & same[1].to_numpy(False) & (ms[1:] - ms[:-1] < timeout_ms)
+            first = np.flatnonzero(np.concatenate([[True], ~goes_on])[:len(ms)])
+            last = np.append(first[1:], len(ms))[:len(first)] - 1
+            yield from t.take(first).select(["uid", "rank"]).append_column("first", pa.array(ms[first])) \
+                .append_column("ms", pa.array(ms[last])).to_batches()
+
+    return beats.mapInArrow(combine, "uid string, rank long, first long, ms long")
+
+
 def lost_worker_stream(heartbeats: DataFrame, timeout: float, delay: str = "0 seconds") -> DataFrame:
-    """(uid, rank, last) once no heartbeat of a rank has come for `timeout` seconds."""
-    beats = heartbeats.select("uid", F.col("rank").cast("long").alias("rank"), "hb")
-    rows = first_per_batch(beats, ["uid", "rank"], "hb", last=True).select(
-        "uid", "rank", _ms(F.col("hb")).alias("ms"), F.timestamp_seconds("hb").alias("ts"))
+    """(uid, rank, last) each time that no heartbeat of a rank has come for `timeout` seconds.
+
+    A rank that is back may be lost again.  What counts is the time of the
+    heartbeats, not how they are dealt to micro-batches.
+    """
+    limit = round(timeout * 1000)
+    beats = heartbeats.filter("hb is not null").select("uid", F.col("rank").cast("long").alias("rank"), _ms(F.col("hb")).alias("ms"))
+    rows = _sessions(beats, limit).withColumn("ts", F.timestamp_millis("ms"))
     return (rows.withWatermark("ts", delay).groupBy("uid", "rank")
-            .transformWithState(Heartbeats(round(timeout * 1000)), "uid string, rank long, last double",
-                                        "append", "eventTime"))
+            .transformWithState(Heartbeats(limit), "uid string, rank long, last double", "append", "eventTime"))
 
 
 class FirstInfo(StatefulProcessor):
-    """The first match per uid, or an error when none comes in time."""
+    """The first match per uid, or an error when none comes in time.
+
+    Time is that of the lines: a match after the limit is too late, also when it
+    comes in the same micro-batch.
+    """
 
     def __init__(self, timeout_ms: int):
         self.timeout_ms = timeout_ms
@@ -203,22 +255,30 @@ class FirstInfo(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         deadline, done = self.status.get() or (0, False)
-        began, best = None, None
+        if done:
+            return
+        first = last = None  # of all lines; matches are kept by time and place, the best of each
+        matches = {}
         for row in rows:
-            began = row.ms if began is None else min(began, row.ms)
-            if row.info is not None and not done and (best is None or row.pos < best[0]):
-                best = (row.pos, row.info)
-        if best is not None:
-            done = True
-            if deadline:
-                self.handle.deleteTimer(deadline)
-                deadline = 0
-        elif not done and not deadline and self.timeout_ms:
-            deadline = began + self.timeout_ms
+            first = row.ms if first is None else min(first, row.ms)
+            last = row.ms if last is None else max(last, row.ms)
+            if row.info is not None and (row.ms not in matches or row.pos < matches[row.ms][0]):
+                matches[row.ms] = (row.pos, row.info)
+        waiting = bool(deadline)
+        if self.timeout_ms and not deadline:
+            deadline = first + self.timeout_ms
+        found = [match for ms, match in matches.items() if not deadline or ms <= deadline]
+        late = bool(deadline) and last > deadline
+        done = bool(found) or late
+        if done and waiting:
+            self.handle.deleteTimer(deadline)
+        elif not done and not waiting and deadline:
             self.handle.registerTimer(deadline)
         self.status.update((deadline, done))
-        if best is not None:
-            yield Row(uid=key[0], info=best[1], error=None)
+        if found:
+            yield Row(uid=key[0], info=min(found)[1], error=None)
+        elif late:
+            yield Row(uid=key[0], info=None, error="startup timeout")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.status.update((0, True))
@@ -229,7 +289,11 @@ class FirstInfo(StatefulProcessor):
 
 
 def info_stream(lines: DataFrame, pattern: str, timeout: float = 0.0, delay: str = "0 seconds") -> DataFrame:
-    """(uid, info, error) from log lines (uid, pos, time, value)."""
+    """(uid, info, error) from log lines (uid, pos, time, value).
+
+    With a `timeout` in seconds, counted from a uid's first line, a uid without a
+    match up to then gets an error.
+    """
     from taskscope.functions.text import extract_info
     rows = lines.select("uid", "pos", _ms(F.col("time")).alias("ms"), extract_info(F.col("value"), pattern).alias("info"),
                         F.timestamp_seconds("time").alias("ts"))

@@ -92,31 +92,39 @@ def test_info_or_time_limit(spark):
     assert tuples(got) == [("a", "x", None), ("b", None, "startup timeout"), ("c", "z", None)]
 
 
-def test_forgotten_state_is_removed(spark):
-    import time
-    layout = "uid string, seq long, state string"
-    path = fresh_path(spark, "steps")
-    add = lambda rows: spark.createDataFrame(rows, layout).coalesce(1).write.mode("append").parquet(path)
-    add([("u", 1, "DONE")])
-    msg.use_state_store(spark)
-    source = spark.readStream.schema(layout).parquet(path)
-    # timers on the clock keep a stream busy, so it is stopped from here
-    query = (st.progress_stream(source, forget_ms=1).writeStream.format("memory").queryName("forgotten")
-             .option("checkpointLocation", fresh_path(spark, "c")).trigger(processingTime="500 milliseconds").start())
-
-    def wait_for(n):
-        end = time.time() + 40
-        while spark.table("forgotten").filter("announced = 'DONE'").count() < n and time.time() < end:
-            time.sleep(0.5)
-        return spark.table("forgotten").filter("announced = 'DONE'").count()
-
-    try:
-        assert wait_for(1) == 1
-        time.sleep(3)
-        add([("u", 2, "DONE")])  # the uid is new again
-        assert wait_for(2) == 2
-    finally:
-        query.stop()
+def test_state_ends_under_the_watermark(spark):
+    """By default, and without timers on the clock: the stream ends by itself."""
+    day = 86400.0
+    steps = [[("u", 1, "DONE", T0), ("v", 2, "NEW", T0), ("w", 3, "NEW", T0)],
+             [("x", 4, "NEW", T0 + 2 * day)],  # u has ended, v and w have not
+             [("u", 5, "DONE", T0 + 2 * day + 1), ("v", 6, "NEW", T0 + 2 * day + 1), ("v", 7, "DONE", T0 + 2 * day + 2)],
+             [("y", 8, "NEW", T0 + 40 * day)], [("y", 9, "AGENT_SCHEDULING", T0 + 40 * day + 1)]]
+    source = stream(spark, steps, "uid string, seq long, state string, time double")
+    path = fresh_path(spark, "t1")
+    got = msg.run_to_end(st.progress_stream(source), path)
+    told = lambda uid: [(r.seq, r.announced) for r in got.filter(F.col("uid") == uid).orderBy("seq", "step").collect()]
+    whole = told("u")
+    assert len(whole) % 2 == 0 and [a for n, a in whole if n == 1] == [a for n, a in whole if n == 5]  # a new life
+    assert [n for n, _ in told("v")].count(2) == 1 and told("v")[-1] == (7, "DONE") and not any(n == 6 for n, _ in told("v"))
+    left = spark.read.format("statestore").option("stateVarName", "current").load(f"{path}/checkpoint")
+    assert tuples(left.select("key.uid")) == [("y",)]
+    # without times nothing ends
+    bare = stream(spark, [[r[:3] for r in rows] for rows in steps], "uid string, seq long, state string")
+    path = fresh_path(spark, "t1")
+    msg.run_to_end(st.progress_stream(bare), path)
+    assert spark.read.format("statestore").option("stateVarName", "current").load(f"{path}/checkpoint").count() == 5
+
+
+def test_a_worker_is_lost_each_time(spark):
+    """The same alarms, however the heartbeats are dealt to micro-batches."""
+    beats = [("w", 0, T0), ("w", 0, T0 + 50), ("w", 0, T0 + 149), ("w", 0, T0 + 260), ("w", 1, T0 + 250), ("w", 0, T0 + 400),
+             ("z", None, T0 + 20), ("w", 1, T0 + 401), ("w", 0, T0 + 450)]
+    want = sorted([("w", 0, T0 + 149), ("w", 0, T0 + 260), ("w", 1, T0 + 250), ("z", None, T0 + 20)], key=repr)
+    layout = "uid string, rank int, hb double"
+    ordered = sorted(beats, key=lambda b: b[2])
+    for steps in ([ordered], [[b] for b in ordered], [ordered[:4], ordered[4:]]):
+        got = msg.run_to_end(st.lost_worker_stream(stream(spark, steps, layout), 100.0), fresh_path(spark, "t4"))
+        assert tuples(got) == want
 
 
 def test_bags_wait_for_all_members(spark):
@@ -133,8 +141,7 @@ def test_order_of_bags(spark):
     steps = [[task("c", 1), task("a", 0)], [task("b", 0), done("a", 0)], [done("b", 0), task("e", 2)]]
     released, held = h.hold(stream(spark, steps, layout), h.ordered_bags, fresh_path(spark, "order"))
     assert tuples(released, "uid") == [("a",), ("b",), ("c",)]
-    assert tuples(held.filter("kind = 'task'"), "uid") == [("e",)]
-    assert tuples(held.filter("kind = 'done'"), "bag_order", "n") == [(0, 2)]
+    assert tuples(held, "uid") == [("e",)]
 
 
 def test_keys_and_cancels_are_remembered(spark):
@@ -183,3 +190,65 @@ def test_a_member_that_comes_after_its_bag_is_one_too_many(spark):
     assert tuples(released, "uid", "status") == [("a", "complete"), ("b", "complete"), ("c", "over"),
                                                  ("d", "complete"), ("e", "complete")]
     assert held.count() == 0
+
+
+def rows_of(spark, path):
+    return {n: spark.read.parquet(f"{path}/log/0/new/n={n}").count() for n in range(-1, 3)}
+
+
+def test_a_batch_writes_its_new_rows_only(spark):
+    """What waits is not written again, and a batch without marks does not read it."""
+    layout = "uid string, ns string, size int"
+    many = [(f"u{i}", "big", 1001) for i in range(1000)]
+    steps = [many, [("a", "x", 2)], [("b", "x", 2), ("c", "y", 2)]]
+    path = fresh_path(spark, "work")
+    released, held = h.hold(stream(spark, steps, layout), h.complete_bags, path)
+    assert rows_of(spark, path) == {-1: 0, 0: 1000, 1: 1, 2: 1}
+    assert tuples(released, "uid") == [("a",), ("b",)] and held.count() == 1001
+    state = spark.read.format("statestore").option("stateVarName", "state").load(f"{path}/checkpoint")
+    assert tuples(state.select("key._key", "value.n")) == [("big", 1000), ("x", 2), ("y", 1)]
+
+
+def test_generations_keep_what_waits(spark):
+    """With a new base every second batch the result is the same, also over restarts."""
+    layout, source, place = "uid string, ns string, size int", fresh_path(spark, "steps"), fresh_path(spark, "generations")
+    write = lambda rows: spark.createDataFrame(rows, layout).coalesce(1).write.mode("append").parquet(source)
+    run = lambda: h.hold(spark.readStream.schema(layout).option("maxFilesPerTrigger", 1).parquet(source), h.complete_bags,
+                         place, every=2)
+    steps = [[("a0", "a", 3), ("b0", "b", 2)], [("a1", "a", 3)], [("c0", "c", 2)], [("b1", "b", 2)], [("c1", "c", 2), ("d0", "d", 9)],
+             [("a2", "a", 3)], [("a3", "a", 3)]]
+    for i, rows in enumerate(steps):
+        write(rows)
+        if i % 3 == 2:
+            run()
+    released, held = run()
+    assert tuples(released, "uid", "status") == [("a0", "complete"), ("a1", "complete"), ("a2", "complete"), ("a3", "over"),
+                                                 ("b0", "complete"), ("b1", "complete"), ("c0", "complete"), ("c1", "complete")]
+    assert tuples(held, "uid") == [("d0",)]
+
+
+def test_what_has_gone_is_forgotten(spark):
+    """After `ttl` the state of a bag that has gone ends, and a late member waits in a bag of its own."""
+    import time
+    layout, source, place = "uid string, ns string, size int", fresh_path(spark, "steps"), fresh_path(spark, "forget")
+    write = lambda rows: spark.createDataFrame(rows, layout).coalesce(1).write.mode("append").parquet(source)
+    run = lambda: h.hold(spark.readStream.schema(layout).option("maxFilesPerTrigger", 1).parquet(source), h.complete_bags,
+                         place, ttl=1.0)
+    write([("a", "x", 1)])
+    assert tuples(run()[0], "uid") == [("a",)]
+    time.sleep(1.5)
+    write([("b", "y", 2)])  # moves time on
+    run()
+    write([("c", "x", 2), ("d", "y", 2)])
+    released, held = run()
+    assert tuples(released, "uid") == [("a",), ("b",), ("d",)] and tuples(held, "uid") == [("c",)]
+
+
+def test_a_rank_that_reports_after_its_task_has_gone(spark):
+    layout = "uid string, rank int, ranks int, stdout string, stderr string, return_value string, exit_code int"
+    row = lambda uid, rank, ranks=2: (uid, rank, ranks, f"o{rank}", "e", "v", 0)
+    steps = [[row("a", 0), row("b", 0), row("c", 5000, 3)], [row("a", 1), row("c", 4096, 3)], [row("a", 0), row("b", 0)],
+             [row("c", 0, 3), row("c", 0, 3)]]
+    released, held = h.hold(stream(spark, steps, layout), h.gather_ranks, fresh_path(spark, "ranks"))
+    assert tuples(released, "uid", "stdout") == [("a", ["o0", "o1"]), ("c", ["o0", "o4096", "o5000"])]
+    assert tuples(held, "uid", "rank") == [("b", 0), ("b", 0)]

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import tuples
+from taskscope.operators import strips as st
 from taskscope.operators import usage as u
 from taskscope.plans import spec as specs
 
@@ -77,7 +78,59 @@ def test_task_boxes_and_no_overlap(spark, run):
     assert boxes.filter("uid = 'task.1'").count() == 16
     assert u.overlaps(boxes).isEmpty()
     both = boxes.unionByName(boxes.filter("uid = 'task.2'").withColumn("uid", F.lit("task.9")))
-    assert {r.r for r in u.overlaps(both).collect()} == {1}
+    assert {(r.r0, r.r1) for r in u.overlaps(both).collect()} == {(1, 1)}
+
+
+def test_no_row_per_resource(spark, run):
+    """A machine of 10^5 cores in whole nodes: rows follow the boxes, not the cores."""
+    cores, per = 100_352, 64
+    many = cores // per
+    pilots = spark.createDataFrame([("pilot.0", per, 0)], "pid string, cores_per_node int, gpus_per_node int")
+    nodes = spark.range(many).selectExpr("'pilot.0' as pid", "id as node_index", "cast(id as int) as pos", "false as agent")
+    boxes = spark.createDataFrame(
+        [("cpu", "warm", "pilot.0", "pilot.0", 0.0, 10.0, 0, cores - 1), ("cpu", "drain", "pilot.0", "pilot.0", 20.0, 100.0, 0, cores - 1)]
+        + [("cpu", "exec_cmd", f"task.{i}", "pilot.0", 9.0 if i % 100 == 7 else 10.0, 20.0, i * per, (i + 1) * per - 1)
+           for i in range(many) if i != 500],
+        "rtype string, metric string, uid string, pid string, t0 double, t1 double, r0 long, r1 long")
+    found = u.overlaps(boxes)
+    hit = [i for i in range(many) if i % 100 == 7]
+    assert tuples(found, "uid", "before", "r0", "r1") == sorted(
+        [(f"task.{i}", 10.0, i * per, (i + 1) * per - 1) for i in hit], key=repr)
+    strips = st.strips_of(boxes, ["rtype", "pid"])
+    assert strips.count() == many + 1
+    assert st.cut_boxes(boxes, strips, ["rtype", "pid"]).count() == 2 * many + many - 1
+    total = u.provided(pilots, nodes, run[3].filter("uid = 'pilot.0'"))
+    used = {r.metric: (r.used, r.share) for r in u.attribution(boxes, total).collect()}
+    assert used["unused"][0] == 10.0 * per and abs(sum(x for _, x in used.values()) - 1) < 1e-12
+    assert used["exec_cmd"][0] == 10.0 * per * (many - 1) + per * len(hit)
+    assert used["warm"][0] == 10.0 * cores - per * len(hit)
+    slots = spark.range(many).filter("id <> 500").selectExpr(
+        "'task.1' as uid", "'pilot.0' as pid", "id as node_index", "'cpu' as rtype", f"explode(sequence(0, {per - 1})) as core")
+    idle = u.warm_drain_idle(pilots, nodes, slots, run[3])
+    assert "sequence(r0" not in idle._jdf.queryExecution().toString().lower()
+    assert tuples(idle, "metric", "r0", "r1") == sorted([
+        ("idle", 500 * per, 501 * per - 1), *[(m, a, b) for m in ("warm", "drain")
+                                              for a, b in ((0, 500 * per - 1), (501 * per, cores - 1))]], key=repr)
+
+
+def test_every_instant_counts_once(spark, run):
+    pilots, nodes, slots, events = run
+    total = u.provided(pilots, nodes, events)
+    got = {(r.pid, r.metric): r.used for r in u.attribution(u.consumed(*run), total).collect()}
+    # by hand, instant by instant (all times are whole seconds)
+    boxes = u.consumed(*run).collect()
+    want = {}
+    for box in total.collect():
+        for r in range(box.r0, box.r1 + 1):
+            for t in range(int(box.t0), int(box.t1)):
+                own = {b.metric for b in boxes if b.pid == box.pid and b.r0 <= r <= b.r1 and b.t0 <= t < b.t1}
+                metric = next((m for m in u.PRECEDENCE if m in own), "unused")
+                want[box.pid, metric] = want.get((box.pid, metric), 0) + 1
+    assert got == want
+    shares = u.attribution(u.consumed(*run), total)
+    assert {r.pid: r.whole for r in u.share_check(shares).collect()} == {"pilot.0": False, "pilot.1": True}
+    other = u.attribution(u.consumed(*run), total, order=["exec_cmd"])
+    assert {r.metric for r in other.collect()} == {"exec_cmd", "other", "unused"}
 
 
 def test_areas_add_up_to_what_was_provided(spark, run):
