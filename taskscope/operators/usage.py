@@ -19,7 +19,7 @@ from taskscope.operators.durations import durations, of_spec, wide_times
 from taskscope.operators.ordered import running
 from taskscope.plans.presets import PILOT_AGENT, PILOT_CONSUME, PILOT_PROVIDE, TASK
 from taskscope.plans.spec import expand_match, expand_spec, matches
-from taskscope.session import staged
+from taskscope.session import staged, staged_together
 
 BOX = ["rtype", "metric", "uid", "pid", "t0", "t1", "r0", "r1"]
 PER_NODE = {"cpu": "cores_per_node", "gpu": "gpus_per_node"}
@@ -102,29 +102,24 @@ def _of_pilots(events: DataFrame) -> DataFrame:
     return events.filter(F.col("uid").startswith("pilot."))
 
 
-def _own_spec() -> dict:
-    """Phases of a pilot that use resources; the phase of the sub-agents is `sub_agent`."""
-    return {"agent": PILOT_AGENT["total"],
-            **{("sub_agent" if m == "agent" else m): b for m, b in PILOT_CONSUME.items() if m != "idle"}}
-
-
 def usage_times(events: DataFrame, keys: list[str], spec="task") -> DataFrame:
-    """One row per entity with all times that boxes need, from one aggregation of the events.
+    """One row per entity with the times of a spec's boundaries, and u0 and u1, the first
+    `schedule_ok` and the last `unschedule_stop`: one aggregation of the events."""
+    named = expand_spec(spec)
+    needed = sorted({m.event for sides in named.values() for side in sides for m in side} | {"schedule_ok", "unschedule_stop"})
+    event = lambda name: F.when(F.col("event") == name, F.col("time"))
+    return wide_times(events.filter(F.col("event").isin(needed)), keys, [named],
+                      F.min(event("schedule_ok")).alias("u0"), F.max(event("unschedule_stop")).alias("u1"))
 
-    Events that no box needs are left out, but for those of pilots, whose first
-    and last event count.
-    """
-    own, named = expand_spec(_own_spec()), expand_spec(spec)
-    marks = [m for s in (own, named) for sides in s.values() for side in sides for m in side]
-    needed = sorted({m.event for m in marks} | {"schedule_ok", "unschedule_stop", "bootstrap_0_start", "bootstrap_0_stop"})
-    wanted = events.filter(F.col("event").isin(needed) | F.col("uid").startswith("pilot."))
-    at = lambda c: F.when(c, F.col("time"))
-    event = lambda name: at(F.col("event") == name)
+
+def pilot_life(events: DataFrame, keys=()) -> DataFrame:
+    """(keys, pid, p_min, p_max): first start, else first PMGR_ACTIVE; first stop,
+    else the last event."""
+    at = lambda c: F.min(F.when(c, F.col("time")))
     active = (F.col("event") == "state") & (F.col("state") == "PMGR_ACTIVE")
-    return wide_times(wanted, keys, [own, named], F.min("time").alias("e0"), F.max("time").alias("e1"),
-                      F.min(event("bootstrap_0_start")).alias("p_start"), F.max(event("bootstrap_0_stop")).alias("p_last"),
-                      F.min(event("bootstrap_0_stop")).alias("p_stop"), F.min(at(active)).alias("p_active"),
-                      F.min(event("schedule_ok")).alias("u0"), F.max(event("unschedule_stop")).alias("u1"))
+    return _of_pilots(events).groupBy(*keys, F.col("uid").alias("pid")).agg(
+        F.coalesce(at(F.col("event") == "bootstrap_0_start"), at(active)).alias("p_min"),
+        F.coalesce(at(F.col("event") == "bootstrap_0_stop"), F.max("time")).alias("p_max"))
 
 
 def provided(pilots: DataFrame, nodes: DataFrame, events: DataFrame, rtype: str = "cpu") -> DataFrame:
@@ -150,13 +145,12 @@ def pilot_boxes(pilots: DataFrame, nodes: DataFrame, events: DataFrame, rtype: s
     `warm_drain_idle`.
     """
     sid = _sessions(pilots, nodes, events)
-    dur = durations(_of_pilots(events), _own_spec(), by=[*sid, "uid"])
-    return _pilot_boxes(node_ranges(pilots, nodes, rtype), dur, sid, rtype)
-
-
-def _pilot_boxes(where: DataFrame, dur: DataFrame, sid: list[str], rtype: str) -> DataFrame:
+    spec = {"agent": PILOT_AGENT["total"],
+            **{("sub_agent" if m == "agent" else m): b for m, b in PILOT_CONSUME.items() if m != "idle"}}
+    dur = durations(_of_pilots(events), spec, by=[*sid, "uid"]).withColumnRenamed("uid", "pid")
     fits = (F.col("metric") == "agent") == F.col("agent")
-    return _boxes(where.join(dur.withColumnRenamed("uid", "pid"), [*sid, "pid"]).filter(fits), rtype, F.col("metric"))
+    where = node_ranges(pilots, nodes, rtype)
+    return _boxes(where.join(dur, [*sid, "pid"]).filter(fits), rtype, F.col("metric"))
 
 
 def task_ranges(pilots: DataFrame, nodes: DataFrame, slots: DataFrame, rtype: str = "cpu") -> DataFrame:
@@ -188,17 +182,20 @@ def warm_drain_idle(pilots: DataFrame, nodes: DataFrame, slots: DataFrame, event
     the nodes, strip by strip: no row stands for a single resource.
     """
     sid = _sessions(pilots, nodes, slots, events)
-    times = staged(usage_times(events, [*sid, "uid"], {}), "usage-times")
-    return _warm_drain_idle(node_ranges(pilots, nodes, rtype), task_ranges(pilots, nodes, slots, rtype), times, sid, rtype)
+    one = resource_index(slots, pilots, nodes, rtype).select(*sid, "uid", "pid", F.col("idx").alias("r0"), F.col("idx").alias("r1"))
+    return _warm_drain_idle(node_ranges(pilots, nodes, rtype), one, usage_times(events, [*sid, "uid"], {}), events, sid, rtype)
 
 
-def _warm_drain_idle(where: DataFrame, ranges: DataFrame, times: DataFrame, sid: list[str], rtype: str) -> DataFrame:
+def _warm_drain_idle(where: DataFrame, ranges: DataFrame, times: DataFrame, events: DataFrame, sid: list[str],
+                     rtype: str) -> DataFrame:
     keys = [*sid, "pid"]
-    use = ranges.join(times.filter("u0 is not null and u1 is not null").select(*sid, "uid", "u0", "u1"), [*sid, "uid"])
+    # tasks take the same ranges over and over: one row for each of these, combined before the shuffle
+    use = (ranges.join(times.filter("u0 is not null and u1 is not null").select(*sid, "uid", "u0", "u1"), [*sid, "uid"])
+           .groupBy(*keys, "r0", "r1").agg(F.min("u0").alias("u0"), F.max("u1").alias("u1")))
     both = staged(where.filter("not agent").select(*keys, "r0", "r1", F.lit(True).alias("own"),
                                                    *[F.lit(None).cast("double").alias(c) for c in ("u0", "u1")])
                   .unionByName(use.select(*keys, "r0", "r1", F.lit(False).alias("own"), "u0", "u1")), "usage-ranges")
-    strips = staged(st.strips_of(both, keys), "strips")
+    strips = st.strips_of(both, keys)
     bounds = (st.cut_boxes(both, strips, keys).groupBy(*keys, "strip")
               .agg(F.max("own").alias("own"), F.min("u0").alias("t_min"), F.max("u1").alias("t_max"))
               .filter("own").join(strips, [*keys, "strip"]))
@@ -212,10 +209,7 @@ def _warm_drain_idle(where: DataFrame, ranges: DataFrame, times: DataFrame, sid:
 
     parts = (part("warm", taken, "t_min").unionByName(part("drain", taken, "t_max"))
              .unionByName(part("idle", bounds.filter("t_min is null"), None)))
-    life = times.filter(F.col("uid").startswith("pilot.")).select(
-        *sid, F.col("uid").alias("pid"), F.coalesce("p_start", "p_active").alias("p_min"),
-        F.coalesce("p_stop", "e1").alias("p_max"))
-    timed = parts.join(life, keys).withColumns({
+    timed = parts.join(pilot_life(events, sid), keys).withColumns({
         "t0": F.when(F.col("metric") == "drain", F.col("at")).otherwise(F.col("p_min")),
         "t1": F.when(F.col("metric") == "warm", F.col("at")).otherwise(F.col("p_max"))})
     return _boxes(timed, rtype, F.col("metric"))
@@ -225,18 +219,19 @@ def consumed(pilots: DataFrame, nodes: DataFrame, slots: DataFrame, events: Data
              rtype: str = "cpu", spec="task") -> DataFrame:
     """Everything that used resources: pilot phases, tasks, warm, drain, idle.
 
-    The events are aggregated once and the slots clustered once, for all of them.
+    The events of tasks are aggregated once and the slots clustered once, for
+    both that need them.
     """
     if rtype not in PER_NODE:
         raise ValueError(f"unknown resource type: {rtype}")
     sid = _sessions(pilots, nodes, slots, events)
     keys = [*sid, "uid"]
-    times = staged(usage_times(events, keys, spec), "usage-times")
-    ranges = staged(task_ranges(pilots, nodes, slots, rtype), "usage-task-ranges")
+    times, ranges = staged_together({"usage-times": usage_times(events, keys, spec),
+                                     "usage-task-ranges": task_ranges(pilots, nodes, slots, rtype)})
     where = node_ranges(pilots, nodes, rtype)
-    return (_pilot_boxes(where, of_spec(_of_pilots(times), keys, expand_spec(_own_spec())), sid, rtype)
+    return (pilot_boxes(pilots, nodes, events, rtype)
             .unionByName(_task_boxes(ranges, of_spec(times, keys, expand_spec(spec)), sid, rtype))
-            .unionByName(_warm_drain_idle(where, ranges, times, sid, rtype)))
+            .unionByName(_warm_drain_idle(where, ranges, times, events, sid, rtype)))
 
 
 def _box_keys(*boxes: DataFrame) -> list[str]:
