@@ -3,12 +3,13 @@
 The files are written from the tables by Spark first, so they grow with them.
 """
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from suite.views import sql, table, view
 from taskscope.session import fresh_path
 from taskscope.sources import documents as d
-from taskscope.sources import logs
+from taskscope.sources import logs, ranges
 from taskscope.sources.trace import read_lines
 
 QUERIES, ORACLES = {}, {}
@@ -73,6 +74,53 @@ add("S3_read_session_pilot_managers",
     lambda s, p: d.read_manager_docs(s, pilot_manager_files(s, p), "pmgr", "*.txt")[0],
     """SELECT DISTINCT concat('pmgr.', lpad(CAST(pos % 4 AS VARCHAR(20)), 4, '0')) AS uid, '{"v":2}' AS cfg FROM pilots_v""")
 
+
+
+# ---- a whole session folder: one large document per manager ----------------
+def session_folder(s, p):
+    """Registry, one pilot manager, and four task managers with a quarter of all tasks each.
+
+    The lines of a document are dealt to a file in order, so that no task writes a document from one row.
+    """
+    path = fresh_path(s, "session-folder")
+    t = view(s, p, "tasks_v").withColumn("k", F.col("bag_order") % 4)
+    doc = F.struct("uid", F.when(F.col("priority") > 1, F.col("pilot")).alias("pilot"), "state", F.struct(
+        F.lit('a "quoted", {odd} \\ name').alias("name"), "ranks", "cores_per_rank").alias("description"))
+    first = F.row_number().over(Window.partitionBy("k").orderBy("uid")) == 1
+    lines = t.select("k", F.lit(1).alias("part"), "uid", F.concat(
+        F.when(first, "").otherwise(","), F.lit('"'), "uid", F.lit('": '), F.to_json(doc)).alias("value"))
+    frame = s.range(4).select(F.col("id").alias("k"), F.explode(F.array(
+        F.struct(F.lit(0).alias("part"), F.concat(F.lit('{"uid": "tmgr.000'), F.col("id").cast("string"),
+                                                  F.lit('", "cfg": {"bulk": '), F.col("id").cast("string"), F.lit('},\n"tasks": {')).alias("value")),
+        F.struct(F.lit(2).alias("part"), F.lit("}}").alias("value")))).alias("f")).select("k", "f.part", F.lit("").alias("uid"), "f.value")
+    named = lines.unionByName(frame).withColumn("mgr", F.concat(F.lit("tmgr.000"), F.col("k").cast("string")))
+    named.repartition(4, "mgr").sortWithinPartitions("mgr", "part", "uid").select("mgr", "value").write.partitionBy("mgr").text(path)
+    pilots = view(s, p, "pilots_v").select(F.to_json(F.struct(
+        "uid", "state", F.struct("resource", "nodes", "cores").alias("description"))).alias("d"))
+    pilots.agg(F.array_sort(F.collect_list("d")).alias("l")).select(F.concat(  # one per nation
+        F.lit('{"pilots": ['), F.array_join("l", ", "), F.lit('], "uid": "pmgr.0000", "cfg": {}}')).alias("value"), F.lit("pmgr").alias("mgr")) \
+        .write.mode("append").partitionBy("mgr").text(path)
+    s.range(1).select(F.lit('{"cfg": {"base": "/r", "n": 3}, "rcfgs": {"a": {"large": [1, 2, 3]}}}').alias("value"), F.lit("reg").alias("mgr")) \
+        .write.mode("append").partitionBy("mgr").text(path)
+    return path
+
+
+def session_tables(s, p):
+    """Counts over all tables that `read_session` gives, by kind and state."""
+    got = d.read_session(s, session_folder(s, p), "s0", {"reg": "mgr=reg/*", "tmgr": "mgr=tmgr.*/*", "pmgr": "mgr=pmgr/*"})
+    per = lambda name, state, text: got[name].groupBy(state.alias("state"), text.alias("text")).agg(F.count(F.lit(1)).alias("n")) \
+        .select(F.lit(name).alias("name"), "state", "text", "n")
+    return (per("task", F.col("state"), F.col("tmgr")).unionByName(per("pilot", F.col("state"), F.col("pmgr")))
+            .unionByName(per("tmgr", F.col("uid"), F.col("cfg"))).unionByName(per("pmgr", F.col("uid"), F.col("cfg")))
+            .unionByName(per("session", F.col("uid"), F.col("cfg"))))
+
+
+add("S3_session_tables", session_tables,
+    """SELECT 'task' AS name, state, concat('tmgr.000', CAST(bag_order % 4 AS VARCHAR(20))) AS text, count(*) AS n FROM tasks_v GROUP BY ALL
+UNION ALL SELECT 'pilot', state, 'pmgr.0000', count(*) FROM pilots_v GROUP BY ALL
+UNION ALL SELECT 'tmgr', concat('tmgr.000', CAST(k AS VARCHAR(20))), concat('{"bulk":', CAST(k AS VARCHAR(20)), '}'), 1 FROM range(4) t(k)
+UNION ALL VALUES ('pmgr', 'pmgr.0000', '{}', 1), ('session', 's0', '{"base":"/r","n":3}', 1)""")
+
 add("S4_task_ids",
     lambda s, p: d.session_with_task_ids(view(s, p, "pilots_v").select("uid", "resource").union(
                                              s.sql("SELECT 'pilot.none', 'no tasks'")), view(s, p, "tasks_v"), 100)
@@ -249,3 +297,32 @@ add("S13_shown_text",
     """SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'task stdout is binary -- use file staging'
   WHEN length(text) > 1024 THEN concat('[... CONTENT SHORTENED ...]', chr(10), right(text, 1024)) ELSE coalesce(text, '') END AS text
 FROM documents""")
+
+
+def output_files(s, p):
+    """Folders of tasks as a run leaves them: one output of each text, file names as `.ofiles`."""
+    path = fresh_path(s, "outputs")
+    texts = table(s, p, "documents").select(
+        F.concat(F.lit("task."), F.col("doc_id").cast("string")).alias("uid"), F.coalesce("text", F.lit("")).alias("text"),
+        F.when(F.col("doc_id") % 7 == 0, F.unhex(F.lit("ff00fe"))).otherwise(F.encode(F.coalesce("text", F.lit("")), "utf-8")).alias("out"))
+
+    def write(rows):
+        system, root = ranges.opened(path)
+        for uid, text, out in rows:
+            system.create_dir(f"{root}/{uid}", recursive=True)
+            for kind, data in (("out", bytes(out)), ("err", text[:2000].encode()), ("ofiles", f"{uid}.a \n{uid}.b\n".encode())):
+                with system.open_output_stream(f"{root}/{uid}/{uid}.{kind}") as f:
+                    f.write(data)
+
+    texts.repartition(8).foreachPartition(write)
+    return path
+
+
+add("S13_collected_outputs", lambda s, p: logs.collect_outputs(s, output_files(s, p))[0],
+    """WITH d AS (SELECT concat('task.', CAST(doc_id AS VARCHAR(20))) AS uid, doc_id, coalesce(text, '') AS out, left(coalesce(text, ''), 2000) AS err FROM documents),
+t AS (SELECT uid, doc_id, 'stdout' AS stream, out AS text FROM d UNION ALL SELECT uid, 1, 'stderr', err FROM d)
+SELECT uid, stream, CASE WHEN doc_id % 7 = 0 THEN 'task stdout is binary -- use file staging'
+  WHEN length(text) > 1024 THEN concat('[... CONTENT SHORTENED ...]', chr(10), right(text, 1024)) ELSE text END AS text FROM t""")
+add("S13_output_lists", lambda s, p: logs.collect_outputs(s, output_files(s, p))[1],
+    """SELECT concat('task.', CAST(doc_id AS VARCHAR(20))) AS uid, CAST(pos AS INT) AS pos, concat('task.', CAST(doc_id AS VARCHAR(20)), name) AS file
+FROM documents, (VALUES (0, '.a'), (1, '.b')) AS n(pos, name)""")

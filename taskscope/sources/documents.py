@@ -12,45 +12,47 @@ from pyspark.sql import types as T
 
 from taskscope import schema
 from taskscope.operators.ordered import listed
+from taskscope.sources.ranges import RANGE, json_entries, json_fragments
 
-_TMGR = T.StructType([
-    T.StructField("uid", T.StringType()),
-    T.StructField("cfg", T.StringType()),
-    T.StructField("tasks", T.MapType(T.StringType(), schema.TASK)),
-])
-_PMGR = T.StructType([
-    T.StructField("uid", T.StringType()),
-    T.StructField("cfg", T.StringType()),
-    T.StructField("pilots", T.ArrayType(schema.PILOT)),
-])
 
-
-def read_manager_docs(spark: SparkSession, path: str, kind: str, glob: str) -> tuple[DataFrame, DataFrame]:
+def read_manager_docs(spark: SparkSession, path: str, kind: str, glob: str,
+                      size: int = RANGE) -> tuple[DataFrame, DataFrame]:
     """(managers, items) of manager documents, one document per file.
 
-    Task managers hold a map of tasks, pilot managers a list of pilots.  A
-    document is read by one task, as it can not be split; `write_session`
-    turns it into rows once.
+    Task managers hold a map of tasks, pilot managers a list of pilots.  A large
+    document is read by many tasks, `size` bytes by each, see `ranges`.
     """
-    layout, items = {"tmgr": (_TMGR, "tasks"), "pmgr": (_PMGR, "pilots")}[kind]
-    docs = (spark.read.schema(layout).option("multiLine", "true")
-            .option("recursiveFileLookup", "true").option("pathGlobFilter", glob).json(path))
-    inside = F.map_values(items) if kind == "tmgr" else F.col(items)
-    rows = docs.select(F.col("uid").alias("_mgr"), F.explode(inside).alias("i")).select("_mgr", "i.*")
-    return (docs.select("uid", "cfg"),
-            rows.withColumn(kind, F.coalesce(kind, "_mgr")).drop("_mgr"))
-
-
-def read_session(spark: SparkSession, path: str, sid: str) -> dict[str, DataFrame]:
+    layout, items = {"tmgr": (schema.TASK, "tasks"), "pmgr": (schema.PILOT, "pilots")}[kind]
+    scalars, spans, entries = json_entries(json_fragments(spark, path, glob, size))
+    uids = scalars.filter("key = 'uid'").select("file", F.get_json_object(
+        F.concat(F.lit('{"v":'), "value", F.lit("}")), "$.v").alias("uid"))
+    managers = uids.join(_texts(spans, entries, "cfg"), "file", "left").select("uid", "cfg")
+    rows = (entries.filter(F.col("key") == items).select("file", F.from_json("value", layout).alias("i"))
+            .join(uids.select("file", F.col("uid").alias("_mgr")), "file").select("_mgr", "i.*"))
+    return managers, rows.withColumn(kind, F.coalesce(kind, "_mgr")).drop("_mgr")
+
+
+def _texts(spans: DataFrame, entries: DataFrame, key: str) -> DataFrame:
+    """(file, key): the JSON text of a small map that stands under a key."""
+    text = F.concat(F.lit('"'), "name", F.lit('":'), "value")
+    parts = F.array_sort(F.collect_list(F.struct("id", text.alias("text"))))
+    inner = entries.filter(F.col("key") == key).groupBy("file").agg(
+        F.concat_ws(",", F.transform(parts, lambda p: p["text"])).alias("_in"))
+    return spans.filter(F.col("key") == key).join(inner, "file", "left").select(
+        "file", F.concat(F.lit("{"), F.coalesce("_in", F.lit("")), F.lit("}")).alias(key))
+
+
+def read_session(spark: SparkSession, path: str, sid: str, names: dict[str, str] = {}) -> dict[str, DataFrame]:
     """Tables session, tmgr, pmgr, pilot and task of a session folder.
 
-    Of the registry only the configuration is read, the large rest is not.
+    Of the registry only the configuration is kept, the large rest is not.
+    `names` are patterns of the files of `reg`, `tmgr` and `pmgr`, if they are others.
     """
-    registry = (spark.read.schema("cfg string").option("multiLine", "true")
-                .option("pathGlobFilter", f"{sid}.reg.json").json(path))
-    tmgr, task = read_manager_docs(spark, path, "tmgr", "tmgr.*.json")
-    pmgr, pilot = read_manager_docs(spark, path, "pmgr", "pmgr.*.json")
-    tables = {"session": registry.select(F.lit(sid).alias("uid"), "cfg"),
+    names = {"reg": f"{sid}.reg.json", "tmgr": "tmgr.*.json", "pmgr": "pmgr.*.json", **names}
+    _, spans, registry = json_entries(json_fragments(spark, path, names["reg"]))
+    tmgr, task = read_manager_docs(spark, path, "tmgr", names["tmgr"])
+    pmgr, pilot = read_manager_docs(spark, path, "pmgr", names["pmgr"])
+    tables = {"session": _texts(spans, registry, "cfg").select(F.lit(sid).alias("uid"), "cfg"),
               "tmgr": tmgr, "pmgr": pmgr, "pilot": pilot, "task": task}
     return {name: df.withColumn("sid", F.lit(sid)) for name, df in tables.items()}
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from taskscope.functions.text import BINARY, extract_info, tail, tool_name
 from taskscope.operators.ordered import running
+from taskscope.sources.ranges import read_ends, shown_end
+from taskscope.sources.trace import read_lines
 
 # fixed values: the log line of the tool, for example
 # output: [batch3:80017] [[33357,0],0] [1565343424.463101] ACTIVATE JOB [33357,0] STATE INIT_DONE AT f.c:1
@@ -89,19 +91,16 @@ def shown_text(content, stream):
 
 
 def collect_outputs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(texts, files): tails of `<uid>.out` and `<uid>.err`, and the entries of
-    `<uid>.ofiles`, of all task folders below a path."""
-    raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-           .option("pathGlobFilter", "*.{out,err,ofiles}").load(path))
-    name = F.element_at(F.split("path", "/"), -1)
-    named = raw.select("content", F.regexp_extract(name, r"^(.*)\.([^.]+)$", 1).alias("uid"),
-                       F.regexp_extract(name, r"^(.*)\.([^.]+)$", 2).alias("kind"))
-    stream = F.when(F.col("kind") == "out", "stdout").otherwise("stderr")
-    texts = named.filter(F.col("kind").isin("out", "err")).select(
-        "uid", stream.alias("stream"), shown_text(F.col("content"), stream).alias("text"))
-    # a last line break ends the last line, it does not begin another
-    body = F.regexp_replace(F.col("content").cast("string"), r"\n$", "")
-    files = (named.filter("kind = 'ofiles' and length(content) > 0")
-             .select("uid", F.posexplode(F.split(body, "\n")).alias("pos", "line"))
-             .select("uid", "pos", F.trim("line").alias("file")))
+    """(texts, files): ends of `<uid>.out` and `<uid>.err`, and the entries of
+    `<uid>.ofiles`, of all task folders below a path.
+
+    Of an output only its last 4 KB are read, which also decide whether it is
+    text; lists of files are read in splits like any text.
+    """
+    name = lambda place, i: F.regexp_extract(F.element_at(F.split(place, "/"), -1), r"^(.*)\.([^.]+)$", i)
+    stream = F.when(name("path", 2) == "out", "stdout").otherwise("stderr")
+    texts = read_ends(spark, path, "*.out|*.err").select(
+        name("path", 1).alias("uid"), stream.alias("stream"), shown_end(F.col("text"), stream).alias("text"))
+    lines = running(read_lines(spark, path, "*.ofiles"), ["file"], ["block", "pos"], number="_n")
+    files = lines.select(name("file", 1).alias("uid"), (F.col("_n") - 1).cast("int").alias("pos"), F.trim("value").alias("file"))
     return texts, files

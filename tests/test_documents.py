@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import tuples
 from taskscope.sources import documents as d
-from taskscope.sources import logs
+from taskscope.sources import logs, ranges
 from taskscope.sources.trace import read_lines
 
 
@@ -108,6 +108,66 @@ def test_tool_logs(spark, tmp_path):
     assert [r.value for r in rejects.collect()] == ["x ACTIVATE without an event"]
 
 
+def by_ranges(data, size):
+    """Fragments of a document that is read in ranges of `size` bytes."""
+    ranges_ = [data[i:i + size] for i in range(0, len(data), size)]
+    state, out = (False, False, 0, 0), {}
+    for chunk in ranges_:
+        batch = ranges.JsonReader.fragments("f", 0, chunk, *state).to_pylist()
+        for r in batch:
+            old = out.get(r["id"], (None, None, b""))
+            out[r["id"]] = (r["depth"] if r["sep"] else old[0], r["sep"] or old[1], old[2] + r["data"])
+        in_string, escaped, depth, counts = ranges.summary(chunk)[ranges._WAYS.index(state[:2])]
+        cuts = sum(m for k, d, m in counts if state[2] + d <= (1 if k == 0 else 2))
+        assert cuts == sum(r["sep"] is not None for r in batch)
+        state = (in_string, escaped, state[2] + depth, state[3] + cuts)
+    return {k: v for k, v in out.items() if v[1]}
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 50, 1000])
+def test_json_in_ranges_of_any_size(size):
+    odd = ['', '\\', '"', '\\"', '{[,', ']}', '\\\\', 'é中', '\n', 'a"b\\\\"c']
+    doc = {"uid": "m{\\\"", "cfg": {"a": [1, {"b": odd}], odd[5]: odd[3]}, "n": 3,
+           "tasks": {f"t{i}{x}": {"uid": x, "l": [x, [x], {}], "e": {}} for i, x in enumerate(odd)}, "pilots": [{"x": [1, 2]}, [], 5], "z": []}
+    for text in (json.dumps(doc), json.dumps(doc, indent=2, ensure_ascii=False)):
+        got = by_ranges(text.encode(), size)
+        assert got == by_ranges(text.encode(), 1 << 20)
+        inner = [v[2].decode() for _, v in sorted(got.items()) if v[0] == 2 and v[2].strip()]
+        want = [json.dumps({k: x}) for key in ("cfg", "tasks") for k, x in doc[key].items()] + [json.dumps(x) for x in doc["pilots"]]
+        shown = [json.loads("{" + t + "}") if t.strip()[0] == '"' else json.loads(t) for t in inner]
+        assert shown == [json.loads(t) for t in want]
+
+
+def test_a_large_document_is_read_by_many_tasks(spark, tmp_path):
+    """One document of 30 MB, ranges of 1 MB."""
+    note = "x" * 900 + '\\"}{'
+    with open(tmp_path / "tmgr.0000.json", "w") as f:
+        f.write('{"uid": "tmgr.0000", "cfg": {"big": {"deep": [1, 2]}}, "tasks": {')
+        for i in range(30_000):
+            f.write((", " if i else "") + json.dumps(f"task.{i:06d}") + ": " + json.dumps(
+                {"uid": f"task.{i:06d}", "state": "DONE", "pilot": note, "description": {"ranks": i % 5}}))
+        f.write('}}')
+    planned = ranges._planned(spark, str(tmp_path), "tmgr.*.json", 1 << 20) if ranges.json_fragments(
+        spark, str(tmp_path), "tmgr.*.json", 1 << 20).limit(1).count() else []
+    assert len(ranges.JsonReader("", "", planned, 1 << 20).partitions()) == len(planned) > 25
+    managers, tasks = d.read_manager_docs(spark, str(tmp_path), "tmgr", "tmgr.*.json", 1 << 20)
+    assert [tuple(r) for r in managers.collect()] == [("tmgr.0000", '{"big":{"deep": [1, 2]}}')]
+    got = tasks.agg(F.count("uid"), F.count_distinct("uid"), F.sum("description.ranks"), F.min("pilot"), F.max("tmgr")).head()
+    assert tuple(got) == (30_000, 30_000, 60_000, note, "tmgr.0000")
+
+
+def test_only_the_end_of_an_output_is_read(spark, tmp_path):
+    with open(tmp_path / "t.out", "wb") as f:
+        f.write(b"\xff" * 5_000_000 + "é".encode() * 5000)
+    (tmp_path / "u.err").write_text("ab")
+    (tmp_path / "v.out").write_text("")
+    (tmp_path / "w.out").write_text("中" * 1365)
+    got = {r.path.split("/")[-1]: (r.bytes, r.text) for r in ranges.read_ends(spark, str(tmp_path), "*.out|*.err").collect()}
+    short = "[... CONTENT SHORTENED ...]\n"
+    assert got == {"t.out": (5_010_000, short + "é" * 1024), "u.err": (2, "ab"), "v.out": (0, ""), "w.out": (4095, short + "中" * 1024)}
+    assert ranges.read_ends(spark, str(tmp_path), "*.none").count() == 0
+
+
 def test_outputs(spark, tmp_path):
     (tmp_path / "task.1").mkdir()
     (tmp_path / "task.1" / "task.1.out").write_text("é" * 2000)
