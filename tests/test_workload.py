@@ -79,6 +79,25 @@ def test_capacity_equals_filling_in_order(spark, seed):
     assert got == fill(sizes, targets, 200.0)
 
 
+def test_jobs_do_not_follow_the_targets(spark, many_ranges):
+    """1,000 targets, some of them full, over several ranges; items without size among them."""
+    r = random.Random(9)
+    sizes = [r.choice([0, 1, 2, 3, 40]) for _ in range(6000)]
+    df = spark.createDataFrame([(f"t{i:05d}", n, 1, None) for i, n in enumerate(sizes)],
+                               "uid string, ranks int, cores_per_rank int, pilot string").repartition(5)
+    jobs = {}
+    for many in (10, 1000):
+        targets = [(f"p{i}", r.randrange(1, 40), r.randrange(0, 30)) for i in range(many)]
+        spark.sparkContext.setJobGroup(f"capacity-{many}", "")
+        got = [p for _, p in tuples(assign.assign_capacity(df, targets), "uid", "pilot")]
+        jobs[many] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"capacity-{many}"))
+        assert got == fill(sizes, targets, 200.0)
+    spark.sparkContext.setJobGroup("other", "")
+    assert jobs[1000] < 40 and jobs[1000] - jobs[10] < 16
+    assert assign.assign_capacity(df.limit(0), [("p", 4, 0)]).count() == 0
+    assert {p for _, p in tuples(assign.assign_capacity(df, [("p", 1, 9)]), "uid", "pilot")} == {None}
+
+
 def test_capacity_can_refuse_larger_items(spark):
     df = spark.createDataFrame([("a", 50, 1), ("b", 1, 1)], "uid string, ranks int, cores_per_rank int")
     assert tuples(assign.assign_capacity(df, [("p", 4, 0)], reject_larger=True), "uid", "pilot") == [("a", None), ("b", "p")]
@@ -151,3 +170,38 @@ def test_feasible_does_not_compare_all_pairs(spark):
     got = assign.feasible(tasks, shapes)
     assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
     assert tuples(got, "uid", "n_shapes", "most_ranks") == [("a", 2, 2), ("b", 0, 0)]
+
+
+def test_feasible_equals_comparing_all(spark, monkeypatch):
+    monkeypatch.setattr(assign, "SHAPES", 150)
+    monkeypatch.setattr(assign, "REQUESTS", 40)
+    r = random.Random(11)
+    pick = lambda top: r.choice([0, 1, r.randrange(top), r.randrange(top)])
+    tasks = [(f"t{i}", 1 + r.randrange(20), r.choice([0.0, 0.5, 1.0, 3.0]), pick(50), pick(90), r.choice([None, 0, 2, 5])) for i in range(200)]
+    tasks += [("null", None, 0.0, 0, 0, None), ("large", 10**9, 0.0, 0, 0, None)]
+    shapes = [(i, 1 + r.randrange(64), r.choice([-1, 0, 1, 4, 8]), pick(60), pick(100)) for i in range(600)]
+    asked = spark.createDataFrame(tasks, "uid string, cores_per_rank int, gpus_per_rank double, lfs_per_rank int, mem_per_rank int, ranks_per_node int")
+    have = spark.createDataFrame(shapes, "shape int, cores int, gpus int, lfs int, mem int")
+    want = []
+    for uid, *ask, limit in tasks:
+        fits = [s[1:] for s in shapes if s[2] >= 0 and None not in ask and all(h >= a for h, a in zip(s[1:], ask))]
+        ranks = [min([h // a for h, a in zip(s, ask) if a] + ([] if limit is None else [limit])) for s in fits]
+        want.append((uid, len(fits), int(max(ranks, default=0))))
+    assert tuples(assign.feasible(asked, have), "uid", "n_shapes", "most_ranks") == sorted(want, key=repr)
+    assert {(r.n_shapes, r.most_ranks) for r in assign.feasible(asked, have.limit(0)).collect()} == {(0, 0)}
+    assert assign.feasible(asked.limit(0), have).count() == 0
+
+
+def test_few_shapes_are_compared():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    have = rng.integers(0, 1000, (40_000, 4)).astype(float)
+    groups = assign.buckets(have)
+    assert sorted(np.concatenate(groups).tolist()) == list(range(len(have))) and max(map(len, groups)) <= assign.BUCKET
+    low, high = (np.array([f(have[g], axis=0) for g in groups]) for f in (np.min, np.max))
+    compared = 0
+    for ask in rng.integers(0, 1000, (50, 4)).astype(float):
+        between = (high >= ask).all(axis=1) & ~(low >= ask).all(axis=1)
+        compared += sum(len(groups[g]) for g in np.flatnonzero(between))
+    assert compared < 0.25 * 50 * len(have)
