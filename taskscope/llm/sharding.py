@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from taskscope.session import staged
 
@@ -36,13 +37,19 @@ _OVERHEAD = 16
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32 and the key: a hash of 63 bits, and doc_id without nulls."""
+    """doc_id, size, text_crc32 and the key: a hash of 63 bits, and doc_id without nulls.
+
+    Ids that are no integers stand in the key as their hash.
+    """
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    number = F.col("doc_id")
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        number = F.when(number.isNotNull(), F.xxhash64(number.cast("string")))
     return docs.select(
         "doc_id", (F.octet_length(F.coalesce("text", F.lit(""))) + _OVERHEAD).cast("long").alias("size"),
         F.crc32(text).cast("long").alias("text_crc32"),
         F.xxhash64("text").bitwiseAND(F.lit((1 << 63) - 1)).alias("_h"),
-        F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(str(-(1 << 63) - 1)).cast("decimal(20,0)")).alias("_d"))
+        F.coalesce(number.cast("decimal(20,0)"), F.lit(str(-(1 << 63) - 1)).cast("decimal(20,0)")).alias("_d"))
 
 
 def _counted(rows: DataFrame, *cells: str) -> list:

@@ -84,6 +84,13 @@ def test_shards_are_even_and_slots_have_no_gaps(spark, odd, none):
         sizes[r.shard] += r.size
     assert max(sizes.values()) - min(sizes.values()) <= 2 * 416 + 0.01 * sum(sizes.values()) / 40
     assert sharding.shard(none).collect() == []
+    named = spark.createDataFrame([(None if i == 7 else f"doc-{i % 5000}", t) for i, t in many], "doc_id string, text string")
+    got = sharding.shard(named, 40).collect()
+    assert sorted((r.doc_id or "", r.size) for r in got) == sorted((r.doc_id or "", len(r.text) + 16) for r in named.collect())
+    slots = collections.defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert len(slots) == 40 and all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
 def test_shards_do_not_need_python(odd):
