@@ -67,6 +67,17 @@ for _id, _preset, _trace in [
     add(_id, lambda s, p, preset=_preset, trace=_trace: _shown(d.durations(view(s, p, trace), preset)),
         found(_preset, _trace) + "SELECT uid, metric, t0, t1, dur FROM dur")
 
+# time per tag; for the other engine the tags follow from the names of the metrics
+for _id, _preset, _trace, _tags in [
+        ("A2d_time_by_tag", "pilot_debug", "pilot_trace_v", """CASE WHEN metric = 'p_agent_runtime' THEN ['provide', 'agent']
+  WHEN starts_with(metric, 'p_pmgr_') OR metric = 'p_agent_finalize' THEN ['client'] ELSE ['consume'] END"""),
+        ("A2e_time_by_tag", "task_debug", "task_trace_v", """CASE WHEN starts_with(metric, 't_tmgr_')
+  OR metric = 't_agent_unschedule' THEN ['client'] ELSE ['consume'] END""")]:
+    add(_id, lambda s, p, preset=_preset, trace=_trace: d.time_by_tag(
+            d.durations(view(s, p, trace), preset).filter("metric <> 'total'"), preset).select("tag", "n", F.round("total", 1).alias("total")),
+        found(_preset, _trace) + f""", tagged AS (SELECT dur, unnest({_tags}) AS tag FROM dur WHERE metric <> 'total')
+SELECT tag, count(*) AS n, round(sum(dur), 1) AS total FROM tagged GROUP BY tag""")
+
 # a preset of the user's, in the short form, with "any of" boundaries
 USER = {"wait": [{"EVENT": "schedule_ok"}, [{"EVENT": "exec_start"}, {"EVENT": "launch_start"}]],
         "all": [{"STATE": "NEW"}, [{"STATE": "DONE"}, {"STATE": "FAILED"}]],

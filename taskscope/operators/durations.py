@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from taskscope.operators.clean import session_keys
 from taskscope.operators.ordered import running
 from taskscope.plans import spec as specs
-from taskscope.plans.presets import PILOT_DEBUG, TASK_DEBUG
+from taskscope.plans.presets import PILOT_DEBUG, TAGS, TASK_DEBUG
 
 
 def matching(events: DataFrame, *shorts) -> DataFrame:
@@ -105,6 +105,20 @@ def duration_stats(dur: DataFrame, by=("metric",)) -> DataFrame:
         F.stddev_pop("dur").alias("std"), F.min("dur").alias("least"), F.max("dur").alias("most"))
 
 
+def time_by_tag(dur: DataFrame, preset: str) -> DataFrame:
+    """(tag, n, total): time that was provided, consumed, spent by the agent or the client.
+
+    Tags are those of the preset; a metric may have several, one without a tag does not count.
+    """
+    tags: dict[str, list[str]] = {}
+    for tag, metrics in TAGS[preset].items():
+        for metric in metrics:
+            tags.setdefault(metric, []).append(tag)
+    of = F.create_map(*[x for m, names in tags.items() for x in (F.lit(m), F.array(*map(F.lit, names)))])
+    return dur.withColumn("tag", F.explode(of[F.col("metric")])).groupBy("tag").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("dur").alias("total"))
+
+
 def _state_of_start(spec) -> dict[str, str]:
     """Metric -> the state its start boundary names."""
     named = {}

@@ -130,9 +130,12 @@ TAGS = {
     },
     "pilot_debug": {
         "provide": ["p_agent_runtime"],
-        "client": [m for m in PILOT_DEBUG if m.startswith("p_pmgr_")] + ["p_agent_finalize"],
-        "consume": [m for m in PILOT_DEBUG if m.startswith("p_agent_")
-                    and m not in ("p_agent_finalize", "p_agent_runtime")],
+        "client": ["p_pmgr_create", "p_pmgr_launching_init", "p_pmgr_launching", "p_pmgr_stage_in",
+                   "p_pmgr_submission_init", "p_pmgr_submission", "p_pmgr_scheduling_init",
+                   "p_pmgr_scheduling", "p_agent_finalize"],
+        "consume": ["p_agent_ve_setup_init", "p_agent_ve_setup", "p_agent_ve_activate_init",
+                    "p_agent_ve_activate", "p_agent_install_init", "p_agent_install", "p_agent_launching",
+                    "p_agent_terminate_init", "p_agent_terminate"],
         "agent": ["p_agent_runtime"],
     },
     "task": {"consume": list(TASK)},
@@ -141,9 +144,13 @@ TAGS = {
         "client": ["t_tmgr_create", "t_tmgr_schedule_queue", "t_tmgr_schedule",
                    "t_tmgr_stage_in_queue", "t_tmgr_stage_in", "t_tmgr_destroy",
                    "t_agent_unschedule"],
+        "consume": ["t_agent_stage_in_queue", "t_agent_stage_in", "t_agent_schedule_queue", "t_agent_schedule",
+                    "t_agent_execute_queue", "t_agent_execute_prepare", "t_agent_execute_mkdir",
+                    "t_agent_execute_layer_start", "t_agent_execute_layer", "t_agent_lm_start",
+                    "t_agent_lm_submit", "t_agent_lm_execute", "t_agent_lm_stop", "t_agent_stage_out_start",
+                    "t_agent_stage_out_queue", "t_agent_stage_out", "t_agent_push_to_tmgr"],
     },
 }
-TAGS["task_debug"]["consume"] = [m for m in TASK_DEBUG if m not in TAGS["task_debug"]["client"]]
 
 # frequent events of no interest to the analysis
 NOISE = [
