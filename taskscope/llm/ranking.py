@@ -125,8 +125,10 @@ def _indexed(bits, id_type: pa.DataType):
         wanted = np.unpackbits(np.frombuffer(bits.value, np.uint8)).astype(bool)
         shard, number = _Shard(id_type), TaskContext.get().partitionId() << 32
         for piece in pieces(batches):
-            for i in range(0, piece.num_rows, SHARD):
-                part = piece.slice(i, SHARD - shard.docs) if shard.docs else piece.slice(i, SHARD)
+            i = 0
+            while i < piece.num_rows:
+                part = piece.slice(i, SHARD - shard.docs)  # what the shard has room for
+                i += part.num_rows
                 shard.add(part.column(0), part.column(1), wanted)
                 if shard.docs >= SHARD or shard.postings >= POSTINGS:
                     yield shard.rows(number)

@@ -73,6 +73,20 @@ def test_ranked_search(spark, monkeypatch, shard, bundle):
     assert ranking.rank(d.filter("text is null"), q).count() == 0
 
 
+def test_ranked_search_over_pieces_and_shards(spark, monkeypatch):
+    """A piece of rows may end one shard and begin the next: no row is lost between them."""
+    monkeypatch.setattr(ranking, "SHARD", 17)
+    docs, items = list(enumerate(texts(11, 200))), list(enumerate(texts(12, 6)))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        d = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+        q = spark.createDataFrame(items, "item_id long, text string")
+        assert ranking.index(d, spark.sql("SELECT 1L AS term")).agg({"full": "sum"}).first()[0] == 200
+        assert collections.Counter(tuple(r) for r in ranking.rank(d, q).collect()) == ranked(docs, items)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_ranked_search_text_ids_and_ties(spark):
     docs = [(f"d{i:03}", "alpha beta") for i in range(40)] + [("e", "alpha alpha beta"), ("f", "gamma")]
     d = spark.createDataFrame(docs, "doc_id string, text string").repartition(5)
