@@ -178,3 +178,33 @@ def test_occupancy(spark):
     got = tuples(u.occupancy_audit(uses, have), "node_index", "kind", "idx", "time", "reason")
     assert got == sorted([(0, "core", 0, 8.0, "over"), (0, "core", 2, 0.0, "down"), (3, "core", 0, 0.0, "unknown"),
                           (0, "mem", 0, 0.0, "over")], key=repr)
+
+
+def test_sweeps_do_not_depend_on_cells(spark, monkeypatch):
+    """Boxes swept in many small cells of time, some of them reaching over all cells, give what one cell gives."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(300):
+        a, r = rng.randrange(0, 400), rng.randrange(0, 12)
+        rows.append(("cpu", rng.choice(["exec_cmd", "boot", "idle"]), f"t{i}", f"p{i % 3 // 2}", float(a),
+                     float(a + rng.choice([0, 5, 5, 30, 600])), r, r + rng.randrange(0, 4)))
+    boxes = spark.createDataFrame(rows, "rtype string, metric string, uid string, pid string, t0 double, t1 double, r0 long, r1 long")
+    total = spark.createDataFrame([("cpu", "total", p, p, 10.0, 700.0, 0, 20) for p in ("p0", "p1")], boxes.schema)
+
+    def swept():
+        one = u.overlaps(boxes).withColumn("r", F.explode(F.sequence("r0", "r1"))).select("pid", "r", "metric", "uid", "t0", "t1", "before")
+        return tuples(one), tuples(u.attribution(boxes, total), "pid", "metric", "used", "given")
+
+    whole = swept()
+    monkeypatch.setattr(st, "CELL", 20)
+    monkeypatch.setattr(st, "PACK", 30)
+    assert len(st._bounds(boxes, ["rtype", "pid"])[("cpu", "p0")]) > 3
+    assert swept() == whole
+    held, want = {}, []
+    for _, metric, uid, pid, t0, t1, r0, r1 in sorted(rows, key=lambda b: (b[4], b[5], b[1], b[2])):
+        for r in range(r0, r1 + 1) if t1 > t0 else ():
+            if t0 < held.get((pid, r), t0):
+                want.append((pid, r, metric, uid, t0, t1, held[pid, r]))
+            held[pid, r] = max(t1, held.get((pid, r), t1))
+    assert whole[0] == sorted(want, key=repr) and want
+    assert all(sum(x[2] for x in whole[1] if x[0] == p) == 690 * 21 for p in ("p0", "p1"))
