@@ -29,7 +29,7 @@ from taskscope.functions.text import BINARY, SHORTENED, TAIL_LENGTH
 
 #: Bytes of a range.
 RANGE = 8 << 20
-#: Files of one task that reads ends.
+#: Files whose ends are held at a time.
 FILES = 256
 
 
@@ -40,16 +40,21 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path)
 
 
+def _fits(place: str, root: str, glob: str) -> bool:
+    name = place.rsplit("/", 1)[-1]
+    return name[0] not in "._" and any(
+        fnmatch.fnmatch(place[len(root):].strip("/") if "/" in g else name, g) for g in glob.split("|"))
+
+
 def files(path: str, glob: str) -> list[tuple[str, int]]:
     """(place, bytes) of all files below a path that fit one of the patterns, apart from hidden ones.
 
     Patterns are divided by `|`; one with a slash is for the place below the path, else it is for the name.
     """
     system, root = opened(path)
-    fits = lambda f: any(fnmatch.fnmatch(f.path[len(root):].strip("/") if "/" in g else f.base_name, g) for g in glob.split("|"))
     found = system.get_file_info(fs.FileSelector(root, recursive=True)) \
         if system.get_file_info(root).type == fs.FileType.Directory else [system.get_file_info(root)]
-    return sorted((f.path, f.size) for f in found if f.type == fs.FileType.File and f.base_name[0] not in "._" and fits(f))
+    return sorted((f.path, f.size) for f in found if f.type == fs.FileType.File and _fits(f.path, root, glob))
 
 
 class Parts(InputPartition):
@@ -60,20 +65,6 @@ class Parts(InputPartition):
 
 # ---- ends of files
 
-class FileEnds(DataSource):
-    """`file_ends`: (path, bytes, text) with the last characters of text files; null where the end is no UTF-8."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "file_ends"
-
-    def schema(self) -> str:
-        return "path string, bytes long, text string"
-
-    def reader(self, schema) -> DataSourceReader:
-        return FileEndsReader(self.options["path"], self.options["glob"])
-
-
 def end_of(data: bytes, whole: bool, n: int = TAIL_LENGTH) -> str | None:
     """The last n characters, marked when something was cut; `data` has 4 n bytes and 3 more, or all."""
     if not whole:
@@ -85,26 +76,91 @@ def end_of(data: bytes, whole: bool, n: int = TAIL_LENGTH) -> str | None:
     return text if whole and len(text) <= n else SHORTENED + text[-n:]
 
 
-class FileEndsReader(DataSourceReader):
-    def __init__(self, path: str, glob: str):
-        self.path, self.glob = path, glob
+def files_below(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """(path, bytes): what `files` gives, as a table.
 
-    def partitions(self) -> list[Parts]:
-        found = files(self.path, self.glob)
-        return [Parts(found[i:i + FILES]) for i in range(0, len(found), FILES)] or [Parts([])]
-
-    def read(self, partition: Parts) -> Iterator[tuple]:
-        system, _ = opened(self.path)
+    One task lists the path itself, as a stream of names; the folders in it are dealt to
+    all tasks.  The driver sees no file.
+    """
+    def top(batches):
+        for batch in batches:
+            if batch.num_rows:
+                system, root = opened(path)
+                at = system.get_file_info(root)
+                found = system.get_file_info(fs.FileSelector(root)) if at.type == fs.FileType.Directory else [at]
+                for i in range(0, len(found), 10_000):
+                    part = found[i:i + 10_000]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([f.path for f in part], pa.string()), pa.array([f.size for f in part], pa.int64()),
+                         pa.array([f.type == fs.FileType.Directory for f in part])], names=["path", "bytes", "folder"])
+
+    def each(batches):
+        system, root = opened(path)
+        for batch in batches:
+            found = []
+            for place, size, folder in zip(*(c.to_pylist() for c in batch.columns)):
+                if folder:
+                    found += [(f.path, f.size) for f in system.get_file_info(fs.FileSelector(place, recursive=True)) if f.type == fs.FileType.File]
+                else:
+                    found.append((place, size))
+            found = [(p, n) for p, n in found if _fits(p, root, glob)]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())],
+                                             names=["path", "bytes"])
+
+    tasks = 4 * spark.sparkContext.defaultParallelism  # a listing is too small to be dealt by its bytes
+    return (spark.range(0, 1, 1, 1).mapInArrow(top, "path string, bytes long, folder boolean").repartition(tasks, "path")
+            .mapInArrow(each, "path string, bytes long"))
+
+
+def ends(found: DataFrame) -> DataFrame:
+    """(path, bytes, text) with the last characters of the files of `found` (path, bytes); null where the end is no UTF-8."""
+    def run(batches):
         most = 4 * TAIL_LENGTH + 3
-        for path, size in partition.parts:
-            with system.open_input_file(path) as f:
-                f.seek(max(0, size - most))
-                yield path, size, end_of(f.read(most), size <= most)
+        for batch in batches:
+            for i in range(0, batch.num_rows, FILES):
+                part, texts = batch.slice(i, FILES), []
+                for path, size in zip(*(c.to_pylist() for c in part.columns)):
+                    system, place = opened(path)
+                    with system.open_input_file(place) as f:
+                        f.seek(max(0, size - most))
+                        texts.append(end_of(f.read(most), size <= most))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=["path", "bytes", "text"])
+
+    return found.select("path", "bytes").mapInArrow(run, "path string, bytes long, text string")
+
+
+def _lines(file) -> Iterator[bytes]:
+    rest = b""
+    while chunk := file.read(1 << 20):
+        *whole, rest = (rest + chunk).splitlines(keepends=True)
+        yield from whole
+    yield from rest.splitlines()
+
+
+def small_lines(found: DataFrame) -> DataFrame:
+    """(path, pos, value): the lines of the files of `found` (path, bytes), numbered from 0; a file is read by one task."""
+    def run(batches):
+        for batch in batches:
+            held = []
+            for path in batch.column(0).to_pylist():
+                system, place = opened(path)
+                with system.open_input_stream(place) as f:
+                    for pos, line in enumerate(_lines(f)):
+                        held.append((path, pos, line.rstrip(b"\r\n")))
+                        if len(held) == 10_000:
+                            yield batch_of(held)
+                            held = []
+            yield batch_of(held)
+
+    def batch_of(rows):
+        kinds = (pa.string(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["path", "pos", "value"])
+
+    return found.select("path").mapInArrow(run, "path string, pos int, value binary").withColumn("value", F.col("value").cast("string"))
 
 
 def read_ends(spark: SparkSession, path: str, glob: str) -> DataFrame:
-    spark.dataSource.register(FileEnds)
-    return spark.read.format("file_ends").option("glob", glob).load(path)
+    return ends(files_below(spark, path, glob))
 
 
 def shown_end(text, stream):

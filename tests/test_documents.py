@@ -180,6 +180,23 @@ def test_outputs(spark, tmp_path):
     assert tuples(files) == [("task.1", 0, "a.dat"), ("task.1", 1, "b.dat")]
 
 
+def test_outputs_are_listed_by_tasks(spark, tmp_path, monkeypatch):
+    """The driver lists no file; lists of files are the same, read by one task or in splits."""
+    for i in range(30):
+        (tmp_path / f"task.{i}" / "deep").mkdir(parents=True)
+        (tmp_path / f"task.{i}" / f"task.{i}.ofiles").write_bytes(b"a \r\n\nb" + b"\rc" * (i % 3))
+        (tmp_path / f"task.{i}" / "deep" / f"task.{i}.out").write_text(f"out {i}")
+        (tmp_path / f"task.{i}" / f".task.{i}.err").write_text("hidden")
+    monkeypatch.setattr(ranges, "files", None)
+    texts, files = logs.collect_outputs(spark, str(tmp_path))
+    assert tuples(texts) == sorted([(f"task.{i}", "stdout", f"out {i}") for i in range(30)], key=repr)
+    names = ["a", "", "b", "c", "c"]
+    assert tuples(files) == sorted([(f"task.{i}", k, n) for i in range(30) for k, n in enumerate(names[:3 + i % 3])], key=repr)
+    monkeypatch.setattr(logs, "LIST", 8)
+    assert tuples(logs.collect_outputs(spark, str(tmp_path))[1]) == tuples(files)
+    assert ranges.read_ends(spark, str(tmp_path / "task.4" / "deep" / "task.4.out"), "*.out").first().text == "out 4"
+
+
 def test_host_lists(spark):
     df = spark.createDataFrame([("j", i, h) for i, h in enumerate(["n2", "n1", "n2", "n2"])] + [("k", 0, "n1"), ("k", 1, "n1 2")],
                                "job string, pos int, value string")
