@@ -23,23 +23,24 @@ def add(name, query, oracle=None):
         ORACLES[name] = sql(oracle)
 
 
-#: Files of a step, and of a micro-batch.
-FILES = 4
+#: Files of a step, and of a micro-batch, at least; and rows of a file, about.
+FILES, ROWS = 4, 1 << 18
 
 
 def stream_of(s, df, order, batches=3):
     """A stream of the rows in `batches` steps, earlier ones of `order` first; each
-    step is written and read by FILES tasks."""
+    step is written and read by FILES tasks or more, as many as its rows ask for."""
     path = fresh_path(s, "source")
-    bounds = df.agg(F.min(order).alias("a"), F.max(order).alias("b")).head()
+    bounds = df.agg(F.min(order).alias("a"), F.max(order).alias("b"), F.count(F.lit(1)).alias("n")).head()
     step = (bounds.b - bounds.a) / batches
+    files = max(FILES, bounds.n // (batches * ROWS))
     for i in range(batches):
         low, high = bounds.a + i * step, bounds.a + (i + 1) * step
         part = F.col(order) >= low
         if i < batches - 1:
             part = part & (F.col(order) < high)
-        df.filter(part).repartition(FILES).write.mode("append").parquet(path)
-    return s.readStream.schema(df.schema).option("maxFilesPerTrigger", FILES).parquet(path)
+        df.filter(part).repartition(files).write.mode("append").parquet(path)
+    return s.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def updates(s, p):
@@ -131,7 +132,9 @@ def told_of_one(s, p):
     path = fresh_path(s, "t2")
     msg.use_state_store(s)
     first = view(s, p, "updates_v").agg(F.min("uid")).first()[0]
-    msg.foreach_transition(st.progress_stream(updates(s, p)), lambda b: b.write.mode("append").parquet(path),
+    # the state of other uids is of no use to this subscriber
+    own = updates(s, p).filter(F.col("uid") == first)
+    msg.foreach_transition(st.progress_stream(own), lambda b: b.write.mode("append").parquet(path),
                            uid=first, bulk=True).awaitTermination()
     return s.read.parquet(path).select("uid", "announced")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row
@@ -12,9 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from taskscope import schema
+from taskscope.streaming.buckets import Bucketed, in_buckets
 from taskscope.streaming.messages import first_per_batch
 
-CHANGE = "uid string, seq long, state string, step int, announced string"
+#: A transition: the state's value, and that of the state before it, where those between are passed.
+CHANGE = "uid string, seq long, state string, before int, value int"
 
 
 class Progress(StatefulProcessor):
@@ -27,7 +30,7 @@ class Progress(StatefulProcessor):
 
     def __init__(self, model: str = "task", replay_final: bool = True, forget_ms: int = 0, idle_ms: int = 0):
         self.values = schema.state_values(model)
-        self.known = schema.states(model)
+        self.top = len(schema.states(model))
         self.settling = ["DONE", "FAILED"] if model == "task" else ["DONE"]
         self.replay_final, self.forget_ms, self.idle_ms = replay_final, forget_ms, idle_ms
 
@@ -59,18 +62,15 @@ class Progress(StatefulProcessor):
         for seq, state in sorted(seen):
             value = self.values[state]
             if value > top:
-                told = self.known[top + 1:value] + [state]
-                if state in ("FAILED", "CANCELED") and not self.replay_final:
-                    told = [state]
-            elif value == top == len(self.known) and not settled and state != last \
+                before = value - 1 if state in ("FAILED", "CANCELED") and not self.replay_final else top
+            elif value == top == self.top and not settled and state != last \
                     and (state in self.settling or self.settling == ["DONE"]):
-                told = [state]
+                before = value - 1
             else:
                 continue
             top, last, settled = value, state, settled or state in self.settling
-            for step, name in enumerate(told):
-                yield Row(uid=key[0], seq=seq, state=state, step=step, announced=name)
-        limit = self.forget_ms if top == len(self.known) else self.idle_ms
+            yield Row(uid=key[0], seq=seq, state=state, before=before, value=value)
+        limit = self.forget_ms if top == self.top else self.idle_ms
         ends = max(latest + limit, until) if limit else 0
         if ends != until:
             if until:
@@ -111,52 +111,51 @@ def progress_stream(updates: DataFrame, model: str = "task", replay_final: bool
         forget = idle = 0.0
     else:
         rows = rows.withWatermark("ts", delay)
-    return rows.groupBy("uid").transformWithState(
+    changes = rows.groupBy("uid").transformWithState(
         Progress(model, replay_final, round(forget * 1000), round(idle * 1000)), CHANGE, "append",
         "eventTime" if timed else "none")
+    known = F.array(*[F.lit(name) for name in schema.states(model)])
+    passed = F.slice(known, F.col("before") + 2, F.col("value") - F.col("before") - 1)
+    return changes.select("uid", "seq", "state", F.posexplode(F.concat(passed, F.array("state"))).alias("step", "announced"))
 
 
-class Timeouts(StatefulProcessor):
-    """A deadline per key: set, moved, or dropped; reported when it passes."""
+class Timeouts(Bucketed):
+    """A deadline per key: set, moved, or dropped; reported when it passes.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        # deadline and timer in ms, 0 for none; started and ended once seen
-        self.watch = handle.getValueState("watch", "deadline long, started boolean, ended boolean, run long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        deadline, started, ended, run = self.watch.get() or (0, False, False, 0)
-        first = {}
-        for row in rows:
-            if row.kind not in first or row.ms < first[row.kind][0]:
-                first[row.kind] = (row.ms, row.startup_ms, row.run_ms)
-        old = deadline
-        if "submit" in first:
-            at, startup, run = first["submit"]
-            if not started:
-                deadline = at + (startup or run) if startup or run else 0
-        if "started" in first and not started:
-            at, _, limit = first["started"]
-            run = run or limit
-            deadline, started = (at + run if run else 0), True
-        if "ended" in first:
-            ended, deadline = True, deadline if deadline and deadline < first["ended"][0] else 0
-        if old and old != deadline:
-            self.handle.deleteTimer(old)
-        if deadline and deadline != old:
-            self.handle.registerTimer(deadline)
-        self.watch.update((deadline, started, ended, run))
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        deadline = (self.watch.get() or (0,))[0]
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        if deadline == at:
-            self.watch.clear()
-            yield Row(uid=key[0], event="task_timeout", deadline=at / 1e3)
+    State: deadline as set and end of a key in ms, 0 for none; whether it has
+    started; its run limit.
+    """
 
-    def close(self) -> None:
-        pass
+    layout = pa.schema([("uid", pa.string()), ("deadline", pa.int64()), ("started", pa.bool_()), ("end", pa.int64()),
+                        ("run", pa.int64()), ("ends", pa.int64())])
+
+    def seen(self, state: pd.DataFrame, rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+        first = rows.sort_values("ms", kind="stable").drop_duplicates(["uid", "kind"])
+        keys = rows[["uid"]].drop_duplicates().merge(state.drop(columns="ends"), on="uid", how="left")
+        for kind in ("submit", "started", "ended"):
+            of = first.loc[first["kind"] == kind, ["uid", "ms", "startup_ms", "run_ms"]]
+            keys = keys.merge(of.set_axis(["uid", *(f"{kind}_{c}" for c in ("at", "startup", "run"))], axis=1), on="uid", how="left")
+        column = lambda c: keys[c].fillna(0).to_numpy().astype(np.int64)
+        there = lambda kind: keys[f"{kind}_at"].notna().to_numpy()
+        deadline, run, started = column("deadline"), column("run"), column("started") > 0
+        limited = lambda at, limit: np.where(limit > 0, at + limit, 0)
+
+        submit = there("submit")
+        run = np.where(submit, column("submit_run"), run)
+        startup = column("submit_startup")
+        deadline = np.where(submit & ~started, limited(column("submit_at"), np.where(startup > 0, startup, run)), deadline)
+        starts = there("started") & ~started
+        run = np.where(starts & (run == 0), column("started_run"), run)
+        deadline = np.where(starts, limited(column("started_at"), run), deadline)
+        end, ended = column("end"), column("ended_at")
+        end = np.where(there("ended") & ((end == 0) | (ended < end)), ended, end)
+        # a task that has ended first has kept its limit
+        ends = np.where((end == 0) | (deadline < end), deadline, 0)
+        new = pd.DataFrame({"uid": keys["uid"], "deadline": deadline, "started": started | starts, "end": end, "run": run, "ends": ends})
+        return pd.concat([state[~state["uid"].isin(new["uid"])], new], ignore_index=True), new.iloc[:0]
+
+    def ended(self, over: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+        return over.iloc[:0], pd.DataFrame({"uid": over["uid"], "event": "task_timeout", "deadline": over["ends"] / 1e3})
 
 
 def _ms(seconds):
@@ -173,8 +172,7 @@ def timeout_stream(updates: DataFrame, delay: str = "0 seconds") -> DataFrame:
     """
     rows = updates.select("uid", "kind", _ms(F.col("time")).alias("ms"), _ms(F.col("startup_timeout")).alias("startup_ms"),
                           _ms(F.col("timeout")).alias("run_ms"), F.timestamp_seconds("time").alias("ts"))
-    return (rows.withWatermark("ts", delay).groupBy("uid")
-            .transformWithState(Timeouts(), "uid string, event string, deadline double", "append", "eventTime"))
+    return in_buckets(rows.withWatermark("ts", delay), F.col("uid"), Timeouts(), "uid string, event string, deadline double")
 
 
 class Heartbeats(StatefulProcessor):
@@ -239,53 +237,41 @@ def lost_worker_stream(heartbeats: DataFrame, timeout: float, delay: str = "0 se
             .transformWithState(Heartbeats(limit), "uid string, rank long, last double", "append", "eventTime"))
 
 
-class FirstInfo(StatefulProcessor):
+class FirstInfo(Bucketed):
     """The first match per uid, or an error when none comes in time.
 
     Time is that of the lines: a match after the limit is too late, also when it
     comes in the same micro-batch.
     """
 
+    layout = pa.schema([("uid", pa.string()), ("deadline", pa.int64()), ("done", pa.bool_()), ("ends", pa.int64())])
+
     def __init__(self, timeout_ms: int):
         self.timeout_ms = timeout_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.status = handle.getValueState("status", "deadline long, done boolean")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        deadline, done = self.status.get() or (0, False)
-        if done:
-            return
-        first = last = None  # of all lines; matches are kept by time and place, the best of each
-        matches = {}
-        for row in rows:
-            first = row.ms if first is None else min(first, row.ms)
-            last = row.ms if last is None else max(last, row.ms)
-            if row.info is not None and (row.ms not in matches or row.pos < matches[row.ms][0]):
-                matches[row.ms] = (row.pos, row.info)
-        waiting = bool(deadline)
-        if self.timeout_ms and not deadline:
-            deadline = first + self.timeout_ms
-        found = [match for ms, match in matches.items() if not deadline or ms <= deadline]
-        late = bool(deadline) and last > deadline
-        done = bool(found) or late
-        if done and waiting:
-            self.handle.deleteTimer(deadline)
-        elif not done and not waiting and deadline:
-            self.handle.registerTimer(deadline)
-        self.status.update((deadline, done))
-        if found:
-            yield Row(uid=key[0], info=min(found)[1], error=None)
-        elif late:
-            yield Row(uid=key[0], info=None, error="startup timeout")
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.status.update((0, True))
-        yield Row(uid=key[0], info=None, error="startup timeout")
-
-    def close(self) -> None:
-        pass
+    def seen(self, state: pd.DataFrame, rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+        of_key = rows.groupby("uid", dropna=False, sort=False)["ms"]
+        keys = of_key.agg(["min", "max"]).reset_index().merge(state.drop(columns="ends"), on="uid", how="left")
+        keys = keys[keys["done"].ne(True)]
+        deadline = keys["deadline"].fillna(0).to_numpy().astype(np.int64)
+        if self.timeout_ms:
+            deadline = np.where(deadline == 0, keys["min"] + self.timeout_ms, deadline)
+        keys = keys[["uid", "max"]].assign(deadline=deadline)
+        matches = rows[rows["info"].notna()].merge(keys, on="uid")
+        in_time = matches[(matches["deadline"] == 0) | (matches["ms"] <= matches["deadline"])]
+        found = in_time.sort_values(["pos", "info"]).drop_duplicates("uid")[["uid", "info"]]
+        late = (keys["deadline"] > 0) & (keys["max"] > keys["deadline"]) & ~keys["uid"].isin(found["uid"])
+        done = keys["uid"].isin(found["uid"]) | late
+        new = pd.DataFrame({"uid": keys["uid"], "deadline": keys["deadline"], "done": done,
+                            "ends": keys["deadline"].where(~done, 0)})
+        out = pd.concat([found.assign(error=None), self._errors(keys.loc[late, "uid"])], ignore_index=True)
+        return pd.concat([state[~state["uid"].isin(new["uid"])], new], ignore_index=True), out
+
+    def _errors(self, uids: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"uid": uids, "info": None, "error": "startup timeout"})
+
+    def ended(self, over: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+        return over.assign(done=True, ends=0), self._errors(over["uid"])
 
 
 def info_stream(lines: DataFrame, pattern: str, timeout: float = 0.0, delay: str = "0 seconds") -> DataFrame:
@@ -300,9 +286,8 @@ def info_stream(lines: DataFrame, pattern: str, timeout: float = 0.0, delay: str
     if not timeout:
         # lines without a match matter for the time limit only
         rows = rows.filter("info is not null")
-    return (rows.withWatermark("ts", delay).groupBy("uid")
-            .transformWithState(FirstInfo(round(timeout * 1000)), "uid string, info string, error string",
-                                        "append", "eventTime"))
+    return in_buckets(rows.withWatermark("ts", delay), F.col("uid"), FirstInfo(round(timeout * 1000)),
+                      "uid string, info string, error string")
 
 
 # ---- batch forms -----------------------------------------------------------

@@ -252,3 +252,34 @@ def test_a_rank_that_reports_after_its_task_has_gone(spark):
     released, held = h.hold(stream(spark, steps, layout), h.gather_ranks, fresh_path(spark, "ranks"))
     assert tuples(released, "uid", "stdout") == [("a", ["o0", "o1"]), ("c", ["o0", "o4096", "o5000"])]
     assert tuples(held, "uid", "rank") == [("b", 0), ("b", 0)]
+
+
+def test_keys_of_a_bucket_share_one_state(spark, monkeypatch):
+    """The state of time limits grows with buckets, not with tasks, and gives the alarms of the batch form."""
+    from taskscope.streaming import buckets
+    monkeypatch.setattr(buckets, "BUCKETS", 2)
+    first = [(f"u{i:03}", "submit", T0, 10.0, 50.0) for i in range(300)]
+    second = [(f"u{i:03}", "started", T0 + 5, None, None) for i in range(0, 300, 2)] + [(None, "submit", T0 + 5, 1.0, 0.0)]
+    third = [(f"u{i:03}", "ended", T0 + 40 + i / 2, None, None) for i in range(0, 300, 3)]
+    steps = [first, second, third, [("x", "other", T0 + 500, None, None)], [("x", "other", T0 + 501, None, None)]]
+    path = fresh_path(spark, "t5")
+    got = msg.run_to_end(st.timeout_stream(stream(spark, steps, LIMITS)), path)
+    every = spark.createDataFrame([r for s in steps for r in s], LIMITS)
+    assert tuples(got) == tuples(st.timeouts(every, T0 + 501)) and got.count() > 250
+    left = spark.read.format("statestore").option("stateVarName", "bucket").load(f"{path}/checkpoint")
+    assert 0 < left.count() <= 2
+
+
+def test_the_limit_of_infos_keys_of_a_bucket_apart(spark, monkeypatch):
+    from taskscope.streaming import buckets
+    monkeypatch.setattr(buckets, "BUCKETS", 1)
+    steps = [[(f"u{i}", 0, T0 + i % 3, "x") for i in range(60)],
+             [(f"u{i}", n, T0 + 5 + i % 7, f"url: {i}.{n}") for i in range(0, 60, 2) for n in (2, 1)],
+             [("z", 0, T0 + 200, "-")], [("z", 1, T0 + 201, "-")], [("u0", 9, T0 + 201, "url: again")]]
+    lines = stream(spark, steps, "uid string, pos int, time double, value string")
+    path = fresh_path(spark, "t13")
+    got = msg.run_to_end(st.info_stream(lines, r"url: (\S+)", timeout=9.0), path)
+    in_time = {i for i in range(0, 60, 2) if 5 + i % 7 <= i % 3 + 9}
+    assert tuples(got) == sorted([(f"u{i}", f"{i}.1", None) if i in in_time else (f"u{i}", None, "startup timeout")
+                                  for i in range(60)], key=repr)
+    assert spark.read.format("statestore").option("stateVarName", "bucket").load(f"{path}/checkpoint").count() == 1
