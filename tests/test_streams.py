@@ -283,3 +283,13 @@ def test_the_limit_of_infos_keys_of_a_bucket_apart(spark, monkeypatch):
     assert tuples(got) == sorted([(f"u{i}", f"{i}.1", None) if i in in_time else (f"u{i}", None, "startup timeout")
                                   for i in range(60)], key=repr)
     assert spark.read.format("statestore").option("stateVarName", "bucket").load(f"{path}/checkpoint").count() == 1
+
+
+def test_only_keys_that_are_told_of_have_state(spark):
+    """Tasks that no request names leave nothing in the state, and requests outlast their batch."""
+    steps = [[("task", f"u{i}") for i in range(200)] + [("cancel", "later")], [("cancel", "u7"), ("task", "later")], [("task", "u7")]]
+    path = fresh_path(spark, "told")
+    out, held = h.hold(stream(spark, steps, "kind string, uid string"), h.cancels, path)
+    assert tuples(out, "uid") == [("later",), ("u7",), ("u7",)] and held.filter("kind = 'task'").count() == 199
+    left = spark.read.format("statestore").option("stateVarName", "bucket").load(f"{path}/checkpoint")
+    assert 0 < left.count() <= 2  # buckets of the two keys
