@@ -208,3 +208,13 @@ def test_sweeps_do_not_depend_on_cells(spark, monkeypatch):
             held[pid, r] = max(t1, held.get((pid, r), t1))
     assert whole[0] == sorted(want, key=repr) and want
     assert all(sum(x[2] for x in whole[1] if x[0] == p) == 690 * 21 for p in ("p0", "p1"))
+
+
+def test_clusters_hold_no_lists_of_a_key(spark):
+    """Numbers are combined as bits, in a hash aggregate that holds no lists; null numbers give nothing."""
+    rows = [(k, i) for k in ("a", None) for i in (-33, -17, -16, 15, 16, 47, 48, 4079, 4080, 4081, None, 48)]
+    df = u.cluster_ranges(spark.createDataFrame(rows, "k string, idx int"), ["k"])
+    want = [(-33, -33), (-17, -16), (15, 16), (47, 48), (4079, 4081)]
+    assert tuples(df) == sorted([(k, *r) for k in ("a", None) for r in want], key=repr)
+    plan = df._jdf.queryExecution().toString()
+    assert "collect_set" not in plan and "collect_list" not in plan and "ObjectHashAggregate" not in plan
