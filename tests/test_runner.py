@@ -178,3 +178,15 @@ def test_only_wanted_columns_reach_python(spark):
     df = spark.createDataFrame([("a", 1, "long text")], "uid string, x int, y string")
     plan = r.run_func(df, abs, ["x"])._jdf.queryExecution().optimizedPlan().toString()
     assert "y#" not in plan.split("MapInArrow")[1].split("\n")[0] and "Project [uid#" in plan
+
+
+def test_a_function_can_be_spread_over_tasks(items):
+    from pyspark import TaskContext
+    got = r.run_func(items.coalesce(1), lambda n: TaskContext.get().partitionId(), ["n"], spread=3).collect()
+    assert len({x.val for x in got}) == 3 and len(got) == items.count()
+
+
+def test_a_row_without_variables_reads_none_of_them(monkeypatch):
+    read = []
+    monkeypatch.setattr(type(os.environ), "__getitem__", lambda self, key: read.append(key) or "")
+    assert r.capture(lambda: 4)["val"] == "4" and not read
