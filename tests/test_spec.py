@@ -56,3 +56,12 @@ def test_transitions_connect_metrics():
 def test_transitions_clash():
     with pytest.raises(ValueError):
         s.transition_rows({"a": (p.E("x"), p.E("y")), "b": (p.E("x"), p.E("z"))})
+
+
+def test_events_are_not_dealt_by_their_names(spark):
+    from pyspark.sql import functions as F
+    events = spark.range(10 ** 9).select(F.concat(F.lit("e"), "id").alias("event"), F.col("id") % 7)
+    for table in (s.transitions(spark, "task"), s.pilot_transitions(spark), s.spec_table(spark, "task_app")):
+        plan = events.join(table.withColumnRenamed("event", "e"), F.expr("event = e"))
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in text and "hashpartitioning" not in text
