@@ -3,7 +3,7 @@
 The files are written from the tables by Spark first, so they grow with them.
 """
 
-from pyspark.sql import Window
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from suite.views import sql, table, view
@@ -77,24 +77,52 @@ add("S3_read_session_pilot_managers",
 
 
 # ---- a whole session folder: one large document per manager ----------------
+#: Lines of a document that one task sorts, about, and bytes that are copied at a time.
+PIECE, COPIED = 200_000, 1 << 20
+
+
+def joined_files(pieces, path):
+    """A file below `path` for each row (folder, parts): its parts, one after another, copied as streams."""
+    def run(batches):
+        system, root = ranges.opened(path)
+        for batch in batches:
+            for folder, parts in zip(*(c.to_pylist() for c in batch.columns)):
+                system.create_dir(f"{root}/{folder}")
+                with system.open_output_stream(f"{root}/{folder}/part-0.txt") as out:
+                    for place in parts:
+                        with system.open_input_stream(place) as f:
+                            while data := f.read(COPIED):
+                                out.write(data)
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["folder"])
+
+    return pieces.select("folder", "parts").mapInArrow(run, "folder string")
+
+
 def session_folder(s, p):
     """Registry, one pilot manager, and four task managers with a quarter of all tasks each.
 
-    The lines of a document are dealt to a file in order, so that no task writes a document from one row.
+    The lines of a document are dealt to pieces in order, and the pieces copied into its file
+    one after another, so that no task sorts a document or writes one from one row.
     """
-    path = fresh_path(s, "session-folder")
+    path, pieces = fresh_path(s, "session-folder"), fresh_path(s, "session-pieces")
     t = view(s, p, "tasks_v").withColumn("k", F.col("bag_order") % 4)
     doc = F.struct("uid", F.when(F.col("priority") > 1, F.col("pilot")).alias("pilot"), "state", F.struct(
         F.lit('a "quoted", {odd} \\ name').alias("name"), "ranks", "cores_per_rank").alias("description"))
-    first = F.row_number().over(Window.partitionBy("k").orderBy("uid")) == 1
-    lines = t.select("k", F.lit(1).alias("part"), "uid", F.concat(
-        F.when(first, "").otherwise(","), F.lit('"'), "uid", F.lit('": '), F.to_json(doc)).alias("value"))
+    first = t.groupBy("k").agg(F.min("uid").alias("_first"))  # four rows
+    lines = t.join(F.broadcast(first), "k").select("k", F.lit(1).alias("part"), "uid", F.concat(
+        F.when(F.col("uid") == F.col("_first"), "").otherwise(","), F.lit('"'), "uid", F.lit('": '), F.to_json(doc)).alias("value"))
     frame = s.range(4).select(F.col("id").alias("k"), F.explode(F.array(
         F.struct(F.lit(0).alias("part"), F.concat(F.lit('{"uid": "tmgr.000'), F.col("id").cast("string"),
                                                   F.lit('", "cfg": {"bulk": '), F.col("id").cast("string"), F.lit('},\n"tasks": {')).alias("value")),
         F.struct(F.lit(2).alias("part"), F.lit("}}").alias("value")))).alias("f")).select("k", "f.part", F.lit("").alias("uid"), "f.value")
     named = lines.unionByName(frame).withColumn("mgr", F.concat(F.lit("tmgr.000"), F.col("k").cast("string")))
-    named.repartition(4, "mgr").sortWithinPartitions("mgr", "part", "uid").select("mgr", "value").write.partitionBy("mgr").text(path)
+    n = t.count() // PIECE + s.sparkContext.defaultParallelism
+    named.repartitionByRange(n, "mgr", "part", "uid").sortWithinPartitions("mgr", "part", "uid").select("mgr", "value") \
+        .write.partitionBy("mgr").text(pieces)
+    # names of pieces are in the order of their ranges; one row per manager and piece
+    found = ranges.files_below(s, pieces, "*.txt").select(F.element_at(F.split("path", "/"), -2).alias("folder"), "path")
+    joined_files(found.groupBy("folder").agg(F.array_sort(F.collect_list("path")).alias("parts")).repartition(4, "folder"), path) \
+        .write.format("noop").mode("overwrite").save()
     pilots = view(s, p, "pilots_v").select(F.to_json(F.struct(
         "uid", "state", F.struct("resource", "nodes", "cores").alias("description"))).alias("d"))
     pilots.agg(F.array_sort(F.collect_list("d")).alias("l")).select(F.concat(  # one per nation

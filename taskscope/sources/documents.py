@@ -28,7 +28,7 @@ def read_manager_docs(spark: SparkSession, path: str, kind: str, glob: str,
         F.concat(F.lit('{"v":'), "value", F.lit("}")), "$.v").alias("uid"))
     managers = uids.join(_texts(spans, entries, "cfg"), "file", "left").select("uid", "cfg")
     rows = (entries.filter(F.col("key") == items).select("file", F.from_json("value", layout).alias("i"))
-            .join(uids.select("file", F.col("uid").alias("_mgr")), "file").select("_mgr", "i.*"))
+            .join(F.broadcast(uids.select("file", F.col("uid").alias("_mgr"))), "file").select("_mgr", "i.*"))
     return managers, rows.withColumn(kind, F.coalesce(kind, "_mgr")).drop("_mgr")
 
 

@@ -327,7 +327,8 @@ def json_entries(fragments: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     spans = outer.filter("sep in ('{', '[')").select("file", F.col("id").alias("_from"), key.alias("key"), F.col("sep").alias("_sep"))
     spans = spans.withColumn("_to", F.lead("_from").over(Window.partitionBy("file").orderBy("_from")))
     inner = fragments.filter((F.col("depth") == 2) & F.col("text").rlike(r"\S"))
-    found = inner.join(spans, "file").filter("id > _from and (_to is null or id < _to)")
+    # a large document would meet in one task; there is a row for each outer key of a file, and the plan knows all files
+    found = inner.join(F.broadcast(spans), "file").filter("id > _from and (_to is null or id < _to)")
     is_map = F.col("_sep") == "{"
     return scalars, spans.select("file", "key"), found.select("file", "key", "id", F.when(is_map, key).alias("name"),
                                                               F.when(is_map, value).otherwise(F.col("text")).alias("value"))

@@ -220,3 +220,23 @@ def test_equal_uids_of_two_sessions_stay_apart(spark):
     below = {(r.sid, r.parent): r.children for r in d.children(edges).collect()}
     assert below["s0", "p"] == ["a"] and below["s1", "p"] == ["a", "b"] and below["s1", "t"] == ["a", "b"]
     assert nodes.filter("uid = 'p'").count() == 2
+
+
+def test_the_entries_of_a_large_document_do_not_meet_in_one_task(spark, folder):
+    _, _, entries = ranges.json_entries(ranges.json_fragments(spark, folder, "tmgr.*.json"))
+    plan = entries._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_a_session_document_is_written_in_pieces(spark, tmp_path, monkeypatch):
+    from suite import documents as suite
+    monkeypatch.setattr(suite, "PIECE", 100, raising=False)
+    monkeypatch.setattr(suite, "fresh_path", lambda spark, name: str(tmp_path / name))
+    sf = "/root/testdata/sf0.001"
+    path = suite.session_folder(spark, sf)
+    orders = spark.read.parquet(f"{sf}/orders.parquet").count()
+    docs = [json.loads(f.read_text()) for f in sorted((tmp_path / "session-folder").glob("mgr=tmgr.*/part-*"))]
+    assert path.endswith("session-folder") and [doc["uid"] for doc in docs] == [f"tmgr.000{k}" for k in range(4)]
+    assert sum(len(doc["tasks"]) for doc in docs) == orders and all(list(doc["tasks"]) == sorted(doc["tasks"]) for doc in docs)
+    pieces = [f.read_text().count("\n") for f in (tmp_path / "session-pieces").glob("mgr=*/part-*")]
+    assert len(pieces) > 8 and max(pieces) < 4 * 100
