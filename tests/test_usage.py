@@ -218,3 +218,24 @@ def test_clusters_hold_no_lists_of_a_key(spark):
     assert tuples(df) == sorted([(k, *r) for k in ("a", None) for r in want], key=repr)
     plan = df._jdf.queryExecution().toString()
     assert "collect_set" not in plan and "collect_list" not in plan and "ObjectHashAggregate" not in plan
+
+
+def test_merged_ranges_may_repeat(spark):
+    rows = [(k, i, i) for k in ("a", None) for i in (3, 0, 1, 1, 1, 4, 7, 7)] + [("a", 9, 12)] * 2
+    got = tuples(st.merge_ranges(spark.createDataFrame(rows, "k string, r0 long, r1 long"), ["k"]))
+    assert got == sorted([(k, *r) for k in ("a", None) for r in ((0, 1), (3, 4), (7, 7))] + [("a", 9, 12)], key=repr)
+
+
+def test_slots_of_tasks_are_shuffled_once(spark, run, tmp_path):
+    """Slots move by task once, and so do times; phases become rows after the join of both."""
+    frames = []
+    for i, df in enumerate(run):
+        df.write.parquet(f"{tmp_path}/{i}")
+        frames.append(spark.read.parquet(f"{tmp_path}/{i}"))
+    pilots, nodes, slots, events = frames
+    once = u.task_boxes(pilots, nodes, slots, events)
+    plan = once._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(uid") == plan.count("Exchange hashpartitioning") == 2
+    twice = u.task_boxes(pilots, nodes, slots.unionByName(slots), events)
+    assert tuples(twice) == tuples(once) and len(tuples(once)) > 16
+    assert tuples(u.consumed(pilots, nodes, slots.unionByName(slots), events)) == tuples(u.consumed(*run))
