@@ -205,3 +205,11 @@ def test_few_shapes_are_compared():
         between = (high >= ask).all(axis=1) & ~(low >= ask).all(axis=1)
         compared += sum(len(groups[g]) for g in np.flatnonzero(between))
     assert compared < 0.25 * 50 * len(have)
+
+
+def test_colocation_audit_reads_tasks_once(spark):
+    rows = [("t1", "a", 1, 0.0, True, False), ("t2", "a", 2, 1.0, True, False), ("t3", "b", 2, 0.0, False, True), ("t4", None, 2, 0.0, True, True)]
+    tasks = spark.createDataFrame(rows, "uid string, tag string, node int, start double, whole boolean, exclusive boolean")
+    got = audit.colocation_audit(tasks.repartition(7))
+    assert "RoundRobinPartitioning(7)" not in got._jdf.queryExecution().toString()
+    assert tuples(got) == sorted([("moved", "a", "t2", 2), ("spread", "a", None, None), ("shared", "b", None, 2)], key=repr)
