@@ -239,3 +239,14 @@ def test_slots_of_tasks_are_shuffled_once(spark, run, tmp_path):
     twice = u.task_boxes(pilots, nodes, slots.unionByName(slots), events)
     assert tuples(twice) == tuples(once) and len(tuples(once)) > 16
     assert tuples(u.consumed(pilots, nodes, slots.unionByName(slots), events)) == tuples(u.consumed(*run))
+
+
+def test_slots_with_times_move_once(spark):
+    from suite import usage
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = usage.all_uses(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 2  # slots and tasks, both by task
