@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -210,6 +211,40 @@ def test_sweeps_do_not_depend_on_cells(spark, monkeypatch):
     assert all(sum(x[2] for x in whole[1] if x[0] == p) == 690 * 21 for p in ("p0", "p1"))
 
 
+def test_short_form_of_boxes():
+    """Lists of boxes, nulls and empty texts among them, are read as they were written, in one batch or many."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    rows = [(rng.choice("abc"), rng.choice([0.0, -1.5, 1e300, float("inf")]), rng.random() * 1e9, rng.randrange(-5, 2**40), rng.randrange(9),
+             rng.choice(["", "x", "boot", None]), rng.choice(["é" * 40, "task.1", None])) for _ in range(500)]
+    table = pa.table(dict(zip(("pid", "t0", "t1", "r0", "r1", "metric", "uid"), map(list, zip(*rows)))))
+    lists = list(st._packer(["pid"], ["r0", "r1"], ["metric", "uid"], 100)(iter(table.to_batches(max_chunksize=60))))
+    assert 2 < len(lists) < 8 and all(b.num_rows == 3 for b in lists)
+    got = []
+    for b in [*lists, *pa.Table.from_batches(lists[1:]).combine_chunks().to_batches(), lists[0].slice(1, 1), lists[0].slice(0, 0)]:
+        boxes, n = st._Boxes.read(b, ["r0", "r1"], ["metric", "uid"])
+        c = boxes.columns()
+        got.append(list(zip(np.repeat(b["pid"].to_numpy(zero_copy_only=False), n), *(c[k].tolist() for k in ("t0", "t1", "r0", "r1")),
+                            *(c[k].to_pylist() for k in ("metric", "uid")))))
+    assert sorted(sum(got[:len(lists)], []), key=repr) == sorted(rows, key=repr) == sorted(got[0] + got[-3], key=repr)
+    assert got[-2] == [r for r in got[0] if r[0] == lists[0]["pid"][1].as_py()] and got[-1] == []
+
+
+def test_sweeps_write_no_row_per_box(spark, monkeypatch):
+    """What is written before a sweep are lists of boxes, a few bytes for each phase of a task."""
+    written, staged = {}, st.staged
+    monkeypatch.setattr(st, "staged", lambda df, name, *a: written.setdefault(name, staged(df, name, *a)))
+    phases = spark.range(0, 20000, 1, 2).selectExpr(
+        "'cpu' as rtype", "'p' as pid", "concat('task.', lpad(cast(id div 8 as string), 9, '0')) as uid", "concat('phase_', id % 8) as metric",
+        "1.6e9 + (id div 8) * 3.0 + id % 8 as t0", "1.6e9 + (id div 8) * 3.0 + id % 8 + 1 as t1", "id div 8 % 2 as r0", "id div 8 % 2 as r1")
+    assert u.overlaps(phases).count() == 2 * (2500 - 2)
+    assert written["boxes"].count() <= 4
+    size = sum(os.path.getsize(f.removeprefix("file:")) for f in written["boxes"].inputFiles())
+    assert size < 20000 * 16
+
+
 def test_clusters_hold_no_lists_of_a_key(spark):
     """Numbers are combined as bits, in a hash aggregate that holds no lists; null numbers give nothing."""
     rows = [(k, i) for k in ("a", None) for i in (-33, -17, -16, 15, 16, 47, 48, 4079, 4080, 4081, None, 48)]
